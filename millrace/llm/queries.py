@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.language_id import language_query
+from millrace.llm.quality_rules import quality_query
 from millrace.llm.sharding import shard_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_external_shuffle": shard_query,
+        "op6_nearest_centroid": language_query,
+        "op9_robust_outliers": quality_query,
     }
 
 
