@@ -92,6 +92,7 @@ class Words:
     distinct: int
     discount: np.ndarray
     unknown: float
+    spare: float  # the share taken from all words where no discount frees any for the unknown word
     coded: np.ndarray  # ascending hashes
     count: np.ndarray  # of each coded word
     hot: np.ndarray  # place among the hot words, or -1
@@ -105,13 +106,6 @@ class Words:
         known = _discounted(np.maximum(count, 1), self.discount) * (1 - self.spare) / max(self.total, 1)
         return np.log10(np.where(count > 0, known, self.unknown))
 
-    @property
-    def spare(self) -> float:
-        """The share taken from all words where no discount frees any for the unknown word."""
-        return 0.0 if self.unknown > 1 / (self.total + 1) - 1e-15 and not self._bare else 1 / (self.total + 1)
-
-    _bare: bool = False
-
 
 def _held(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
@@ -149,8 +143,8 @@ def count_words(docs: DataFrame, scratch: Scratch) -> Words:
     hot[best] = np.arange(len(best))
     d = discounts([low.get(r, 0) for r in range(1, CUTOFF + 2)])
     freed = sum((1 - d[r - 1]) * r * low.get(r, 0) for r in range(1, CUTOFF + 1)) / max(total, 1)
-    unknown = freed if freed > 0 else 1 / (total + 1)
-    return Words(total, distinct, d, unknown, coded, count, hot, _bare=freed <= 0)
+    spare = 0.0 if freed > 0 else 1 / (total + 1)
+    return Words(total, distinct, d, freed or spare, spare, coded, count, hot)
 
 
 def count_hot(docs: DataFrame, known: Words) -> np.ndarray:

@@ -78,7 +78,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and the four statistics; the text itself goes."""
+    """``docs`` with the base counts, ``base_failed`` and the four statistics; the text column itself goes."""
     text = F.coalesce(text_col, F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
@@ -219,6 +219,8 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents that the rules keep, with the columns of ``docs``. The texts are measured again, not joined."""
+    scratch = Scratch(spark, "quality-stage")
+    estimates = fit(scratch.table("measured", measure(docs.select("text", "lang", "source"))), scratch)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    return judge(measure(rows), estimates).filter("kept").select("_row.*")
