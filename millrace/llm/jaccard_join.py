@@ -3,8 +3,11 @@
 Every text is the set of its word shingles; two texts link when ``100 * intersection >= percent * union``. The plan:
 
 1. Equal sets collapse to one representative, so copies of any number cost one set.
-2. A linked set shares a shingle in its prefix by hash with its partner: sets whose prefix shingles are all their own drop out.
-3. Of the remaining sets, shingles are counted and ordered rarest first. A linked set has at least ``percent`` per cent of its
+2. A set lacks at most some l of its shingles in a partner. Its 1.5 l + 1 shingles with the smallest hashes are probed; of two
+   linked sets the one whose probes end first has at least 0.5 l + 1 of them among the other's. So a set stays only if at
+   least that many of its probes, l taken for its smallest possible partner, are also probes of other sets. Sets that only
+   share a passage with others mostly drop out.
+3. Of the remaining sets, all shingles are counted and ordered rarest first. A linked set has at least ``percent`` per cent of its
    shingles in common with others; those with fewer drop out.
 4. Light sets, up to a size boundary, enumerate the two-element subsets of their prefix: a partner shares one of them. Heavy
    sets scan the inverted lists of their prefix shingles; sets just above the boundary do both, so that pairs across it meet.
@@ -74,6 +77,12 @@ def _least_overlap(size, percent: int):
     return (size * percent + 99) // 100
 
 
+def _probed(size, percent: int):
+    """How many of a set's shingles are probed."""
+    lacking = size - _least_overlap(size, percent)
+    return np.minimum(size, lacking + (lacking + 1) // 2 + 1)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """id, set size, 128-bit signature and prefix by hash of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -86,7 +95,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                 n = np.diff(at)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(seed)))]) for seed in (0x51ED270B, 0xA1B2C3D4E5F60718)]
                 first, second = (s[at[1:]] - s[at[:-1]] for s in sums)
-                keep = np.where(n > 0, n - _least_overlap(n, percent) + 1, 0)
+                keep = _probed(n, percent)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(values[ragged(at[:-1], keep)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(n.astype(np.int64)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), prefix], ["id", "n", "s1", "s2", "prefix"]
@@ -144,22 +153,38 @@ def _lists(survivors: DataFrame, percent: int, boundary: int) -> DataFrame:
     return survivors.select("id", "size", F.explode(chosen).alias("k")).select("k.key", "id", "size", "k.place")
 
 
+def _active(sketches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The representatives of which enough probed shingles occur in other sets."""
+    reps = sketches.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
+    probes = reps.select("id", "n", F.explode("prefix").alias("key"))
+    seen = probes.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    smallest = F.floor((F.col("n") * percent + 99) / 100)
+    lacking = smallest - F.floor((smallest * percent + 99) / 100)
+    return probes.join(seen, "key", "left_semi").groupBy("id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.floor((lacking + 1) / 2) + 1).select("id")
+
+
+def _survivors(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, size, shared): the shingles that other sets have too, rarest first, of the sets that share enough."""
+    tokens = sets.select("id", "size", F.explode("tokens").alias("key"))
+    common = tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = tokens.join(common, "key").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    return shared.filter(100 * F.size("shared") >= percent * F.col("size"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "jaccard-join")
-    base = scratch.table("base", _sketches(docs, id_col, text_col, width, percent))
+    sketches = scratch.table("sketches", _sketches(docs, id_col, text_col, width, percent))
+    base = scratch.table("base", sketches.drop("prefix"))
     classes = scratch.table("classes", base.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-
-    prefixes = base.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi").select("id", F.explode("prefix").alias("key"))
-    seen = prefixes.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    active = scratch.table("active", prefixes.join(seen, "key", "left_semi").select("id").distinct())
+    active = scratch.table("active", _active(sketches, classes, percent))
+    del sketches
+    scratch.drop("sketches")
     scratch.release()
     sets = scratch.table("sets", _sets(docs.join(active.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, width))
-
-    tokens = sets.select("id", "size", F.explode("tokens").alias("key"))
-    common = tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = tokens.join(common, "key").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
-    survivors = scratch.table("survivors", shared.filter(100 * F.size("shared") >= percent * F.col("size")))
+    scratch.release()
+    survivors = scratch.table("survivors", _survivors(sets, percent))
+    scratch.drop("sets")
     scratch.release()
 
     spread = survivors.select(F.explode("shared.n").alias("n")).agg(F.sum("n") / F.count("*")).first()[0]
@@ -184,7 +209,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     final = components(stars.union(more), scratch, "last")
 
     reps = classes.join(final, classes["rep"] == final["id"], "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
-    out = base.drop("prefix").join(reps, ["n", "s1", "s2"], "left")
+    out = base.join(reps, ["n", "s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -194,9 +219,9 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that with the smallest id; five-word shingles, 80 per cent."""
-    found = jaccard_join(docs, width=5, percent=80)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("kept")).select(F.col("kept").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    found = jaccard_join(docs, width=5, percent=80).filter("component_id <> doc_id").select("doc_id")
+    removed = Scratch(spark, "jaccard-stage").table("removed", found)
+    return docs.join(removed, "doc_id", "left_anti")
 
 
 #: DuckDB: all pairs that share a shingle, and the smallest id that links reach.
