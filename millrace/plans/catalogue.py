@@ -1,4 +1,4 @@
-"""The query catalogue: every registered query of the core engine with its SQL twin."""
+"""The query catalogue of the core engine."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import listings, ordered, relations, texts, workflows  # noqa: F401  (they register their queries)
+from millrace.plans.registry import PLANS, SQL, runnable
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: runnable(plan) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
