@@ -31,6 +31,11 @@ HEADERS = {
 }
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def parse_int_or(text: Column, default: int) -> Column:
     """The leading integer of a text; the default for none and for zero."""
     return F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0)), F.lit(default))
@@ -64,7 +69,7 @@ def strip_fences(text: Column) -> Column:
 
 def fenced(text: Column) -> Column:
     """The body of the first fenced block, or the text."""
-    return F.when(F.rlike(text, F.lit(r"(?s)```.*?```")), F.trim(F.regexp_extract(text, r"(?s)```\w*\n?(.*?)```", 1))).otherwise(text)
+    return F.when(F.rlike(text, F.lit(r"(?s)```.*?```")), strip(F.regexp_extract(text, r"(?s)```\w*\n?(.*?)```", 1))).otherwise(text)
 
 
 def calls(code: Column) -> Column:
@@ -79,7 +84,7 @@ def returns(code: Column) -> Column:
 def variables(code: Column) -> Column:
     """Names of arguments in the first line's parentheses and of simple local declarations."""
     inside = F.regexp_extract(F.substring_index(code, "\n", 1), r"\(([^)]*)\)", 1)
-    arguments = F.filter(F.transform(F.split(inside, ","), lambda a: F.split(F.trim(a), r"\s+")), lambda p: F.size(p) >= 2)
+    arguments = F.filter(F.transform(F.split(inside, ","), lambda a: F.split(strip(a), r"\s+")), lambda p: F.size(p) >= 2)
     names = F.transform(arguments, lambda p: F.replace(F.element_at(p, -1), F.lit("*"), F.lit("")))
     local = F.regexp_extract_all(code, F.lit(r"\b(?:int|char|float|double|long|short|void|bool)\s+[\*]*([a-zA-Z0-9_]+)\s*[;,=]"), 1)
     return F.array_sort(F.array_distinct(F.concat(names, local)))
@@ -109,7 +114,7 @@ def missing_headers(code: Column) -> Column:
 
 def last_line_with(lines: Column, start: str) -> Column:
     """The 0-based place of the last line that starts so, or -1."""
-    marks = F.transform(lines, lambda line, i: F.when(F.startswith(F.trim(line), F.lit(start)), i).otherwise(F.lit(-1)))
+    marks = F.transform(lines, lambda line, i: F.when(F.startswith(strip(line), F.lit(start)), i).otherwise(F.lit(-1)))
     return F.coalesce(F.array_max(marks), F.lit(-1))
 
 

@@ -186,8 +186,8 @@ def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code") ->
     soon = F.coalesce(F.max(F.contains("line", F.lit("{")).cast("int")).over(order.rowsBetween(1, 3)), F.lit(0)) == 1
     blocks = _blocks(rows.withColumn("weak", weak & (here | soon)), key, F.col("weak"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    solid = F.last(F.when(F.col("inside") | (F.trim("line") != ""), F.col("inside")), ignorenulls=True).over(upto)
-    kept = blocks.withColumn("trailing", (F.trim("line") == "") & F.coalesce(solid, F.lit(False)))
+    solid = F.last(F.when(F.col("inside") | (text.strip(F.col("line")) != ""), F.col("inside")), ignorenulls=True).over(upto)
+    kept = blocks.withColumn("trailing", (text.strip(F.col("line")) == "") & F.coalesce(solid, F.lit(False)))
     mock = F.rlike("line", F.lit(r"^\s*static\s+.*\bmock_\w+\s*="))
     return _joined(kept.filter(~F.col("inside") & ~F.col("trailing") & ~mock), key, code, content)
 

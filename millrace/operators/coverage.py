@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers
+from millrace.functions.text import strip
 
 EXCLUDED = ("test_runner.c", "unity.c")
 UNBOUNDED = 1000
@@ -20,7 +21,7 @@ UNBOUNDED = 1000
 
 def records(raw: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """One row a line inside a record: file, record, seq, kind, fields (after the colon, split at commas), source."""
-    lines = raw.select(F.col(file).alias("file"), F.posexplode(F.split(content, "\n")).alias("seq", "line")).withColumn("line", F.trim(F.regexp_replace("line", "\r", "")))
+    lines = raw.select(F.col(file).alias("file"), F.posexplode(F.split(content, "\n")).alias("seq", "line")).withColumn("line", strip(F.col("line")))
     order = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     begun = F.sum(F.when(F.startswith("line", F.lit("SF:")), 1).otherwise(0)).over(order)
     ended = F.sum(F.when(F.col("line") == "end_of_record", 1).otherwise(0)).over(order)

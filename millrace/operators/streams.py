@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+
 
 def reassemble(chunks: DataFrame, stream: str, seq: str, chunk: str, name: str = "content") -> DataFrame:
     """One text a stream: its chunks in order."""
@@ -15,14 +17,14 @@ def reassemble(chunks: DataFrame, stream: str, seq: str, chunk: str, name: str =
 def ndjson(chunks: DataFrame, stream: str, seq: str, chunk: str, schema: str) -> DataFrame:
     """The objects of each stream of newline-framed JSON, however chunks cut it; blank and broken lines are skipped."""
     whole = reassemble(chunks, stream, seq, chunk)
-    lines = whole.select(stream, F.posexplode(F.split("content", "\n")).alias("place", "line")).filter(F.trim("line") != "")
+    lines = whole.select(stream, F.posexplode(F.split("content", "\n")).alias("place", "line")).filter(strip(F.col("line")) != "")
     parsed = lines.withColumn("frame", F.when(F.try_parse_json("line").isNotNull(), F.from_json("line", schema)))
     return parsed.filter(F.col("frame").isNotNull()).select(stream, "place", "frame.*")
 
 
 def sse(lines: DataFrame, stream: str, seq: str, line: str) -> DataFrame:
     """The payloads of ``data:`` lines before a stream's end mark; broken JSON is skipped."""
-    data = lines.filter(F.startswith(line, F.lit("data: "))).withColumn("payload", F.trim(F.expr(f"substr({line}, 7)")))
+    data = lines.filter(F.startswith(line, F.lit("data: "))).withColumn("payload", strip(F.expr(f"substr({line}, 7)")))
     end = data.filter("payload = '[DONE]'").groupBy(stream).agg(F.min(seq).alias("_end"))
     kept = data.join(end, stream, "left").filter(F.col("_end").isNull() | (F.col(seq) < F.col("_end")))
     return kept.filter(F.try_parse_json("payload").isNotNull()).select(stream, seq, "payload")

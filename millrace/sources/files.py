@@ -134,9 +134,9 @@ def design_documents(files: DataFrame) -> DataFrame:
     parsed = json.select("path", text_of(F.col("content")).alias("raw")).withColumn("v", F.try_parse_json("raw")).filter(F.col("v").isNotNull())
     one = F.from_json("raw", f"function_design struct<{DESIGN}>")
     many = F.from_json("raw", f"array<struct<function_design struct<{DESIGN}>>>")
-    items = parsed.withColumn("items", F.when(F.startswith(F.trim("raw"), F.lit("[")), many).otherwise(F.array(one)))
+    items = parsed.withColumn("items", F.when(F.startswith(text.strip(F.col("raw")), F.lit("[")), many).otherwise(F.array(one)))
     rows = items.select("path", F.posexplode("items").alias("place", "item")).select("path", "place", F.col("item.function_design").alias("doc"))
-    named = rows.withColumn("name", F.trim("doc.basic_info.function_name")).filter("name <> ''")
+    named = rows.withColumn("name", text.strip(F.col("doc.basic_info.function_name"))).filter("name <> ''")
     return named.groupBy("name").agg(F.max_by(F.struct("path", "doc"), F.struct("path", "place")).alias("last")).select("name", "last.*")
 
 
@@ -159,7 +159,7 @@ def json_or(value: Column, schema: str, default: str) -> Column:
 
 def symbols(raw: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """Names of the text symbols in portable ``nm`` output."""
-    rows = raw.select(file, F.explode(F.split(content, "\n")).alias("line")).withColumn("parts", F.split(F.trim("line"), r"\s+"))
+    rows = raw.select(file, F.explode(F.split(content, "\n")).alias("line")).withColumn("parts", F.split(text.strip(F.col("line")), r"\s+"))
     return rows.filter(F.get("parts", F.lit(1)).isin("T", "t")).select(file, F.get("parts", F.lit(0)).alias("symbol"))
 
 
