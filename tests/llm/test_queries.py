@@ -39,4 +39,4 @@ def test_jaccard_sql(spark, folder):
     want = sorted(con.sql(q.oracle_sql()["op8_heavy_light_jaccard"]).fetchall())
     got = q.queries()["op8_heavy_light_jaccard"](spark, folder).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
-    assert len({r.component_id for r in got}) < len(got) - 15
+    assert len({r.component_id for r in got}) <= len(got) - 15
