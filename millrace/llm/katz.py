@@ -36,11 +36,11 @@ from millrace.llm.words import hashes, mix, steps, utf8, words
 from millrace.session import Scratch
 
 CUTOFF = 5
-CODED, HOT = 60_000, 512
+CODED, HOT = 60_000, 1024
 BEGIN, END = np.uint64(0x0B0E6B0E6B0E6B0F), np.uint64(0x0E4D0E4D0E4D0E4D)
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 30_000
-#: Tokens that one partition should get, and the fewest partitions.
-PART_TOKENS, PARTS = 5_000_000, 24
+#: Training tokens that one partition should get, the fewest partitions, and the tokens that a task works on at once.
+PART_TOKENS, PARTS, SLICE = 4_000_000, 24, 600_000
 _VALUES = 9
 
 
@@ -165,8 +165,8 @@ def count_hot(docs: DataFrame, known: Words) -> np.ndarray:
 
     out = np.zeros(HOT * HOT, np.int64)
     # At most HOT * HOT rows, whatever the input.
-    for r in docs.filter("not held").select("text").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toLocalIterator():
-        out[r["pair"]] = r["c"]
+    found = docs.filter("not held").select("text").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    out[found["pair"].to_numpy()] = found["c"].to_numpy()
     return out.reshape(HOT, HOT)
 
 
@@ -177,12 +177,13 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
 def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFrame:
     """Rows of (part, arrays): the sums by text of what is resolved at once, and the other tokens by partition.
 
-    ``docs``: uid, held, text.
+    ``docs``: uid, held, text, id.
     """
+    kind = docs.schema["id"].dataType.simpleString()
     log_count = np.log10(known.count + 1.0)
     log_p = known.log_p(known.count)
 
-    def share(uid: np.ndarray, held: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    def share(uid: np.ndarray, held: np.ndarray, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         s, rows = stream(data, offsets), len(uid)
         w, h = known.code(s.token), known.code(s.history)
         sums = np.zeros((rows, _VALUES))
@@ -213,24 +214,31 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
         run = np.ones(len(token), bool)
         run[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(run)
-        ends = lambda p: np.searchsorted(p, np.arange(parts), "right")
         rare = code < 0
-        own = np.zeros(parts, np.int64)
-        own[int(uid[0]) % parts :] = 1  # one row of the block carries its sums
+        present = np.unique(part) if len(part) else uid[:1] % parts
+        ends = lambda p: np.searchsorted(p, present, "right")
+        # The rows that have tokens in a part, and each token's place among them.
+        mine, place = np.unique(part * rows + row, return_inverse=True)
+        mine_ends = ends(mine // rows)
+        place -= np.concatenate([[0], mine_ends])[np.searchsorted(present, part)]
+        own = (np.arange(len(present)) >= int(uid[0]) % len(present)).astype(np.int64)  # one row of the block carries its sums
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.arange(parts, dtype=np.int32)),
-                _lists(np.tile(uid, parts), rows * np.arange(1, parts + 1), pa.int64()),
-                _lists(np.tile(held, parts), rows * np.arange(1, parts + 1), pa.bool_()),
+                pa.array(present.astype(np.int32)),
+                _lists(uid[mine % rows], mine_ends, pa.int64()),
+                _lists(held[mine % rows], mine_ends, pa.bool_()),
                 _lists(token[first].view(np.int64), ends(part[first]), pa.int64()),
                 _lists(np.diff(np.append(first, len(token))).astype(np.int32), ends(part[first]), pa.int32()),
                 _lists(np.where(rare, 0xFFFF, code).astype(np.uint16).view(np.int16), ends(part), pa.int16()),
                 _lists(history[rare].view(np.int64), ends(part[rare]), pa.int64()),
-                _lists(row.astype(np.int16), ends(part), pa.int16()),
+                _lists(place.astype(np.int16), ends(part), pa.int16()),
                 _lists(n.astype(np.int32), ends(part), pa.int32()),
+                _lists(uid, own * rows, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own * rows]).astype(np.int32)), ids),
+                _lists(held, own * rows, pa.bool_()),
                 _lists(sums.ravel(), own * sums.size, pa.float64()),
                 _lists(off_h.view(np.int64), own * len(off_h), pa.int64()),
-                _lists(off_row.astype(np.int16), own * len(off_h), pa.int16()),
+                _lists(uid[off_row], own * len(off_h), pa.int64()),
             ],
             _DEALT,
         )
@@ -242,80 +250,92 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
             for a, b in steps(offsets, BLOCK_BYTES):
                 for k in range(a, b, BLOCK_ROWS):
                     end = min(b, k + BLOCK_ROWS)
-                    yield share(uid[k:end], held[k:end], data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k])
+                    yield share(uid[k:end], held[k:end], batch.column(3)[k:end], data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k])
 
-    return docs.select("uid", "held", "text").mapInArrow(blocks, _DEALT_SCHEMA)
+    return docs.select("uid", "held", "text", "id").mapInArrow(blocks, _DEALT_SCHEMA.format(kind=kind))
 
 
-_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns", "sums", "off_h", "off_row"]
+_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns", "sum_uids", "sum_ids", "sum_helds", "sums", "off_h", "off_uids"]
 _DEALT_SCHEMA = (
     "part int, uids array<long>, helds array<boolean>, tokens array<long>, runs array<int>, codes array<short>, rares array<long>, "
-    "rows array<short>, ns array<int>, sums array<double>, off_h array<long>, off_row array<short>"
+    "rows array<short>, ns array<int>, sum_uids array<long>, sum_ids array<{kind}>, sum_helds array<boolean>, sums array<double>, off_h array<long>, off_uids array<long>"
 )
-_FACTS = ["kind", "key", "uid", *[f"v{k}" for k in range(_VALUES)]]
-_FACTS_SCHEMA = "kind int, key long, uid long, " + ", ".join(f"v{k} double" for k in range(_VALUES))
+_FACTS = ["kind", "key", "uid", "id", "held", *[f"v{k}" for k in range(_VALUES)]]
+_FACTS_SCHEMA = "kind int, key long, uid long, id {kind}, held boolean, " + ", ".join(f"v{k} double" for k in range(_VALUES))
 #: Kinds of facts: sums of a text; figures of a history (P of the words seen after it, pairs seen 1, 2 .. times); a token that backs off.
 TEXT, HISTORY, BACKOFF = 0, 1, 2
 
 
 def look_up(dealt: DataFrame, known: Words) -> DataFrame:
     """The facts of each partition."""
+    id_type: list[pa.DataType] = [pa.null()]
+    id_kind = dealt.schema["sum_ids"].dataType.elementType.simpleString()
 
-    def facts(kind: int, key: np.ndarray, uid: np.ndarray, values: np.ndarray) -> pa.Table:
+    def facts(kind: int, key: np.ndarray, uid: np.ndarray, values: np.ndarray, ids: pa.Array | None = None, held: pa.Array | None = None) -> pa.Table:
         full = np.zeros((len(key), _VALUES))
         full[:, : values.shape[1]] = values
-        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(uid.astype(np.int64)), *[pa.array(full[:, k]) for k in range(_VALUES)]]
+        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(uid.astype(np.int64)), pa.nulls(len(key), id_type[0]) if ids is None else ids, pa.nulls(len(key), pa.bool_()) if held is None else held, *[pa.array(full[:, k]) for k in range(_VALUES)]]
         return pa.table(columns, _FACTS)
 
     def resolve(table: pa.Table) -> pa.Table:
         get = {n: table[n].combine_chunks() for n in _DEALT[1:]}
+        id_type[0] = get["sum_ids"].type.value_type
         flat = lambda n: get[n].flatten().to_numpy(zero_copy_only=False)
         sizes = lambda n: get[n].value_lengths().to_numpy()
         uid, held = flat("uids"), flat("helds")
-        base = np.cumsum(sizes("uids")) - sizes("uids")
         token = np.repeat(flat("tokens").view(np.uint64), flat("runs"))
-        code = flat("codes").view(np.uint16).astype(np.int64)
-        history = np.empty(len(code), np.uint64)
+        code = flat("codes").view(np.uint16)
         rare = code == 0xFFFF
+        history = np.empty(len(code), np.uint64)
         history[rare] = flat("rares").view(np.uint64)
         history[~rare] = known.coded[code[~rare]]
-        row = flat("rows").astype(np.int64) + np.repeat(base, sizes("rows"))
-        n = flat("ns").astype(np.int64)
-        out = []
-        carried = np.repeat(np.arange(len(base)), (sizes("sums") > 0) * sizes("uids"))
-        if len(carried):
-            mine = np.concatenate([uid[base[k] : base[k] + sizes("uids")[k]] for k in np.flatnonzero(sizes("sums"))])
-            out.append(facts(TEXT, np.zeros(len(mine)), mine, flat("sums").reshape(-1, _VALUES)))
-        off = flat("off_row").astype(np.int64) + np.repeat(base, sizes("off_row"))
-        out.append(facts(BACKOFF, flat("off_h"), uid[off], np.ones((len(off), 1))))
-        if len(token):
-            train = n * ~held[row]
-            # Counts of the words that have no code: all their tokens are in this partition.
-            w = known.code(token)
-            words_here, word = np.unique(token, return_inverse=True)
-            own = np.bincount(word, weights=train, minlength=len(words_here))
-            count = np.where(w >= 0, known.count[w], own[word])
-            pair = mix(token * np.uint64(0xC2B2AE3D27D4EB4F) + history)
-            order = np.argsort(pair, kind="stable")
-            first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
-            seen = np.add.reduceat(train[order], first)
-            r = np.empty(len(token), np.int64)
-            r[order] = np.repeat(seen, np.diff(np.append(first, len(order))))
-            log_p = known.log_p(count)
-            texts, text = np.unique(row, return_inverse=True)
-            by = lambda some, weights: np.bincount(text[some], weights=weights[some], minlength=len(texts))
-            fixed = n * (np.where(r > CUTOFF, np.log10(np.maximum(r, 1)), 0) + np.where(r == 0, log_p, 0))
-            values = [by(w < 0, n * np.log10(count + 1.0)), by((w < 0) & (count > 0), n), np.zeros(len(texts)), *[by(r == k, n) for k in range(1, CUTOFF + 1)], by(np.ones(len(r), bool), fixed)]
-            out.append(facts(TEXT, np.zeros(len(texts)), uid[texts], np.stack(values, axis=1)))
-            kept = order[first][seen > 0]
-            histories, at = np.unique(history[kept], return_inverse=True)
-            figures = [np.bincount(at, weights=10.0 ** log_p[kept], minlength=len(histories)), *[np.bincount(at, weights=r[kept] == k, minlength=len(histories)) for k in range(1, CUTOFF + 2)]]
-            out.append(facts(HISTORY, histories.view(np.int64), np.zeros(len(histories)), np.stack(figures, axis=1)))
-            none = r == 0
-            out.append(facts(BACKOFF, history[none].view(np.int64), uid[row[none]], n[none][:, None]))
+        row = flat("rows").astype(np.int32) + np.repeat((np.cumsum(sizes("uids")) - sizes("uids")).astype(np.int32), sizes("rows"))
+        n = flat("ns")
+        out = [
+            facts(TEXT, np.zeros(len(flat("sum_uids"))), flat("sum_uids"), flat("sums").reshape(-1, _VALUES), get["sum_ids"].flatten(), get["sum_helds"].flatten()),
+            facts(BACKOFF, flat("off_h"), flat("off_uids"), np.ones((len(flat("off_h")), 1))),
+        ]
+        del get, code, rare
+        texts = np.zeros((len(uid), _VALUES))
+        slices = -(-len(token) // SLICE)
+        which = (token >> np.uint64(20)) % np.uint64(max(slices, 1))  # a word's tokens, and so a pair's, are in one slice
+        for k in range(slices):
+            some = np.flatnonzero(which == np.uint64(k))
+            if len(some):
+                out += slice_facts(uid, held, token[some], history[some], row[some], n[some].astype(np.int64), texts)
+        out.append(facts(TEXT, np.zeros(len(uid)), uid, texts))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("part").applyInArrow(resolve, _FACTS_SCHEMA)
+    def slice_facts(uid, held, token, history, row, n, texts) -> list[pa.Table]:
+        """Adds to the sums of ``texts``; figures of the histories and the tokens that back off."""
+        train = n * ~held[row]
+        # Counts of the words that have no code: all their tokens are here.
+        w = known.code(token)
+        words_here, word = np.unique(token, return_inverse=True)
+        own = np.bincount(word, weights=train, minlength=len(words_here))
+        count = np.where(w >= 0, known.count[w], own[word])
+        pair = mix(token * np.uint64(0xC2B2AE3D27D4EB4F) + history)
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
+        seen = np.add.reduceat(train[order], first)
+        r = np.empty(len(token), np.int64)
+        r[order] = np.repeat(seen, np.diff(np.append(first, len(order))))
+        log_p = known.log_p(count)
+        fixed = np.where(r > CUTOFF, np.log10(np.maximum(r, 1)), 0) + np.where(r == 0, log_p, 0)
+        weights = [(w < 0) * np.log10(count + 1.0), (w < 0) & (count > 0), None, *[r == k for k in range(1, CUTOFF + 1)], fixed]
+        for k, weight in enumerate(weights):
+            if weight is not None:
+                texts[:, k] += np.bincount(row, weights=n * weight, minlength=len(texts))
+        kept = order[first][seen > 0]
+        histories, at = np.unique(history[kept], return_inverse=True)
+        figures = [np.bincount(at, weights=10.0 ** log_p[kept], minlength=len(histories)), *[np.bincount(at, weights=r[kept] == k, minlength=len(histories)) for k in range(1, CUTOFF + 2)]]
+        none = r == 0
+        return [
+            facts(HISTORY, histories.view(np.int64), np.zeros(len(histories)), np.stack(figures, axis=1)),
+            facts(BACKOFF, history[none].view(np.int64), uid[row[none]], n[none][:, None]),
+        ]
+
+    return dealt.groupBy("part").applyInArrow(resolve, _FACTS_SCHEMA.format(kind=id_kind))
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,8 +354,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     names = known.coded[np.argsort(np.where(known.hot >= 0, known.hot, HOT), kind="stable")[: (known.hot >= 0).sum()]]
     p = np.zeros(HOT)
     p[known.hot[known.hot >= 0]] = 10.0 ** known.log_p(known.count[known.hot >= 0])
-    rows = [(HISTORY, int(h.view(np.int64)), 0, float((seen_hot[k] * p).sum()), *[float((pairs[k] == r).sum()) for r in range(1, CUTOFF + 2)], 0.0, 0.0) for k, h in enumerate(names)]
-    extra = spark.createDataFrame(rows, _FACTS_SCHEMA) if rows else facts.limit(0)
+    rows = [(HISTORY, int(h.view(np.int64)), 0, None, None, float((seen_hot[k] * p).sum()), *[float((pairs[k] == r).sum()) for r in range(1, CUTOFF + 2)], 0.0, 0.0) for k, h in enumerate(names)]
+    extra = spark.createDataFrame(rows, facts.schema) if rows else facts.limit(0)
 
     figures = facts.filter(F.col("kind") == HISTORY).unionByName(extra)
     totals = figures.agg(*[F.coalesce(F.sum(f"v{k}"), F.lit(0.0)) for k in range(1, CUTOFF + 2)]).first()
@@ -345,19 +365,18 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     # alpha(h) * (c(h) + 1): the factor c(h) + 1 is in the text's sum already.
     weight = by_history.select("key", F.log10(freed / (1 - F.col("v0"))).alias("weight"))
     backoff = facts.filter(F.col("kind") == BACKOFF).join(weight, "key", "left").groupBy("uid").agg(F.sum(F.col("v0") * F.coalesce("weight", F.lit(0.0))).alias("backoff"))
-    sums = facts.filter(F.col("kind") == TEXT).groupBy("uid").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(_VALUES)])
+    sums = facts.filter(F.col("kind") == TEXT).groupBy("uid").agg(F.max("id").alias(id_col), F.max("held").alias("held_out"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(_VALUES)])
     seen = sum((F.col(f"v{2 + r}") * float(np.log10(d[r - 1] * r)) for r in range(1, CUTOFF + 1)), F.col("v8"))
     none = known.total == 0
-    scored = sums.join(backoff, "uid", "left").select(
-        "uid",
+    return sums.join(backoff, "uid", "left").select(
+        id_col,
+        "held_out",
         F.col("v2").cast("long").alias("n_tokens"),
         F.col("v1").cast("long").alias("n_known"),
         F.lit(int(known.total)).cast("long").alias("train_tokens"),
         (F.col("v0") - F.col("v2") * float(np.log10(known.total + known.distinct + 1))).alias("base_score"),
         (F.lit(0.0) if none else seen + F.coalesce("backoff", F.lit(0.0)) - F.col("v0")).alias("score"),
     )
-    out = source.select("uid", F.col("id").alias(id_col), F.col("held").alias("held_out")).join(scored, "uid")
-    return out.drop("uid")
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
