@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,7 @@ class Scratch:
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
         gc.collect()
+        time.sleep(1.5)  # the JVM hears of dropped Python references a second later
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
