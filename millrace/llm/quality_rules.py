@@ -18,11 +18,10 @@ read by ``measure`` and are kept by ``quality_stage``.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
 from millrace.session import Scratch
 
 SPACE = " \t\n\u000b\f\r"
@@ -39,11 +38,6 @@ TAIL = 1e-9
 _INDEX_BITS = 26
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, though lambdas inside ``body`` use it for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more; each word counts once.
 
@@ -176,9 +170,11 @@ def fit(measured: DataFrame, scratch: Scratch, lang_col: str = "lang", source_co
     within = _quantile(SHARE, len(x))
     consistent = SHARE / _cdf(within, len(x) + 2)
     for step in range(STEPS):
-        far = rows.join(estimate, ["level", "key"]).select("level", "key", "n", *x, _distance(x).alias("d2"))
+        far = rows.join(estimate, ["level", "key"]).select("level", "key", _distance(x).alias("d2"))
         cut = far.groupBy("level", "key").agg(F.percentile_approx("d2", SHARE).alias("cut"))
-        near = far.join(cut, ["level", "key"]).filter("d2 <= cut")
+        # A table again: its few rows, not those of a hot group, are what the next join moves.
+        limits = scratch.table(f"cut{step}", estimate.join(cut, ["level", "key"]))
+        near = rows.join(limits, ["level", "key"]).filter(_distance(x) <= F.col("cut")).select("level", "key", "n", *x)
         moments = near.groupBy("level", "key").agg(
             F.first("n").alias("n"),
             *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)],
@@ -193,11 +189,13 @@ def judge(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", sou
     x = list(STATISTICS)
     params = [c for c in estimates.columns if c[:2] in ("m_", "l_")]
     lang, source = F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    keys = [F.to_json(F.array(lang, source)), F.to_json(F.array(lang)), F.lit("")]
     out = measured
-    for level, key in enumerate(keys):
+    for level, key in enumerate([F.to_json(F.array(lang, source)), F.to_json(F.array(lang))]):
         one = estimates.filter(F.col("level") == level).select(F.col("key").alias("_key"), F.struct(*params).alias(f"_e{level}"))
         out = out.withColumn("_key", key).join(one, "_key", "left").drop("_key")
+    whole = estimates.filter("level = 2").select(*params).first()  # one row, or none
+    kind = "struct<" + ",".join(f"{c}:double" for c in params) + ">"
+    out = out.withColumn("_e2", F.struct(*[F.lit(float(whole[c])).alias(c) for c in params]) if whole else F.lit(None).cast(kind))
     out = out.withColumn("_e", F.coalesce("_e0", "_e1", "_e2")).drop("_e0", "_e1", "_e2")
     names = measured.columns
     out = out.select(*names, *[F.col(f"_e.{c}").alias(c) for c in params])
