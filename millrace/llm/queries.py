@@ -34,7 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op7_cgk_lsh": decontaminate_query,
-        "op8_heavy_light_jaccard": jaccard_join.SQL,
-    }
+    return {"op8_heavy_light_jaccard": jaccard_join.SQL}

@@ -33,6 +33,11 @@ def test_runs(spark, folder, corpus, name):
         assert sorted(r.doc_id for r in rows) == [r[0] for r in corpus]
 
 
+def test_sql_is_text():
+    sql = q.oracle_sql()
+    assert set(sql) <= set(q.queries()) and all(isinstance(text, str) for text in sql.values())
+
+
 def test_jaccard_sql(spark, folder):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
