@@ -18,6 +18,7 @@ read by ``measure`` and are kept by ``quality_stage``.
 from __future__ import annotations
 
 import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,8 +218,12 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``. The texts are measured again, not joined."""
+    """The documents that the rules keep, with the columns of ``docs``.
+
+    Each text is measured once: its row goes to the table of measures with it. The estimates read only the table's other columns,
+    and the filter ends at the table instead of measuring the texts again.
+    """
     scratch = Scratch(spark, "quality-stage")
-    estimates = fit(scratch.table("measured", measure(docs.select("text", "lang", "source"))), scratch)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    return judge(measure(rows), estimates).filter("kept").select("_row.*")
+    measured = scratch.table("measured", measure(rows))
+    return judge(measured, fit(measured.drop("_row"), scratch)).filter("kept").select("_row.*")

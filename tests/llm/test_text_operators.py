@@ -95,6 +95,17 @@ def test_outliers(spark, rows):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_quality_stage(spark, docs, corpus, nothing):
+    """The stage keeps the whole rows that the operator keeps, repeated ids and clashing column names included."""
+    clash = docs.unionByName(docs.filter("doc_id < 5")).withColumn("n_words", F.lit(7)).withColumn("key", F.lit("k"))
+    kept = {r.doc_id for r in quality_rules.quality_rules(clash).filter("kept").collect()}
+    out = quality_rules.quality_stage(spark, clash, "")
+    assert out.schema.fieldNames() == clash.schema.fieldNames()
+    want = [r for r in clash.collect() if r.doc_id in kept]
+    assert 5 <= len(kept) < len(corpus) and sorted(map(repr, out.collect())) == sorted(map(repr, want))
+    assert quality_rules.quality_stage(spark, nothing, "").count() == 0
+
+
 def test_mahalanobis_matches_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0.2, 0], [0, 0, 1, 0.4], [0, 0, 0, 1]])
