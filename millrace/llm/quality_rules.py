@@ -8,7 +8,8 @@ and that the whole table's, if it is large enough; else nothing is rejected. A t
 Mahalanobis distance exceeds the cutoff.
 
 All of it is DataFrame functions: repeated windows come from one sorted array a text, moments from partial aggregates, the
-4 x 4 Cholesky factor from column arithmetic on the small table of estimates. A hot group only adds to partial aggregates.
+4 x 4 Cholesky factor from column arithmetic on the small table of estimates. Aggregates combine on the map side first, but a
+join of the statistics with a group's estimate can still deal a hot group's rows (numbers, no texts) to one task; see the README.
 
 Defined results: a null text has no words and fails the base rules; null and empty language (or source) are one group;
 repeated rows are judged alike, each for itself; an empty table gives an empty result; further columns of the input are not
