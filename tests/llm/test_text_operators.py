@@ -158,6 +158,36 @@ def test_added_spans():
         assert pii.all_spans(text, model)[1] == []
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("phone 555-123-4567 555-987-6543", ["phone 555-123-4567", "phone 555-987-6543"]),
+        ("call (555) 123-4567 (555) 987-6543 now", ["phone (555) 123-4567", "phone (555) 987-6543"]),
+        ("card 4111.1111.1111.1111 12/27", ["card 4111.1111.1111.1111"]),
+        ("host 10[.]1[.]2[.]3 8080", ["ip 10[.]1[.]2[.]3"]),
+        ("Tel 12 555-123-4567", ["phone 555-123-4567"]),
+        ("tel (555) 123-4567 10.1.2.3", ["phone (555) 123-4567", "ip 10.1.2.3"]),
+    ],
+)
+def test_neighbouring_numbers(text, want):
+    assert [f"{k} {text[s:e]}" for k, s, e in pii.all_spans(text, pii.trained())[1]] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="0159 .()-+[]\ta", max_size=40))
+def test_candidates_are_all_stretches(text):
+    """Every stretch of whole digit groups with small gaps is proposed where its digits fit the kind."""
+    groups, want = [m.span() for m in re.finditer("[0-9]+", text)], set()
+    for i, (first, _) in enumerate(groups):
+        for j in range(i, len(groups)):
+            inside = text[first : groups[j][1]]
+            if re.fullmatch(r"[0-9]+(?:[ .\t()/\[\]-]{1,3}[0-9]+)*", inside):
+                n, start = sum(c in "0159" for c in inside), first - (text[max(0, first - 1) : first] in ("(", "+"))
+                want |= {(kind, start, groups[j][1]) for kind, fits in (("card", 12 <= n <= 19), ("phone", 7 <= n <= 15), ("ip", j - i == 3 and n <= 12)) if fits}
+    got = pii.candidates(text)
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_pii_trees_hold_out():
     model, held = pii.trained(), list(pii.examples(1500, 77))
     p, y = model.probability(np.array([pii.features(*e[:4]) for e in held], float)), np.array([e[4] for e in held])
