@@ -2,8 +2,9 @@
 
 Each text gives counts (words, symbols, repeated lines, words in repeated three-word windows). Texts that pass the base rules
 are described by four transformed statistics; for every (language, source) group a location and scatter come from the
-regularised MCD with deterministic start: medians and MADs choose the first three quarters, then concentration steps keep the
-three quarters nearest under the current estimate. Groups with fewer than ``MIN_GROUP`` texts use their language's estimate,
+regularised MCD with deterministic start: medians and MADs choose the first half, concentration steps keep the half nearest
+under the current estimate until it stands still, and the last estimate is made of all texts that lie near that one. So up to
+half of a group may be junk, copies of one page included, without moving its estimate to it. Groups with fewer than ``MIN_GROUP`` texts use their language's estimate,
 and that the whole table's, if it is large enough; else nothing is rejected. A text is rejected when its squared
 Mahalanobis distance exceeds the cutoff.
 
@@ -19,6 +20,7 @@ read by ``measure`` and are kept by ``quality_stage``.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,11 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The share of a group that the estimate rests on, and the smallest group with an estimate of its own.
-SHARE, MIN_GROUP, STEPS = 0.75, 50, 3
+SHARE, MIN_GROUP = 0.5, 50
+#: Steps end when no estimate moves by more than this share of the least deviations; more than MOST_STEPS are warned of.
+STILL, MOST_STEPS = 1e-3, 50
+#: The share of normal texts that the last, reweighted estimate is made of.
+NEAR = 0.975
 #: The least standard deviation of each statistic: a share of the texts may agree exactly, others may differ a little.
 STATISTICS = {"x_length": 0.06, "x_symbols": 0.35, "x_lines": 0.12, "x_repeats": 0.12}
 #: Chance that a normal text lies beyond the cutoff.
@@ -146,6 +152,14 @@ def _factor(moments: DataFrame, floors: list[float], scale: float) -> DataFrame:
     return out.select("level", "key", "n", *[f"m_{i}" for i in range(d)], *[f"l_{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
+def _moved(old: DataFrame, new: DataFrame, floors: list[float]) -> float:
+    """How far the estimates differ at most, in least deviations; 0 if there are none."""
+    params = [(c, floors[int(c[2])]) for c in new.columns if c[:2] in ("m_", "l_")]
+    before = old.select("level", "key", *[F.col(c).alias(f"_{c}") for c, _ in params])
+    apart = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) / floor for c, floor in params])
+    return new.join(before, ["level", "key"]).agg(F.max(apart)).first()[0] or 0.0
+
+
 def fit(measured: DataFrame, scratch: Scratch, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Regularised MCD estimates: one row for each group, language and the whole, with at least MIN_GROUP texts."""
     x, floors = list(STATISTICS), list(STATISTICS.values())
@@ -169,21 +183,27 @@ def fit(measured: DataFrame, scratch: Scratch, lang_col: str = "lang", source_co
         *[(F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + floors[i] ** 2) if i == j else zero).alias(f"l_{i}{j}") for i in range(len(x)) for j in range(i + 1)],
     )
     estimate = scratch.table("start", estimate)
-    within = _quantile(SHARE, len(x))
-    consistent = SHARE / _cdf(within, len(x) + 2)
-    for step in range(STEPS):
-        far = rows.join(estimate, ["level", "key"]).select("level", "key", _distance(x).alias("d2"))
-        cut = far.groupBy("level", "key").agg(F.percentile_approx("d2", SHARE).alias("cut"))
-        # A table again: its few rows, not those of a hot group, are what the next join moves.
-        limits = scratch.table(f"cut{step}", estimate.join(cut, ["level", "key"]))
+
+    def refit(name: str, limits: DataFrame, share: float) -> DataFrame:
         near = rows.join(limits, ["level", "key"]).filter(_distance(x) <= F.col("cut")).select("level", "key", "n", *x)
         moments = near.groupBy("level", "key").agg(
             F.first("n").alias("n"),
             *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)],
             *[F.covar_pop(x[i], x[j]).alias(f"c_{i}{j}") for i in range(len(x)) for j in range(i + 1)],
         )
-        estimate = scratch.table(f"step{step}", _factor(moments, floors, consistent))
-    return estimate
+        return scratch.table(name, _factor(moments, floors, share / _cdf(_quantile(share, len(x)), len(x) + 2)))
+
+    for step in range(MOST_STEPS):
+        far = rows.join(estimate, ["level", "key"]).select("level", "key", _distance(x).alias("d2"))
+        cut = far.groupBy("level", "key").agg(F.percentile_approx("d2", SHARE).alias("cut"))
+        # A table again: its few rows, not those of a hot group, are what the next join moves.
+        limits = scratch.table(f"cut{step}", estimate.join(cut, ["level", "key"]))
+        last, estimate = estimate, refit(f"step{step}", limits, SHARE)
+        if _moved(last, estimate, floors) <= STILL:
+            break
+    else:
+        warnings.warn(f"robust estimates still move after {MOST_STEPS} steps", stacklevel=2)
+    return refit("reweighted", estimate.withColumn("cut", F.lit(_quantile(NEAR, len(x)))), NEAR)
 
 
 def judge(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -95,6 +95,16 @@ def test_outliers(spark, rows):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_third_of_junk(spark):
+    """A third of a group is copies of one junk page that passes the base rules; all of it goes and nothing else."""
+    rng = random.Random(8)
+    make = lambda n, end: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) + end for _ in range(n))
+    clean, page = [(i, make(120, ""), "en", "hot") for i in range(200)], make(80, "###|")
+    junk = [(1000 + i, page, "en", "hot") for i in range(100)]
+    judged = quality_rules.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in judged) and {r.doc_id for r in judged if r.kept} == {r[0] for r in clean}
+
+
 def test_quality_stage(spark, docs, corpus, nothing):
     """The stage keeps the whole rows that the operator keeps, repeated ids and clashing column names included."""
     clash = docs.unionByName(docs.filter("doc_id < 5")).withColumn("n_words", F.lit(7)).withColumn("key", F.lit("k"))
