@@ -12,11 +12,14 @@ by text come back:
 * ``words``: the training count of each word, from partial counts of blocks of texts;
 * the ``CODED`` most frequent words (a fixed bound) are known to each task with their counts, as are the counts of the pairs of
   the ``HOT`` most frequent ones; such tokens are resolved where the text is, so no frequent pair makes a hot partition;
-* all other tokens go to the partition of their word, or of their pair if the word is a coded one, as arrays: a row is one
-  block's share of one partition. There pairs are counted and looked up; ``facts`` takes the sums by text, the figures
-  of the histories, and the tokens that back off;
+* all other tokens go to the part of their word, or of their pair if the word is a coded one, as arrays: a row is one block's
+  share of one part. There pairs are counted and looked up; ``facts`` takes the sums by text, the figures of the histories, the
+  tokens that back off, and the counted pairs. Parts are dealt in ``TURNS`` turns, which bounds what is on its way at once;
 * the backoff weights of the histories, from their figures, are joined to the tokens that back off.
 
+The model stays in tables: words and pairs with their counts, histories with their backoff weights. ``Model.score`` looks up
+the tokens of any texts there, one order after the other.
+
 Defined results: a null or empty text is the end mark alone; a word unseen in training has the unknown word's probability; without
 training texts each score is 0; repeated rows count and are scored each; an empty table gives an empty result; other columns
 aren't read. Where counts of counts don't give a discount in (0, 1), ``1 - 1/(2r)`` takes its place.
@@ -40,8 +43,9 @@ CODED, HOT = 60_000, 1024
 BEGIN, END = np.uint64(0x0B0E6B0E6B0E6B0F), np.uint64(0x0E4D0E4D0E4D0E4D)
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 30_000
 #: Training tokens that one partition should get, the fewest partitions, and the tokens that a task works on at once.
-PART_TOKENS, PARTS, SLICE = 4_000_000, 24, 600_000
-_VALUES = 9
+PART_TOKENS, PARTS, SLICE = 4_000_000, 24, 500_000
+#: The parts are dealt in so many turns, so that only that share of the tokens is on its way at once; pairs stored in a row.
+TURNS, CHUNK = 2, 50_000
 
 
 @dataclass
@@ -174,8 +178,8 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
 
 
-def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFrame:
-    """Rows of (part, arrays): the sums by text of what is resolved at once, and the other tokens by partition.
+def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int, turn: int = 0) -> DataFrame:
+    """Rows of (part, arrays) for the parts of one turn: the tokens to look up, and in turn 0 the sums by text of what is resolved at once.
 
     ``docs``: uid, held, text, id.
     """
@@ -183,26 +187,31 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
     log_count = np.log10(known.count + 1.0)
     log_p = known.log_p(known.count)
 
-    def share(uid: np.ndarray, held: np.ndarray, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        s, rows = stream(data, offsets), len(uid)
-        w, h = known.code(s.token), known.code(s.history)
-        sums = np.zeros((rows, _VALUES))
-        add = lambda k, row, weights=None: sums.__setitem__((slice(None), k), sums[:, k] + np.bincount(row, weights=weights, minlength=rows))
+    def at_once(s: Stream, w: np.ndarray, h: np.ndarray, hot: np.ndarray, uid: np.ndarray, held: np.ndarray, ids: pa.Array) -> list[pa.Array]:
+        """Columns of one row: the sums by text, and the hot tokens that back off."""
+        rows = len(uid)
+        sums, counts = np.zeros((rows, 2)), np.zeros((rows, _COUNTS), np.int32)
         c = w >= 0
-        add(0, s.row[c], log_count[w[c]])
-        add(1, s.row[c & (np.where(c, known.count[w], 0) > 0)])
-        add(2, s.row)
-        hot = c & (h >= 0)
-        hot[hot] = (known.hot[w[hot]] >= 0) & (known.hot[h[hot]] >= 0)
+        sums[:, 0] = np.bincount(s.row[c], weights=log_count[w[c]], minlength=rows)
+        counts[:, 0] = np.bincount(s.row, minlength=rows)
+        counts[:, 1] = np.bincount(s.row[c & (np.where(c, known.count[w], 0) > 0)], minlength=rows)
         r = pairs[known.hot[h[hot]], known.hot[w[hot]]]
         for k in range(1, CUTOFF + 1):
-            add(2 + k, s.row[hot][r == k])
+            counts[:, 1 + k] = np.bincount(s.row[hot][r == k], minlength=rows)
         fixed = np.where(r > CUTOFF, np.log10(np.maximum(r, 1)), 0) + np.where(r == 0, log_p[w[hot]], 0)
-        add(8, s.row[hot], fixed)
-        off_row, off_h = s.row[hot][r == 0], s.history[hot][r == 0]
+        sums[:, 1] = np.bincount(s.row[hot], weights=fixed, minlength=rows)
+        off = np.flatnonzero(hot)[r == 0]
+        return [pa.array(uid), ids, pa.array(held), pa.array(sums.ravel()), pa.array(counts.ravel()), pa.array(s.history[off].view(np.int64)), pa.array(uid[s.row[off]])]
 
-        token, history, row = s.token[~hot], s.history[~hot], s.row[~hot]
-        part = (mix(np.where(w[~hot] >= 0, token ^ (history * np.uint64(0x9E3779B97F4A7C15)), token)) % np.uint64(parts)).astype(np.int64)
+    def share(uid: np.ndarray, held: np.ndarray, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
+        s, rows = stream(data, offsets), len(uid)
+        w, h = known.code(s.token), known.code(s.history)
+        hot = (w >= 0) & (h >= 0)
+        hot[hot] = (known.hot[w[hot]] >= 0) & (known.hot[h[hot]] >= 0)
+        own = at_once(s, w, h, hot, uid, held, ids) if turn == 0 else None
+        part = (mix(np.where(w >= 0, s.token ^ (s.history * np.uint64(0x9E3779B97F4A7C15)), s.token)) % np.uint64(parts)).astype(np.int64)
+        some = np.flatnonzero(~hot & (part % TURNS == turn))
+        token, history, row, part = s.token[some], s.history[some], s.row[some], part[some]
         order = np.lexsort((row, history, token, part))
         token, history, row, part = token[order], history[order], row[order], part[order]
         new = np.ones(len(token), bool)
@@ -215,13 +224,15 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
         run[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(run)
         rare = code < 0
-        present = np.unique(part) if len(part) else uid[:1] % parts
+        present = np.unique(part) if len(part) else uid[: 1 if own else 0] % parts
         ends = lambda p: np.searchsorted(p, present, "right")
         # The rows that have tokens in a part, and each token's place among them.
         mine, place = np.unique(part * rows + row, return_inverse=True)
         mine_ends = ends(mine // rows)
         place -= np.concatenate([[0], mine_ends])[np.searchsorted(present, part)]
-        own = (np.arange(len(present)) >= int(uid[0]) % len(present)).astype(np.int64)  # one row of the block carries its sums
+        carries = (np.arange(len(present)) >= int(uid[0]) % max(len(present), 1)).astype(np.int64)  # one row of the block carries its sums
+        whole = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], carries * len(values)]).astype(np.int32)), values)
+        own = own or [pa.array([], pa.int64()), ids[:0], pa.array([], pa.bool_()), pa.array([], pa.float64()), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(present.astype(np.int32)),
@@ -233,12 +244,7 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
                 _lists(history[rare].view(np.int64), ends(part[rare]), pa.int64()),
                 _lists(place.astype(np.int16), ends(part), pa.int16()),
                 _lists(n.astype(np.int32), ends(part), pa.int32()),
-                _lists(uid, own * rows, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own * rows]).astype(np.int32)), ids),
-                _lists(held, own * rows, pa.bool_()),
-                _lists(sums.ravel(), own * sums.size, pa.float64()),
-                _lists(off_h.view(np.int64), own * len(off_h), pa.int64()),
-                _lists(uid[off_row], own * len(off_h), pa.int64()),
+                *map(whole, own),
             ],
             _DEALT,
         )
@@ -255,66 +261,74 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int) -> DataFr
     return docs.select("uid", "held", "text", "id").mapInArrow(blocks, _DEALT_SCHEMA.format(kind=kind))
 
 
-_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns", "sum_uids", "sum_ids", "sum_helds", "sums", "off_h", "off_uids"]
+_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns", "sum_uids", "sum_ids", "sum_helds", "sums", "sum_counts", "off_h", "off_uids"]
 _DEALT_SCHEMA = (
-    "part int, uids array<long>, helds array<boolean>, tokens array<long>, runs array<int>, codes array<short>, rares array<long>, "
-    "rows array<short>, ns array<int>, sum_uids array<long>, sum_ids array<{kind}>, sum_helds array<boolean>, sums array<double>, off_h array<long>, off_uids array<long>"
+    "part int, uids array<long>, helds array<boolean>, tokens array<long>, runs array<int>, codes array<short>, rares array<long>, rows array<short>, ns array<int>, "
+    "sum_uids array<long>, sum_ids array<{kind}>, sum_helds array<boolean>, sums array<double>, sum_counts array<int>, off_h array<long>, off_uids array<long>"
 )
-_FACTS = ["kind", "key", "uid", "id", "held", *[f"v{k}" for k in range(_VALUES)]]
-_FACTS_SCHEMA = "kind int, key long, uid long, id {kind}, held boolean, " + ", ".join(f"v{k} double" for k in range(_VALUES))
-#: Kinds of facts: sums of a text; figures of a history (P of the words seen after it, pairs seen 1, 2 .. times); a token that backs off.
-TEXT, HISTORY, BACKOFF = 0, 1, 2
+#: Kinds of facts: sums of a text; figures of a history; tokens of a text that back off after a history; counted pairs.
+TEXT, HISTORY, BACKOFF, PAIRS = 0, 1, 2, 3
+#: Counts of a text: tokens, known ones, pairs seen 1 .. CUTOFF times; of a history: 0, pairs seen 1 .. CUTOFF + 1 times.
+_COUNTS = CUTOFF + 2
+_FACTS = ["kind", "key", "uid", "id", "held", "a", "b", *[f"n{k}" for k in range(_COUNTS)], "pairs", "counts"]
+_FACTS_SCHEMA = "kind byte, key long, uid long, id {kind}, held boolean, a double, b double, " + ", ".join(f"n{k} int" for k in range(_COUNTS)) + ", pairs array<long>, counts array<int>"
 
 
 def look_up(dealt: DataFrame, known: Words) -> DataFrame:
-    """The facts of each partition."""
-    id_type: list[pa.DataType] = [pa.null()]
+    """The facts of each part. A part's tokens are worked on in slices of the words' hashes, and each slice's facts go out before the next."""
     id_kind = dealt.schema["sum_ids"].dataType.elementType.simpleString()
 
-    def facts(kind: int, key: np.ndarray, uid: np.ndarray, values: np.ndarray, ids: pa.Array | None = None, held: pa.Array | None = None) -> pa.Table:
-        full = np.zeros((len(key), _VALUES))
-        full[:, : values.shape[1]] = values
-        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(uid.astype(np.int64)), pa.nulls(len(key), id_type[0]) if ids is None else ids, pa.nulls(len(key), pa.bool_()) if held is None else held, *[pa.array(full[:, k]) for k in range(_VALUES)]]
-        return pa.table(columns, _FACTS)
-
-    def resolve(table: pa.Table) -> pa.Table:
-        get = {n: table[n].combine_chunks() for n in _DEALT[1:]}
-        id_type[0] = get["sum_ids"].type.value_type
-        flat = lambda n: get[n].flatten().to_numpy(zero_copy_only=False)
-        sizes = lambda n: get[n].value_lengths().to_numpy()
-        uid, held = flat("uids"), flat("helds")
-        token = np.repeat(flat("tokens").view(np.uint64), flat("runs"))
-        code = flat("codes").view(np.uint16)
-        rare = code == 0xFFFF
-        history = np.empty(len(code), np.uint64)
-        history[rare] = flat("rares").view(np.uint64)
-        history[~rare] = known.coded[code[~rare]]
-        row = flat("rows").astype(np.int32) + np.repeat((np.cumsum(sizes("uids")) - sizes("uids")).astype(np.int32), sizes("rows"))
-        n = flat("ns")
-        out = [
-            facts(TEXT, np.zeros(len(flat("sum_uids"))), flat("sum_uids"), flat("sums").reshape(-1, _VALUES), get["sum_ids"].flatten(), get["sum_helds"].flatten()),
-            facts(BACKOFF, flat("off_h"), flat("off_uids"), np.ones((len(flat("off_h")), 1))),
-        ]
-        del get, code, rare
-        texts = np.zeros((len(uid), _VALUES))
-        slices = -(-len(token) // SLICE)
-        which = (token >> np.uint64(20)) % np.uint64(max(slices, 1))  # a word's tokens, and so a pair's, are in one slice
+    def facts(kind: int, rows: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
+        types = {"key": pa.int64(), "uid": pa.int64(), "id": id_type, "held": pa.bool_(), "a": pa.float64(), "b": pa.float64(), "pairs": pa.list_(pa.int64()), "counts": pa.list_(pa.int32())}
+        out = [pa.array(np.full(rows, kind, np.int8))]
+        for name in _FACTS[1:]:
+            t = types.get(name, pa.int32())
+            v = columns.get(name)
+            out.append(pa.nulls(rows, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, t))
+        return pa.RecordBatch.from_arrays(out, _FACTS)
+
+    def texts(uid: np.ndarray, sums: np.ndarray, counts: np.ndarray, id_type: pa.DataType, ids: pa.Array | None = None, held: pa.Array | None = None) -> pa.RecordBatch:
+        return facts(TEXT, len(uid), id_type, uid=uid, id=ids, held=held, a=sums[:, 0].copy(), b=sums[:, 1].copy(), **{f"n{k}": counts[:, k].copy() for k in range(_COUNTS)})
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, uids, helds, most, id_type = [], [], [], 0, pa.null()
+        for batch in batches:
+            get = {n: batch.column(_DEALT.index(n)) for n in _DEALT[1:]}
+            id_type = get["sum_ids"].type.value_type
+            if len(own := get["sum_uids"].flatten()):
+                yield texts(own.to_numpy(), get["sums"].flatten().to_numpy().reshape(-1, 2), get["sum_counts"].flatten().to_numpy().reshape(-1, _COUNTS), id_type, get["sum_ids"].flatten(), get["sum_helds"].flatten())
+            if len(off := get["off_h"].flatten()):
+                yield facts(BACKOFF, len(off), id_type, key=off, uid=get["off_uids"].flatten(), n0=np.ones(len(off), np.int32))
+            for k in range(batch.num_rows):
+                one = {n: get[n][k].values.to_numpy(zero_copy_only=False) for n in ("uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns")}
+                # Copied, so that the batch's other columns can go.
+                blocks.append([one["tokens"].view(np.uint64).copy(), np.concatenate([[0], np.cumsum(one["runs"])]), one["codes"].view(np.uint16).copy(), one["rares"].view(np.uint64).copy(), one["rows"].copy(), one["ns"].copy(), most, 0])
+                uids.append(one["uids"].copy())
+                helds.append(one["helds"].copy())
+                most += len(one["uids"])
+        uid, held = np.concatenate([np.zeros(0, np.int64), *uids]), np.concatenate([np.zeros(0, bool), *helds])
+        sums, counts = np.zeros((len(uid), 2)), np.zeros((len(uid), _COUNTS), np.int32)
+        slices = max(1, -(-sum(len(b[2]) for b in blocks) // SLICE))
+        bounds = [np.uint64(k * 2**64 // slices) for k in range(slices)]
         for k in range(slices):
-            some = np.flatnonzero(which == np.uint64(k))
-            if len(some):
-                out += slice_facts(uid, held, token[some], history[some], row[some], n[some].astype(np.int64), texts)
-        out.append(facts(TEXT, np.zeros(len(uid)), uid, texts))
-        return pa.concat_tables(out)
-
-    def slice_facts(uid, held, token, history, row, n, texts) -> list[pa.Table]:
-        """Adds to the sums of ``texts``; figures of the histories and the tokens that back off."""
+            some = [_slice(b, known, bounds[k], bounds[k + 1] if k + 1 < slices else None) for b in blocks]
+            token, history, row, n = (np.concatenate(c) for c in zip(*some, strict=True)) if some else (np.zeros(0, np.uint64),) * 4
+            del some
+            if len(token):
+                yield from slice_facts(uid, held, token, history, row, n.astype(np.int64), sums, counts, id_type)
+        if len(uid):
+            yield texts(uid, sums, counts, id_type)
+
+    def slice_facts(uid, held, token, history, row, n, sums, counts, id_type) -> Iterator[pa.RecordBatch]:
+        """Adds to the sums of the texts; figures of the histories, the tokens that back off and the pairs' counts."""
         train = n * ~held[row]
         # Counts of the words that have no code: all their tokens are here.
         w = known.code(token)
         words_here, word = np.unique(token, return_inverse=True)
         own = np.bincount(word, weights=train, minlength=len(words_here))
         count = np.where(w >= 0, known.count[w], own[word])
-        pair = mix(token * np.uint64(0xC2B2AE3D27D4EB4F) + history)
+        del words_here, word, own
+        pair = pair_key(token, history)
         order = np.argsort(pair, kind="stable")
         first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
         seen = np.add.reduceat(train[order], first)
@@ -322,61 +336,136 @@ def look_up(dealt: DataFrame, known: Words) -> DataFrame:
         r[order] = np.repeat(seen, np.diff(np.append(first, len(order))))
         log_p = known.log_p(count)
         fixed = np.where(r > CUTOFF, np.log10(np.maximum(r, 1)), 0) + np.where(r == 0, log_p, 0)
-        weights = [(w < 0) * np.log10(count + 1.0), (w < 0) & (count > 0), None, *[r == k for k in range(1, CUTOFF + 1)], fixed]
-        for k, weight in enumerate(weights):
-            if weight is not None:
-                texts[:, k] += np.bincount(row, weights=n * weight, minlength=len(texts))
+        sums[:, 0] += np.bincount(row, weights=n * (w < 0) * np.log10(count + 1.0), minlength=len(sums))
+        sums[:, 1] += np.bincount(row, weights=n * fixed, minlength=len(sums))
+        for k, which in enumerate([(w < 0) & (count > 0), *[r == k for k in range(1, CUTOFF + 1)]]):
+            counts[:, 1 + k] += np.bincount(row[which], weights=n[which], minlength=len(counts)).astype(np.int32)
+        none = np.flatnonzero(r == 0)
+        if len(none):
+            yield facts(BACKOFF, len(none), id_type, key=history[none].view(np.int64), uid=uid[row[none]], n0=n[none].astype(np.int32))
         kept = order[first][seen > 0]
+        for a in range(0, len(kept), CHUNK):
+            some = kept[a : a + CHUNK]
+            ends = [0, len(some)]
+            yield facts(PAIRS, 1, id_type, pairs=pa.ListArray.from_arrays(ends, pa.array(pair[some].view(np.int64))), counts=pa.ListArray.from_arrays(ends, pa.array(r[some].astype(np.int32))))
         histories, at = np.unique(history[kept], return_inverse=True)
-        figures = [np.bincount(at, weights=10.0 ** log_p[kept], minlength=len(histories)), *[np.bincount(at, weights=r[kept] == k, minlength=len(histories)) for k in range(1, CUTOFF + 2)]]
-        none = r == 0
-        return [
-            facts(HISTORY, histories.view(np.int64), np.zeros(len(histories)), np.stack(figures, axis=1)),
-            facts(BACKOFF, history[none].view(np.int64), uid[row[none]], n[none][:, None]),
-        ]
+        figures = {f"n{k}": np.bincount(at[r[kept] == k], minlength=len(histories)).astype(np.int32) for k in range(1, CUTOFF + 2)}
+        yield facts(HISTORY, len(histories), id_type, key=histories.view(np.int64), a=np.bincount(at, weights=10.0 ** log_p[kept], minlength=len(histories)), **figures)
 
     return dealt.groupBy("part").applyInArrow(resolve, _FACTS_SCHEMA.format(kind=id_kind))
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``."""
+def _slice(block: list, known: Words, low: np.uint64, high: np.uint64 | None) -> tuple[np.ndarray, ...]:
+    """Token, history, row and count of one block's tokens with hashes from low to high; slices are asked for in order."""
+    tokens, at, codes, rares, rows, ns, shift, done = block
+    i, j = int(np.searchsorted(tokens, low)), len(tokens) if high is None else int(np.searchsorted(tokens, high))
+    a, b = at[i], at[j]
+    code = codes[a:b]
+    rare = code == 0xFFFF
+    history = known.coded[np.where(rare, 0, code)]
+    block[7] = done + int(rare.sum())
+    history[rare] = rares[done : block[7]]
+    return np.repeat(tokens[i:j], np.diff(at[i : j + 1])), history, rows[a:b].astype(np.int32) + np.int32(shift), ns[a:b]
+
+
+def pair_key(token: np.ndarray, history: np.ndarray) -> np.ndarray:
+    return mix(token * np.uint64(0xC2B2AE3D27D4EB4F) + history)
+
+
+@dataclass
+class Model:
+    """The stored tables of a trained model: words (word, c), pairs (pair, c) and histories (history, c, weight)."""
+
+    known: Words
+    discount: np.ndarray
+    words: DataFrame
+    pairs: DataFrame
+    histories: DataFrame
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """id and ``score`` of every row of ``docs``, which needn't be training texts: each token is looked up in the tables."""
+        kind = docs.schema[id_col].dataType.simpleString()
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch.column(2))
+                for a, b in steps(offsets, BLOCK_BYTES):
+                    s = stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    row = pa.array(s.row + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(v.view(np.int64)) for v in (s.token, s.history, pair_key(s.token, s.history)))], ["uid", "id", "word", "history", "pair"])
+
+        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+        tokens = rows.mapInArrow(split, f"uid long, id {kind}, word long, history long, pair long")
+        low = lambda c, d: F.when(c <= CUTOFF, c * F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(c, F.lit(CUTOFF)).cast("int"))).otherwise(c)
+        found = (
+            tokens.join(self.pairs.select("pair", F.col("c").alias("c2")), "pair", "left")
+            .join(self.histories.select("history", F.col("c").alias("ch"), "weight"), "history", "left")
+            .join(self.words.select("word", F.col("c").alias("c1")), "word", "left")
+        )
+        k = self.known
+        one = F.when(F.col("c1") > 0, low(F.col("c1"), k.discount) * (1 - k.spare) / max(k.total, 1)).otherwise(F.lit(float(k.unknown)))
+        # The recursion: a pair's own probability where it was seen, else the history's weight and the shorter context.
+        two = F.when(F.col("c2") > 0, F.log10(low(F.col("c2"), self.discount) / (F.col("ch") + 1))).otherwise(F.coalesce("weight", F.lit(0.0)) + F.log10(one))
+        total = F.sum(two) if k.total else F.lit(0.0)
+        return found.groupBy("uid").agg(F.max("id").alias(id_col), total.alias("score")).select(id_col, "score")
+
+
+def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = count_words(source, scratch)
+    words = spark.read.schema("word long, c long").parquet(scratch.path("words"))
     scratch.release()
     pairs = count_hot(source, known)
     parts = max(PARTS, -(-known.total // PART_TOKENS))
-    facts = scratch.table("facts", look_up(deal(source, known, pairs, parts), known))
-    scratch.release()
+    facts = None
+    for turn in range(TURNS):
+        part = scratch.table(f"facts{turn}", look_up(deal(source, known, pairs, parts, turn), known))
+        facts = part if facts is None else facts.unionByName(part)
+        scratch.release()
 
-    seen_hot = pairs > 0
+    # The pairs of hot words: their counts are known here, bounded by HOT squared.
     names = known.coded[np.argsort(np.where(known.hot >= 0, known.hot, HOT), kind="stable")[: (known.hot >= 0).sum()]]
     p = np.zeros(HOT)
     p[known.hot[known.hot >= 0]] = 10.0 ** known.log_p(known.count[known.hot >= 0])
-    rows = [(HISTORY, int(h.view(np.int64)), 0, None, None, float((seen_hot[k] * p).sum()), *[float((pairs[k] == r).sum()) for r in range(1, CUTOFF + 2)], 0.0, 0.0) for k, h in enumerate(names)]
-    extra = spark.createDataFrame(rows, facts.schema) if rows else facts.limit(0)
-
-    figures = facts.filter(F.col("kind") == HISTORY).unionByName(extra)
-    totals = figures.agg(*[F.coalesce(F.sum(f"v{k}"), F.lit(0.0)) for k in range(1, CUTOFF + 2)]).first()
+    figures_schema = "key long, a double, " + ", ".join(f"n{k} int" for k in range(1, _COUNTS))
+    rows = [(int(h.view(np.int64)), float(((pairs[k] > 0) * p).sum()), *[int((pairs[k] == r).sum()) for r in range(1, _COUNTS)]) for k, h in enumerate(names)]
+    columns = ["key", "a", *[f"n{k}" for k in range(1, _COUNTS)]]
+    figures = facts.filter(F.col("kind") == HISTORY).select(*columns).unionByName(spark.createDataFrame(rows, figures_schema))
+    totals = figures.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(1, _COUNTS)]).first()
     d = discounts(list(totals))
-    by_history = figures.groupBy("key").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(CUTOFF + 1)])
-    freed = sum((F.col(f"v{r}") * float((1 - d[r - 1]) * r) for r in range(1, CUTOFF + 1)), F.lit(1.0))
+    by_history = figures.groupBy("key").agg(F.sum("a").alias("a"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(1, CUTOFF + 1)])
+    freed = sum((F.col(f"n{r}") * float((1 - d[r - 1]) * r) for r in range(1, CUTOFF + 1)), F.lit(1.0))
     # alpha(h) * (c(h) + 1): the factor c(h) + 1 is in the text's sum already.
-    weight = by_history.select("key", F.log10(freed / (1 - F.col("v0"))).alias("weight"))
-    backoff = facts.filter(F.col("kind") == BACKOFF).join(weight, "key", "left").groupBy("uid").agg(F.sum(F.col("v0") * F.coalesce("weight", F.lit(0.0))).alias("backoff"))
-    sums = facts.filter(F.col("kind") == TEXT).groupBy("uid").agg(F.max("id").alias(id_col), F.max("held").alias("held_out"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(_VALUES)])
-    seen = sum((F.col(f"v{2 + r}") * float(np.log10(d[r - 1] * r)) for r in range(1, CUTOFF + 1)), F.col("v8"))
+    weight = scratch.table("weights", by_history.select("key", F.log10(freed / (1 - F.col("a"))).alias("weight")))
+    backoff = facts.filter(F.col("kind") == BACKOFF).join(weight, "key", "left").groupBy("uid").agg(F.sum(F.col("n0") * F.coalesce("weight", F.lit(0.0))).alias("backoff"))
+    sums = facts.filter(F.col("kind") == TEXT).groupBy("uid").agg(F.max("id").alias(id_col), F.max("held").alias("held_out"), *[F.sum(c).alias(c) for c in ("a", "b", *[f"n{k}" for k in range(_COUNTS)])])
+    seen = sum((F.col(f"n{1 + r}") * float(np.log10(d[r - 1] * r)) for r in range(1, CUTOFF + 1)), F.col("b"))
     none = known.total == 0
-    return sums.join(backoff, "uid", "left").select(
+    scored = sums.join(backoff, "uid", "left").select(
         id_col,
         "held_out",
-        F.col("v2").cast("long").alias("n_tokens"),
-        F.col("v1").cast("long").alias("n_known"),
+        F.col("n0").cast("long").alias("n_tokens"),
+        F.col("n1").cast("long").alias("n_known"),
         F.lit(int(known.total)).cast("long").alias("train_tokens"),
-        (F.col("v0") - F.col("v2") * float(np.log10(known.total + known.distinct + 1))).alias("base_score"),
-        (F.lit(0.0) if none else seen + F.coalesce("backoff", F.lit(0.0)) - F.col("v0")).alias("score"),
+        (F.col("a") - F.col("n0") * float(np.log10(known.total + known.distinct + 1))).alias("base_score"),
+        (F.lit(0.0) if none else seen + F.coalesce("backoff", F.lit(0.0)) - F.col("a")).alias("score"),
     )
+    h, w = np.nonzero(pairs[: len(names), : len(names)])
+    hot_rows = spark.createDataFrame(pa.table({"pair": pair_key(names[w], names[h]).view(np.int64), "c": pairs[h, w]}))
+    counted = facts.filter(F.col("kind") == PAIRS).select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.counts").cast("long").alias("c"))
+    # The begin mark is counted as often as the end mark.
+    ends = words.filter(F.col("word") == int(END.view(np.int64))).select(F.lit(int(BEGIN.view(np.int64))).alias("history"), "c")
+    history = weight.join(words.select(F.col("word").alias("key"), "c"), "key").select(F.col("key").alias("history"), "c", (F.col("weight") - F.log10(F.col("c") + 1)).alias("weight"))
+    begin = weight.join(ends, weight["key"] == ends["history"]).select("history", "c", (F.col("weight") - F.log10(F.col("c") + 1)).alias("weight"))
+    return scored, Model(known, d, words, counted.union(hot_rows), history.union(begin))
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``."""
+    return train_and_score(docs, held_out, id_col, text_col)[0]
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:

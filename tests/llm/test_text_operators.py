@@ -508,6 +508,29 @@ def test_katz(spark, monkeypatch, hot, coded, size):
     assert sum(r.score for r in fair) > sum(r.base_score for r in fair)
 
 
+@pytest.mark.parametrize("hot,coded", [(1024, 60_000), (4, 20)])
+def test_katz_tables(spark, monkeypatch, hot, coded):
+    """The stored tables score texts: those of the corpus as the one pass does, and others as dictionaries do."""
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "CODED", coded)
+    rows = katz_rows()
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored, model = katz.train_and_score(frame, held)
+    want = {r.doc_id: r.score for r in scored.collect()}
+    got = {r.doc_id: r.score for r in model.score(frame).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in got)
+    pairs = collections.Counter()
+    for i, t, h in rows:
+        if not h:
+            pairs.update(zip(["begin", *tokens(t)], [*tokens(t), None]))
+    assert sorted(r.c for r in model.pairs.collect()) == sorted(pairs.values()) and model.pairs.select("pair").distinct().count() == len(pairs)
+    other = [(900, "w1 w2 THE w3 unseen w4", True), (901, "", True), (902, None, True)]
+    want = brute_katz(rows + other)
+    got = {r.doc_id: r.score for r in model.score(spark.createDataFrame([o[:2] for o in other], "doc_id long, text string")).collect()}
+    assert all(math.isclose(got[i], want[i][4], rel_tol=1e-9, abs_tol=1e-9) for i in got) and len(got) == 3
+
+
 def test_katz_of_nothing(spark, nothing):
     assert katz.score_texts(nothing, F.lit(False)).count() == 0
     one = katz.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
