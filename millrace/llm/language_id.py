@@ -5,11 +5,13 @@ counts and of unit length. Every language keeps several centroids, found by sphe
 gets the language of the centroid with the largest cosine. A text farther from all centroids of that language than all
 but a few of its training texts is marked ``rejected``; the nearest language is still reported.
 
-The classifier, document frequencies included, is fitted on at most ``MAX_SAMPLE`` labelled texts, spread evenly over the
-languages and chosen by a hash of their id; whole texts are used. Every text is then scored where it lies, without a shuffle.
+Document frequencies are counted over all labelled texts. Centroids are fitted on about ``MAX_SAMPLE`` of them, spread evenly over
+the languages and chosen by a hash of the text, at least one of each language; whole texts are used. Every text is then scored
+where it lies, without a shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled text everything is ``und``;
-null labels don't teach; repeated rows are scored alike; an empty table gives an empty result; other columns aren't read.
+null labels don't teach; repeated rows are scored alike, and copies of a text teach centroids once; ids may have any type and be null
+(not held out); an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -76,10 +78,15 @@ class Model:
         return top, score, best[np.arange(len(top)), top] < self.least[top]
 
 
-def fit(x: np.ndarray, labels: list[str], centroids: int = CENTROIDS) -> Model:
-    """Spherical k-means for each language; starts are the farthest-first texts, so the result is the same each time."""
+def fit(x: np.ndarray, labels: list[str], centroids: int = CENTROIDS, frequency: np.ndarray | None = None, texts: int = 0) -> Model:
+    """Spherical k-means for each language; starts are the farthest-first texts, so the result is the same each time.
+
+    ``frequency``: in how many of ``texts`` texts each trigram occurs; counted in ``x`` unless given.
+    """
     languages = sorted(set(labels))
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    if frequency is None:
+        frequency, texts = (x > 0).sum(axis=0), len(x)
+    idf = np.log((1 + texts) / (1 + frequency)).astype(np.float32) + 1
     unit, mine = _unit(x * idf), np.array([languages.index(v) for v in labels])
     out, owner, least = [], [], []
     for k in range(len(languages)):
@@ -97,32 +104,47 @@ def fit(x: np.ndarray, labels: list[str], centroids: int = CENTROIDS) -> Model:
     return Model(languages, idf, np.vstack(out).astype(np.float32), np.array(owner), np.array(least))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_sample: int = MAX_SAMPLE) -> Model | None:
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each trigram occurs, and the number of texts. ``texts``: one column."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            total[DIMS] += batch.num_rows
+            for a, b in _ranges(offsets):
+                total[:DIMS] += (vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(total)], ["slot", "n"])
+
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
+        out[r["slot"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_sample: int = MAX_SAMPLE) -> Model | None:
     """A model from the rows of ``labelled`` with a text that has a letter and a language; None if there is none."""
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[lang_col]: r["n"] for r in usable.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_sample).collect()}
-    if not counts:
+    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(17), text_col), F.lit(1 << 40)).alias("place"))
+    # One row a language: how many texts, and the first by hash.
+    by_language = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    languages = by_language.count()
+    if not languages:
         return None
-    each = max_sample / len(counts)
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, each / n))).otherwise(rate)
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 20)) < rate * (1 << 20)).select(id_col, lang_col, text_col)
+    limit = F.least(F.lit(1.0), F.lit(max_sample / languages) / F.col("n")) * (1 << 40)
+    chosen = usable.join(by_language, "lang").filter((F.col("place") < limit) | (F.col("place") == F.col("least")))
+    once = chosen.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(1))
             for a, b in _ranges(offsets):
                 x = vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].cast(pa.int64()), batch.column(1)[a:b].cast(pa.string()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())],
-                    ["id", "lang", "x"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    sample = sorted(chosen.mapInArrow(encode, "id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["id"] is not None, r["id"], r["x"]))
-    if not sample:
-        return None
-    return fit(np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in sample]), [r["lang"] for r in sample])
+    sample = sorted((r["lang"], bytes(r["x"])) for r in once.select("lang", "text").mapInArrow(encode, "lang string, x binary").collect())
+    frequency, texts = frequencies(usable.select("text"))
+    return fit(np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x in sample]), [lang for lang, _ in sample], frequency=frequency, texts=texts)
 
 
 def _ranges(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -156,6 +178,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = train(docs.filter(~held_out))
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

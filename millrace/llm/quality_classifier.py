@@ -2,13 +2,15 @@
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words, all of its text. Every passage is encoded (character classes, word
 statistics and hashed byte pairs, through a dense layer), gated attention learnt from document labels weighs the passages, and
-the weighted mean is scored. Training: gradient descent on at most ``MAX_SAMPLE`` labelled documents, chosen by a hash of their
-id, each by at most ``MAX_PASSAGES`` evenly spaced passages. Scoring: every passage of every document, where it lies, without
-a shuffle.
+the weighted mean is scored. Training: gradient descent on all passages of labelled documents of at most ``MAX_SAMPLE`` different
+ids, chosen by a hash of the id and taken in the hash's order; a document whose passages would make the sample larger than
+``MAX_PASSAGES`` passages is left out. Scoring: every passage of every document, where it lies, without a shuffle. A passage's
+features come from its own words alone, so a text scores the same in any batch.
 
 Defined results: a null or empty text is one passage without words; without labels each score is 0.5, with labels of one kind
-that kind's value; null labels don't teach, of several labels of a document the largest counts; repeated rows are scored
-alike; an empty table gives an empty result; other columns aren't read.
+that kind's value; null labels and null ids don't teach, of several labels of a document the largest counts, of several texts of
+one id the one with the least hash teaches; repeated rows are scored alike; an empty table gives an empty result; other columns
+aren't read; a null id is not held out.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.words import LOWER, SPACE, hashes, mix, ngrams, steps, utf8, words
+from millrace.session import Scratch
 
 PASSAGE_WORDS = 64
 PAIRS = 256
-MAX_SAMPLE, MAX_PASSAGES = 4000, 32
+MAX_SAMPLE, MAX_PASSAGES = 4000, 60_000
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 24, 64, 0.004, 1e-4
 ACCEPT = 0.7
@@ -66,7 +69,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     chars = np.bincount(of_word, weights=ends - starts, minlength=total)
     h = hashes(data, starts, ends)
     distinct = _distinct(of_word, h, total)
-    triples = _distinct(of_word[:-2], ngrams(h, 3), total) if len(h) > 2 else np.zeros(total)
+    # Windows that lie whole in a passage.
+    inside = of_word[:-2] == of_word[2:]
+    triples = _distinct(of_word[:-2][inside], ngrams(h, 3)[inside], total)
     stats = np.stack([np.log1p(n_words), chars / np.maximum(n_words, 1), distinct / np.maximum(n_words, 1), triples / np.maximum(n_words, 1)], axis=1)
     folded = LOWER[data].astype(np.int64)
     slot = ((folded[:-1] * 0x9E37 + folded[1:] * 0x85EB) >> 3) % PAIRS
@@ -159,26 +164,32 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     n = known.count()
     if not n:
         return 0.5
-    # At most about max_sample rows, so this side is small enough to broadcast.
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(1 << 20)) < min(1.0, max_sample / n) * (1 << 20))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string"), "_y", text_col)
+    # At most about max_sample ids, so this side is small enough to broadcast.
+    chosen = known.filter(F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(1 << 40)) < min(1.0, max_sample / n) * (1 << 40))
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "_y").agg(F.min(F.struct(F.xxhash64(text_col), text_col)).alias("_t"))
+    rows = texts.select(F.xxhash64(F.lit(31), id_col), F.col(id_col).cast("string"), "_y", F.col(f"_t.{text_col}"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(3))
             for a, b in steps(offsets):
                 x, at = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                some = [x[at[k] : at[k + 1]] for k in range(b - a)]
-                some = [s[np.linspace(0, len(s) - 1, min(len(s), MAX_PASSAGES)).astype(int)] for s in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([s.astype(np.float16).tobytes() for s in some], pa.binary())], ["id", "y", "x"])
-
-    sample = sorted(rows.mapInArrow(encode, "id string, y int, x binary").collect(), key=lambda r: (r["id"], r["x"]))
-    y = np.array([min(max(r["y"], 0), 1) for r in sample], np.float32)
+                some = [x[at[k] : at[k + 1]].astype(np.float16).tobytes() for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(np.diff(at)), pa.array(some, pa.binary())], ["place", "id", "y", "parts", "x"])
+
+    sample = Scratch(docs.sparkSession, "classifier").table("sample", rows.mapInArrow(encode, "place long, id string, y int, parts long, x binary"))
+    total, taken = 0, []
+    for r in sorted(sample.select("place", "id", "parts").collect()):
+        if total + r["parts"] <= MAX_PASSAGES:
+            total += r["parts"]
+            taken.append(r["id"])
+    bags = sorted(sample.filter(F.col("id").isin(taken)).select("place", "id", "y", "x").collect()) if taken else []
+    y = np.array([min(max(r["y"], 0), 1) for r in bags], np.float32)
     if not len(y):
         return 0.5
     if y.min() == y.max():
         return float(y[0])
-    return fit([np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in sample], y)
+    return fit([np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in bags], y)
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,6 +211,6 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 def classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = train(docs, labels.filter(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -1,11 +1,14 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters rows uniformly into memory-sized buckets by a seeded hash; pass two runs a Fisher-Yates shuffle inside
-each bucket and writes it. Laid end to end, the buckets form one random order of the whole table, which is cut into shards
-whose row counts differ by at most one (law ``rows``). No task holds more than a bucket, whatever the keys or copies.
+Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of all their columns; pass two runs a Fisher-Yates
+shuffle inside each bucket and writes it. Laid end to end, the buckets form one random order of the whole table, which is cut into
+shards whose row counts differ by at most one (law ``rows``). Equal rows would share a bucket; where more than ``REPEATS`` of
+them occur they are counted, kept once and dealt out anew with a number each, so a bucket holds its share of them only and no
+task more than a bucket, whatever the copies. A bucket's first place in the order is the sum of the buckets before it, taken by
+runs of ``RUN`` buckets, so that no task sees all of them.
 
 Defined results: a null text counts as empty and keeps its row; repeated rows each get a slot of their own; an empty table
-gives empty shards; columns of the input named like the operator's own (``shard``, ``slot``, ``bucket``) are replaced.
+gives empty shards; columns of the input named ``shard`` or ``slot`` are replaced, others of any name are kept (a map isn't hashed).
 The order depends on the rows and the seed alone, so a task that runs again writes the same rows.
 """
 
@@ -23,38 +26,53 @@ from millrace.session import Scratch
 
 SHARDS = 16
 SEED = 20260101
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+REPEATS, RUN = 1000, 4096
 
 
-def write_shards(
-    docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def _first_rows(counts: DataFrame) -> DataFrame:
+    """(bucket, first_row): how many rows the buckets before hold. ``counts``: bucket, n."""
+    runs = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = runs.withColumn("inside", F.coalesce(F.sum("n").over(before.partitionBy("run").orderBy("bucket")), F.lit(0)))
+    # A row for every RUN buckets.
+    starts = runs.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(before.orderBy("run")), F.lit(0)).alias("start"))
+    return inside.join(starts, "run").select("bucket", (F.col("start") + F.col("inside")).alias("first_row"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
     """Write ``docs`` in random order under ``path``, one folder a shard, and return them as read back with shard and slot."""
-    docs = docs.drop("shard", "slot", "bucket")
+    spark, docs = docs.sparkSession, docs.drop("shard", "slot")
+    scratch = Scratch(spark, "sharding")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.octet_length(text_col), F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")))
-    placed = docs.withColumn("bucket", F.pmod(key, F.lit(buckets)).cast("int"))
-    # One row a bucket: the rows before it, by a window over that small table.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_row"))
+    plain = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), *[F.xxhash64(F.lit(seed + k), *plain).alias(f"key{k}") for k in range(2)])
+    often = scratch.table("often", packed.groupBy("key0", "key1").count().filter(F.col("count") > REPEATS).select("key0", "key1"))
+    keyed = packed.withColumn("number", F.lit(0).cast("long"))
+    if not often.isEmpty():
+        same = packed.join(often, ["key0", "key1"], "left_semi").groupBy("row", "key0", "key1").agg(F.count("*").alias("n"))
+        again = same.select("row", "key0", "key1", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("number"))
+        keyed = keyed.join(often, ["key0", "key1"], "left_anti").select(*again.columns).union(again)
+    placed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key0", "number"), F.lit(buckets)))
+    offsets = _first_rows(placed.groupBy("bucket").agg(F.count("*").alias("n")))
     schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
-    names = [f.name for f in docs.schema.fields]
+    names = docs.columns
 
     def fisher_yates(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+        table = table.sort_by([("key0", "ascending"), ("key1", "ascending"), ("number", "ascending")])
         bucket, first = table["bucket"][0].as_py(), table["first_row"][0].as_py()
         order = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(table.num_rows)
         at = first + np.arange(table.num_rows, dtype=np.int64)
         shard = at * shards // rows
         slot = at - -(-shard * rows // shards)
-        return table.take(pa.array(order)).select(names).append_column("slot", pa.array(slot)).append_column("shard", pa.array(shard.astype(np.int32)))
+        taken = table.select(["row"]).take(pa.array(order)).combine_chunks()["row"].combine_chunks()
+        return pa.Table.from_arrays([*taken.flatten(), pa.array(slot), pa.array(shard.astype(np.int32))], [*names, "slot", "shard"])
 
     shuffled = placed.join(offsets, "bucket").groupBy("bucket").applyInArrow(fisher_yates, schema)
     shuffled.write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:

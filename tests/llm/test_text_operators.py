@@ -64,6 +64,32 @@ def test_sharding_repeats_and_nothing(spark, nothing, tmp_path):
     assert sharding.write_shards(nothing, str(tmp_path / "b")).count() == 0
 
 
+def test_sharding_of_many_repeats(spark, tmp_path, monkeypatch):
+    """Equal rows are spread over the buckets; clashing names and rows that differ in another column only are kept apart."""
+    monkeypatch.setattr(sharding, "REPEATS", 10)
+    monkeypatch.setattr(sharding, "RUN", 3)
+    data = [(1, "copy " * 20, 7, "k")] * 200 + [(2, "copy " * 20, k, None) for k in range(30)] + [(k, "x" * (k % 90), k, "") for k in range(3, 100)] + [(None, None, None, None)] * 3
+    frame = spark.createDataFrame(data, "doc_id long, text string, first_row long, bucket string")
+    done = sharding.write_shards(frame, str(tmp_path / "a"), shards=4, bucket_bytes=2048)
+    got = [tuple(r) for r in done.collect()]
+    assert sorted(map(repr, (r[:4] for r in got))) == sorted(map(repr, data))
+    by = [sorted(r[4] for r in got if r[5] == s) for s in range(4)]
+    assert all(v == list(range(len(v))) for v in by) and max(map(len, by)) - min(map(len, by)) <= 1
+    assert all(20 < sum(r[5] == s and r[0] == 1 for r in got) < 80 for s in range(4))
+    again = sharding.write_shards(frame.repartition(7), str(tmp_path / "b"), shards=4, bucket_bytes=2048)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, done.collect()))
+
+
+def test_first_rows(spark):
+    counts = [(b, b % 5 + 1) for b in range(0, 10_000, 7)]
+    got = {r.bucket: r.first_row for r in sharding._first_rows(spark.createDataFrame(counts, "bucket long, n long")).collect()}
+    total, want = 0, {}
+    for b, n in counts:
+        want[b] = total
+        total += n
+    assert got == want
+
+
 # --- quality rules
 
 
@@ -232,6 +258,54 @@ def test_language(spark, docs, nothing):
     assert language_id.predict(nothing, model).count() == 0
 
 
+def plain_language(train, test, centroids):
+    """Nearest centroid by dictionaries of trigrams, for languages with at most ``centroids`` texts: each text is a centroid."""
+
+    def grams(t):
+        fold = [32 if not (c >= 128 or chr(c).isalpha()) else c for c in t.lower().encode()]
+        slots = [((((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 20) for a, b, c in zip(fold, fold[1:], fold[2:]) if not (a == 32 and b == 32)]
+        return {k: math.log1p(v) for k, v in collections.Counter(slots).items()}
+
+    every = [(grams(t), lang) for t, lang in train]
+    df = collections.Counter(k for g, _ in every for k in g)
+
+    def unit(g):
+        v = {k: x * (math.log((1 + len(every)) / (1 + df[k])) + 1) for k, x in g.items()}
+        n = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {k: x / n for k, x in v.items()}
+
+    centres = [(unit(g), lang) for g, lang in every]
+    out = []
+    for t in test:
+        u = unit(grams(t))
+        best = {}
+        for c, lang in centres:
+            best[lang] = max(best.get(lang, -1.0), sum(x * c.get(k, 0.0) for k, x in u.items()))
+        lang = max(sorted(best), key=best.get)
+        out.append((lang, 1 / sum(math.exp(40 * (v - best[lang])) for v in best.values())))
+    return out
+
+
+def test_language_matches_plain(spark):
+    """With as many centroids as texts the operator is plain nearest neighbour; ids are texts, one language has one text."""
+    rng = random.Random(5)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(40))
+    train = [(make(a), lang) for a, lang in [("abcdefg", "aa"), ("efghijk", "bb"), ("éèàdefg", "cc")] * 3] + [(make("xyzé"), "dd")]
+    test = [make(a) for a in ("abcdefg", "efghijk", "éèàdefg", "xyzé", "aeiou") * 3]
+    model = language_id.train(spark.createDataFrame([(f"t{k}", *r) for k, r in enumerate(train)] * 2, "doc_id string, text string, lang string"))
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame([(f"q{k:02}", t) for k, t in enumerate(test)], "doc_id string, text string"), model).collect()}
+    want = plain_language(train * 2, test, 3)
+    for k, (lang, score) in enumerate(want):
+        assert got[f"q{k:02}"].lang_pred == lang and math.isclose(got[f"q{k:02}"].score, score, abs_tol=2e-2)
+
+
+def test_language_sample(spark):
+    """More languages than the sample asks for are all learnt; a text repeated many times is one of the sample."""
+    rows = [(1, "aaa bbb " * 9, "xx")] * 3000 + [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20, f"l{k}") for k in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_sample=5)
+    assert len(model.languages) == 41 and len(model.centroids) == 41
+
+
 # --- quality classifier
 
 
@@ -249,6 +323,49 @@ def test_classifier(spark, nothing, docs):
     assert quality_classifier.train(frame, labels.limit(0)) == 0.5 and quality_classifier.train(frame, labels.filter("quality = 1")) == 1.0
 
 
+def plain_passages(text):
+    """The features of a text's passages, one at a time."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    groups = [spans[k : k + 64] for k in range(0, len(spans), 64)] or [[]]
+    begins = [0, *(g[0][0] for g in groups[1:]), len(raw)]
+    out = []
+    for g, low, high in zip(groups, begins, begins[1:]):
+        part, w = raw[low:high], [raw[a:b].lower() for a, b in g]
+        kinds = [sum(quality_classifier._CLASS[c] == k for c in part) / max(len(part), 1) for k in range(quality_classifier.CLASSES)]
+        n = max(len(w), 1)
+        stats = [math.log1p(len(w)), sum(map(len, w)) / n, len(set(w)) / n, len(set(zip(w, w[1:], w[2:]))) / n]
+        low_part, pairs = part.lower(), [0] * quality_classifier.PAIRS
+        for a, b in zip(low_part, low_part[1:]):
+            pairs[((a * 0x9E37 + b * 0x85EB) >> 3) % quality_classifier.PAIRS] += 1
+        out.append(kinds + stats + [math.sqrt(p / max(len(part), 1)) for p in pairs])
+    return np.array(out)
+
+
+def test_passages(corpus):
+    """Against the plain version; and each text alone has the same passages as in a batch, in any order."""
+    texts = [r[1] or "" for r in corpus] + ["one two three four five six seven eight nine ten"] * 2 + ["x y " * 100]
+    want = [plain_passages(t) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        order = list(order)
+        x, at = quality_classifier.passages(*utf8(pa.array([texts[k] for k in order])))
+        assert all(np.allclose(x[at[i] : at[i + 1]], want[k], atol=1e-5) for i, k in enumerate(order))
+    for k, t in enumerate(texts):
+        assert np.allclose(quality_classifier.passages(*utf8(pa.array([t])))[0], want[k], atol=1e-5)
+
+
+def test_classifier_sample(spark, monkeypatch):
+    """Repeated rows of one id teach once, and the sample keeps to its bounds; ids may be texts."""
+    taught = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda bags, y: taught.append((len(bags), sum(map(len, bags)), y.tolist())) or 0.25)
+    rows = [("a", "w " * 64, 0)] * 500 + [(f"i{k}", "w " * 640, k) for k in range(20)] + [(None, "w", 0)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, id int")
+    labels = spark.createDataFrame([("a", 0), ("a", None), (None, 1), *((f"i{k}", 1) for k in range(20))], "doc_id string, quality int")
+    assert quality_classifier.train(frame, labels) == 0.25 and taught.pop()[:2] == (21, 201)
+    monkeypatch.setattr(quality_classifier, "MAX_PASSAGES", 95)
+    assert quality_classifier.train(frame, labels) == 0.25 and taught.pop()[:2] == (10, 91)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     w = {"encode": rng.normal(size=(5, 4)), "encode_bias": rng.normal(size=4), "value": rng.normal(size=(4, 3)), "gate": rng.normal(size=(4, 3)), "attend": rng.normal(size=3), "out": rng.normal(size=4), "out_bias": rng.normal(size=1)}
