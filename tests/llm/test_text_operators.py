@@ -146,15 +146,63 @@ def test_mahalanobis_matches_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0.2, 0], [0, 0, 1, 0.4], [0, 0, 0, 1]])
     names, floors = list(quality_rules.STATISTICS), list(quality_rules.STATISTICS.values())
-    frame = spark.createDataFrame([(0, "k", len(x), *map(float, r)) for r in x], "level int, key string, n long, " + ", ".join(f"{c} double" for c in names))
-    moments = frame.groupBy("level", "key").agg(F.first("n").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c_{i}{j}") for i in range(4) for j in range(i + 1)])
+    frame = spark.createDataFrame([(0, "k", 0, len(x), *map(float, r)) for r in x], "level int, key string, start int, n long, " + ", ".join(f"{c} double" for c in names))
+    moments = frame.groupBy("level", "key", "start").agg(F.first("n").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c_{i}{j}") for i in range(4) for j in range(i + 1)])
     factor = quality_rules._factor(moments, floors, 1.3)
-    got = np.sort([r[0] for r in frame.join(factor.drop("n"), ["level", "key"]).select(quality_rules._distance(names)).collect()])
+    got = np.sort([r[0] for r in frame.join(factor.drop("n", "start"), ["level", "key"]).select(quality_rules._distance(names)).collect()])
     cov = np.cov(x.T, bias=True) * 1.3 + np.diag(np.square(floors))
     want = np.sort(np.einsum("ij,jk,ik->i", x - x.mean(0), np.linalg.inv(cov), x - x.mean(0)))
     assert np.allclose(got, want)
 
 
+def numpy_mcd(x, floors, starts, rng):
+    """The least log determinant of a regularised half found by concentration steps from random starts, and its members."""
+    n, p = x.shape
+    share = quality_rules.SHARE
+    scale, best = share / quality_rules._cdf(quality_rules._quantile(share, p), p + 2), (np.inf, None)
+    for _ in range(starts):
+        some = rng.choice(n, p + 1, replace=False)
+        for _ in range(60):
+            m, c = x[some].mean(axis=0), np.cov(x[some].T, bias=True) * scale + np.diag(np.square(floors))
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            new = np.argsort(d, kind="stable")[: n // 2]
+            if set(new) == set(some):
+                break
+            some = new
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(sorted(some))))
+    return best
+
+
+@pytest.mark.parametrize("seed,share", [(1, 0.0), (2, 0.3), (3, 0.4)])
+def test_mcd_matches_numpy(spark, monkeypatch, tmp_path, seed, share):
+    """No half that random starts find has a smaller determinant; hot and dealt groups agree."""
+    rng = np.random.default_rng(seed)
+    floors = list(quality_rules.STATISTICS.values())
+    n, bad = 120, int(120 * share)
+    x = rng.normal(size=(n, 4)) @ np.array([[0.3, 0.8, 0, 0], [0, 1, 0.5, 0], [0, 0, 0.6, 0.4], [0, 0, 0, 0.5]])
+    x[:bad] = x[:bad] * 0.5 + np.array([40, 30, -20, 20])
+    data = [(False, "en", "s", *map(float, r)) for r in x] + [(False, "en", f"t{k % 3}", *map(float, r)) for k, r in enumerate(rng.normal(size=(180, 4)))]
+    frame = spark.createDataFrame(data, "base_failed boolean, lang string, source string, " + ", ".join(f"{c} double" for c in quality_rules.STATISTICS))
+    steps = {}
+
+    class Kept(Scratch):
+        def table(self, name, frame):
+            steps[name] = super().table(name, frame)
+            return steps[name]
+
+    quality_rules.fit(frame, Kept(spark, "mcd"))
+    key = '["en","s"]'
+    got = steps["least"].filter((F.col("level") == 0) & (F.col("key") == key)).first()
+    want = numpy_mcd(x, floors, 200, rng)
+    assert 2 * sum(math.log(got[f"l_{i}{i}"]) for i in range(4)) <= want[0] + 0.02
+    assert steps["start"].filter((F.col("level") == 0) & (F.col("key") == key)).count() == 3
+    first = steps["reweighted"].orderBy("level", "key").collect()
+    monkeypatch.setattr(quality_rules, "HOT", 2)
+    quality_rules.fit(frame, Kept(spark, "mcd"))
+    again = steps["reweighted"].orderBy("level", "key").collect()
+    assert len(first) == len(again) == 6 and all(np.allclose(a[3:], b[3:], rtol=1e-2, atol=1e-2) for a, b in zip(first, again))
+
+
 # --- personal data
 
 
