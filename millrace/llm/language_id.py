@@ -132,7 +132,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     if not languages:
         return None
     limit = F.least(F.lit(1.0), F.lit(max_sample / languages) / F.col("n")) * (1 << 40)
-    chosen = usable.join(by_language, "lang").filter((F.col("place") < limit) | (F.col("place") == F.col("least")))
+    # Broadcast: it is far smaller than the model, which has centroids for each language and goes to every task.
+    chosen = usable.join(F.broadcast(by_language), "lang").filter((F.col("place") < limit) | (F.col("place") == F.col("least")))
     once = chosen.groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
