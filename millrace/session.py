@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +34,25 @@ def local_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster intermediate tables need a folder that driver and executors share")
     return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs that start inside hand rows to Python in batches of at most ``size`` bytes, which bounds both sides' buffers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors.
 

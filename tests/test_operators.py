@@ -266,3 +266,19 @@ def test_documents_of_design(spark, rows):
     raw = '{"project_name": "p", "target_coverage_idx": 3, "rag_references": [[0.5, "c", "t"], [1, "d", "u"]]}'
     refs = files.references(spark.createDataFrame([(raw,)], "raw string")).first()
     assert refs["target_coverage_idx"] == 3 and [tuple(r) for r in refs["rag_references"]] == [(0.5, "c", "t"), (1.0, "d", "u")]
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    """On a cluster a folder of one machine would lose rows."""
+    from types import SimpleNamespace
+
+    from millrace.session import scratch_root
+
+    def session(master, **found):
+        conf = SimpleNamespace(get=lambda name, default=None: found.get(name.rpartition(".")[2], default))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert scratch_root(session("local[8]")).startswith("file:/") and scratch_root(session("yarn", dir="hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,100]"):
+        with pytest.raises(ValueError):
+            scratch_root(session(master))
