@@ -279,6 +279,28 @@ def test_pii_trees_hold_out():
     assert y[chosen].mean() > 0.97 and chosen[y == 1].mean() > 0.9
 
 
+def test_pii_contexts(spark, docs, corpus, nothing):
+    """Contexts are pieces of the texts, from repeated texts once, the same on each run."""
+    pieces = pii.contexts_of(docs)
+    texts = {r[1] for r in corpus if r[1] is not None}
+    assert len(pieces) == pii.SNIPPETS * len(texts) and all(any(p in t for t in texts) and len(p) <= pii.SNIPPET for p in pieces)
+    assert pii.contexts_of(docs.repartition(5)) == pieces and pii.contexts_of(nothing) == ()
+    assert len(pii.contexts_of(docs, max_texts=5)) <= 45
+
+
+def test_pii_planted_in_documents(spark, docs):
+    """Loose formats planted in pieces of texts that the trees haven't seen: precision and recall of the added spans."""
+    model, rng = pii.train(docs), random.Random(5)
+    pieces = [" ".join("".join(rng.choice("aeioubdkmnprst") for _ in range(rng.randint(2, 9))) for _ in range(30)) for _ in range(100)]
+    true = collections.defaultdict(set)
+    for text, *span, label in pii.examples(600, 991, pieces):
+        true[text] |= {tuple(span)} if label else set()
+    found = {text: set(pii.all_spans(text, model)[1]) - set(pii.base_spans(text)) for text in true}
+    hits, given, wanted = sum(len(found[t] & true[t]) for t in true), sum(map(len, found.values())), sum(map(len, true.values()))
+    assert hits > 250 and hits / given > 0.95 and hits / wanted > 0.95
+    assert all(0 < model.threshold[k] <= 1 for k in pii.KINDS)
+
+
 def test_pii_stage(spark, nothing, docs):
     text = "é mail a.b@c.de, ip 10.0.0.1 and +1 (017) 555-7713."
     rows = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "", 0)], "doc_id long, text string, n_chars long")
