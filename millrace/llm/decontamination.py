@@ -1,22 +1,25 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
 Texts are sequences of words, A-Z lower-cased and without ASCII punctuation at their ends. A document holds an item of m words
-if some stretch of it is within ``floor(m * EDITS)`` word edits of the item.
+if some stretch of it is within ``floor(m * EDITS)`` word edits of the item; items of fewer than five words have to occur as they are.
 
-1. Anchors. With at most that many edits, an item of ``MIN_WORDS`` words or more keeps three successive words intact, so a window
-   of the item's size is placed wherever three words of an item occur, at the item's own offset. This loses nothing.
+1. Anchors. With at most that many edits, an item keeps ``anchor_width(m)`` successive words intact: three, or two for five words, or
+   all of an item of one or two. So a window of the item's size is placed wherever that many words of an item occur, at the item's own
+   offset. This loses nothing.
 2. Every window and every item go through the CGK embedding: a pointer walks along the words, advancing by one random bit of the
    step and the current word, and the words it visits are the embedding. Within a small edit distance walks soon meet again, so
    edit distance becomes Hamming distance. Each of L independent walks is sampled at K random steps; a window is a candidate
-   for the items of its size with the same sample in any walk. L is chosen on the items themselves, edited at random as far
-   as the threshold allows, so that the wanted share of such pairs is found.
+   for the items of its size with the same sample in any walk. K and L are chosen for each size on items edited at random as far
+   as the threshold allows, so that the wanted share of such pairs is found: the largest K for which ``MOST_WALKS`` walks or fewer do.
+   Sizes that reach it with none (long items) have an exact way instead: all items whose anchor placed the window are candidates.
 3. Candidates are verified exactly, by the edit distance of the item to the best stretch around the window.
 
-The benchmark goes through in blocks of ``ITEM_BLOCK`` items, a bounded table sent to all tasks; documents stay where they lie.
+The benchmark's different texts go through in blocks of ``ITEM_BLOCK``, each a bounded table sent to all tasks; documents stay where
+they lie and are read once for each block.
 
-Defined results: null and empty texts hold nothing; items of fewer than MIN_WORDS words match nothing; equal items are each
-reported; of several stretches for one item the closest, then the first, is reported; repeated rows are each reported; empty
-tables give an empty result; other columns are kept by ``decontaminate_stage`` and not read otherwise.
+Defined results: null and empty texts hold nothing; items without words match nothing; equal items are each reported; of several
+stretches for one item the closest, then the first, is reported; repeated rows are each reported; empty tables give an empty
+result; other columns are kept by ``decontaminate_stage`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from millrace.llm.words import hashes, mix, ngrams, steps, utf8, words
 from millrace.session import Scratch
 
 EDITS = 0.2
-MIN_WORDS, ANCHOR = 8, 3
-SAMPLED, RECALL, MOST_WALKS, TRIALS = 3, 0.97, 128, 8
+ANCHOR = 3
+SAMPLED, RECALL, MOST_WALKS, TRIALS = 3, 0.97, 128, 512
 ITEM_BLOCK = 20_000
 #: Windows that are embedded at once.
 TOGETHER = 2048
@@ -63,20 +66,26 @@ def allowed(m: int) -> int:
     return int(m * EDITS + 1e-9)
 
 
+def anchor_width(m: int) -> int:
+    """How many successive words of an item of m words the allowed edits leave intact at least, up to ANCHOR."""
+    k = allowed(m)
+    return min(ANCHOR, -(-(m - k) // (k + 1)))
+
+
 def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The least edits that turn ``item`` into a stretch of ``text``, and that stretch."""
-    cost, origin = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
-    for k, w in enumerate(item):
-        swap, start = cost[:-1] + (text != w), origin[:-1]
-        skip = cost + 1
-        new, come = skip.copy(), origin.copy()
+    size = len(text) + 1
+    place = np.arange(size)
+    cost, origin = np.zeros(size, np.int64), place.copy()
+    for w in item:
+        new, come = cost + 1, origin.copy()
+        swap = cost[:-1] + (text != w)
         better = swap < new[1:]
-        new[1:][better], come[1:][better] = swap[better], start[better]
-        # Words of the text in between: the running least of cost minus place.
-        for j in range(1, len(new)):
-            if new[j - 1] + 1 < new[j]:
-                new[j], come[j] = new[j - 1] + 1, come[j - 1]
-        cost, origin = new, come
+        new[1:][better], come[1:][better] = swap[better], origin[:-1][better]
+        # Words of the text in between: the running least of cost minus place, of equal ones the last.
+        best = np.minimum.accumulate(((new - place) << 32) | (size - place))
+        origin = come[size - (best & 0xFFFFFFFF)]
+        cost = (best >> 32) + place
     end = int(cost.argmin())
     return int(cost[end]), int(origin[end]), end
 
@@ -89,11 +98,11 @@ class Walks:
     sampled: np.ndarray  # walks x SAMPLED
 
     @classmethod
-    def of(cls, size: int, walks: int) -> Walks:
-        rng = np.random.Generator(np.random.PCG64([97, size]))
+    def of(cls, size: int, walks: int, sampled: int = SAMPLED) -> Walks:
+        rng = np.random.Generator(np.random.PCG64([97, size, sampled]))
         seeds = rng.integers(1, 1 << 63, (MOST_WALKS, 2 * size), dtype=np.uint64)
-        sampled = np.sort(np.stack([rng.choice(2 * size, SAMPLED, replace=False) for _ in range(MOST_WALKS)]), axis=1)
-        return cls(seeds[:walks], sampled[:walks])
+        steps_ = np.sort(np.stack([rng.choice(2 * size, min(sampled, 2 * size), replace=False) for _ in range(MOST_WALKS)]), axis=1)
+        return cls(seeds[:walks], steps_[:walks])
 
     def sample(self, x: np.ndarray) -> np.ndarray:
         """One hash for each row of words and each walk."""
@@ -112,11 +121,11 @@ class Walks:
         return out.T
 
 
-def walks_needed(items: np.ndarray) -> int:
-    """How many walks find the wanted share of these items edited as far as allowed; items of one size."""
+def walks_needed(items: np.ndarray) -> Walks | None:
+    """The walks that find the wanted share of these items, all of one size, edited as far as allowed; None if none do."""
     size = items.shape[1]
     rng = np.random.Generator(np.random.PCG64([131, size]))
-    some = items[np.arange(TRIALS * min(len(items), 64)) % len(items)]
+    some = items[np.linspace(0, len(items) - 1, TRIALS).astype(int)]
     edited = np.full_like(some, PAD)
     for k, row in enumerate(some):
         out = row.tolist()
@@ -129,65 +138,68 @@ def walks_needed(items: np.ndarray) -> int:
             else:
                 out.insert(at, int(rng.integers(1, 1 << 62)))
         edited[k, : min(size, len(out))] = np.array(out[:size], np.uint64)
-    walks = Walks.of(size, MOST_WALKS)
-    first = (walks.sample(some) == walks.sample(edited))
-    found = np.maximum.accumulate(first, axis=1).mean(axis=0)
-    enough = np.flatnonzero(found >= RECALL)
-    return int(enough[0]) + 1 if len(enough) else MOST_WALKS
+    for sampled in range(SAMPLED, 0, -1):
+        walks = Walks.of(size, MOST_WALKS, sampled)
+        found = np.maximum.accumulate(walks.sample(some) == walks.sample(edited), axis=1).mean(axis=0)
+        enough = np.flatnonzero(found >= RECALL)
+        if len(enough):
+            return Walks.of(size, int(enough[0]) + 1, sampled)
+    return None
 
 
 @dataclass
 class Index:
-    """A block of items: their anchors and the samples of their walks, by size."""
+    """A block of different items: their anchors and the samples of their walks, by size."""
 
-    ids: list
+    texts: list[str]
     words: list[np.ndarray]
-    anchor: np.ndarray  # ascending hashes
-    anchor_size: np.ndarray  # of the item
-    anchor_offset: np.ndarray
-    maybe: np.ndarray
+    anchors: dict[int, tuple[np.ndarray, ...]]  # by width: ascending hashes, and for each the size, offset and item (-1: by walks)
+    maybe: dict[int, np.ndarray]
     walks: dict[int, Walks]
     samples: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # for each walk: ascending samples and their items
 
     @classmethod
-    def build(cls, ids: list, texts: list[str | None]) -> Index:
+    def build(cls, texts: list[str]) -> Index:
         data, offsets = utf8(pa.array(texts, pa.string()))
         h, at = symbols(data, offsets)
-        kept = [k for k in range(len(ids)) if at[k + 1] - at[k] >= MIN_WORDS]
+        kept = [k for k in range(len(texts)) if at[k + 1] > at[k]]
         each = [h[at[k] : at[k + 1]] for k in kept]
         sizes = np.array([len(w) for w in each], np.int64)
-        anchors = np.concatenate([np.zeros(0, np.uint64), *[ngrams(w, ANCHOR) for w in each]])
-        size = np.repeat(sizes, sizes - ANCHOR + 1)
-        offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n - ANCHOR + 1) for n in sizes]])
-        order = np.lexsort((offset, size, anchors))
-        new = np.ones(len(order), bool)
-        a, s, o = anchors[order], size[order], offset[order]
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(anchors >> np.uint64(44)).astype(np.int64)] = True
         walks, samples = {}, {}
         for m in np.unique(sizes):
             same = np.flatnonzero(sizes == m)
             matrix = np.stack([each[k] for k in same])
-            walks[int(m)] = Walks.of(int(m), walks_needed(matrix))
-            found = walks[int(m)].sample(matrix)
-            samples[int(m)] = [(np.sort(c), same[np.argsort(c, kind="stable")]) for c in found.T]
-        return cls([ids[k] for k in kept], each, a[new], s[new], o[new], maybe, walks, samples)
-
-    def windows(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, first word, size) of each window that an anchor asks for."""
-        grams = ngrams(h, ANCHOR)
-        some = np.flatnonzero(self.maybe[(grams >> np.uint64(44)).astype(np.int64)]) if len(self.anchor) else np.zeros(0, np.int64)
-        low, high = (np.searchsorted(self.anchor, grams[some], side) for side in ("left", "right"))
-        count = high - low
-        place, entry = np.repeat(some, count), np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        row = np.searchsorted(at, place, "right") - 1
-        inside = place + ANCHOR <= at[row + 1]
-        row, start, size = row[inside], (place - self.anchor_offset[entry])[inside], self.anchor_size[entry][inside]
-        if not len(row):
-            return row, start, size
-        found = np.unique(np.stack([row, start, size]), axis=1)
-        return found[0], found[1], found[2]
+            if chosen := walks_needed(matrix):
+                walks[int(m)] = chosen
+                samples[int(m)] = [(np.sort(c), same[np.argsort(c, kind="stable")]) for c in chosen.sample(matrix).T]
+        anchors, maybe = {}, {}
+        for width in range(1, ANCHOR + 1):
+            mine = [k for k in range(len(each)) if anchor_width(int(sizes[k])) == width]
+            if mine:
+                grams = np.concatenate([ngrams(each[k], width) for k in mine])
+                count = sizes[mine] - width + 1
+                item = np.repeat([-1 if int(sizes[k]) in walks else k for k in mine], count)
+                offset = np.concatenate([np.arange(n) for n in count])
+                rows = np.unique(np.stack([grams, np.repeat(sizes[mine], count).astype(np.uint64), offset.astype(np.uint64), (item + 1).astype(np.uint64)]), axis=1)
+                anchors[width] = (rows[0], rows[1].astype(np.int64), rows[2].astype(np.int64), rows[3].astype(np.int64) - 1)
+                maybe[width] = np.zeros(1 << 20, bool)
+                maybe[width][(grams >> np.uint64(44)).astype(np.int64)] = True
+        return cls([texts[k] for k in kept], each, anchors, maybe, walks, samples)
+
+    def windows(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, first word, size, item or -1) of each window that an anchor asks for."""
+        out = []
+        for width, (known, size_of, offset_of, item_of) in self.anchors.items():
+            grams = ngrams(h, width)
+            some = np.flatnonzero(self.maybe[width][(grams >> np.uint64(44)).astype(np.int64)])
+            low, high = (np.searchsorted(known, grams[some], side) for side in ("left", "right"))
+            count = high - low
+            place, entry = np.repeat(some, count), np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            row = np.searchsorted(at, place, "right") - 1
+            inside = place + width <= at[row + 1]
+            out.append(np.stack([row[inside], (place - offset_of[entry])[inside], size_of[entry][inside], item_of[entry][inside]]))
+        found = np.concatenate([np.zeros((4, 0), np.int64), *out], axis=1)
+        return tuple(np.unique(found, axis=1)) if found.shape[1] else tuple(found)
 
     def candidates(self, x: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) for windows of one size, as rows of words."""
@@ -201,41 +213,50 @@ class Index:
     def search(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end) of the best stretch of each row for each item that it holds."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        row, start, size = self.windows(h, at)
-        for m in np.unique(size):
-            k = allowed(int(m))
-            mine = np.flatnonzero(size == m)
+        row, start, size, asked = self.windows(h, at)
+
+        def verify(r: int, s: int, item: int) -> None:
+            m = len(self.words[item])
+            k = allowed(m)
+            low, high = max(int(at[r]), s - k), min(int(at[r + 1]), s + m + k)
+            edits, first, end = distance(self.words[item], h[low:high])
+            found = (edits, low + first - int(at[r]), low + end - int(at[r]))
+            if edits <= k and found < best.get((r, item), (1 << 60, 0, 0)):
+                best[r, item] = found
+
+        for r, s, item in zip(*(c[asked >= 0].tolist() for c in (row, start, asked)), strict=True):
+            verify(r, s, item)
+        for m in np.unique(size[asked < 0]):
+            mine = np.flatnonzero((size == m) & (asked < 0))
             for begin in range(0, len(mine), TOGETHER):
                 some = mine[begin : begin + TOGETHER]
                 place = start[some][:, None] + np.arange(m)
                 inside = (place >= at[row[some]][:, None]) & (place < at[row[some] + 1][:, None])
                 x = np.where(inside, h[np.clip(place, 0, len(h) - 1)], PAD)
                 for which, item in self.candidates(x):
-                    r, s = int(row[some[which]]), int(start[some[which]])
-                    low, high = max(int(at[r]), s - k), min(int(at[r + 1]), s + int(m) + k)
-                    edits, first, end = distance(self.words[item], h[low:high])
-                    found = (edits, low + first - int(at[r]), low + end - int(at[r]))
-                    if edits <= k and found < best.get((r, item), (1 << 60, 0, 0)):
-                        best[r, item] = found
+                    verify(int(row[some[which]]), int(start[some[which]]), item)
         return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, ``edits``, ``item_words``, ``start`` and ``end`` (code points) of each item that a document holds."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    source = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("item_text"))
-    blocks = max(1, -(-source.count() // ITEM_BLOCK))
-    block = F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks))
+    source = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("item_text")).filter("item_text IS NOT NULL")
+    different = source.select("item_text").distinct()
+    blocks = max(1, -(-different.count() // ITEM_BLOCK))
+    block = F.pmod(F.xxhash64("item_text"), F.lit(blocks))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for b in range(blocks):
-        rows = sorted(source.filter(block == b).collect(), key=lambda r: (str(r["item"]), r["item_text"] or ""))
-        index = Index.build([r["item"] for r in rows], [r["item_text"] for r in rows])
-        found = docs.select(id_col, text_col).mapInArrow(_finder(index, id_col, item_col), f"`{id_col}` {kind}, `{item_col}` {item_kind}, edits int, item_words int, start long, end long")
+        index = Index.build(sorted(r["item_text"] for r in different.filter(block == b).collect()))
+        found = rows.mapInArrow(_finder(index), f"id {kind}, item_text string, edits int, item_words int, start long, end long")
         out = found if out is None else out.unionByName(found)
-    return out
+    # Equal items are found once and reported each.
+    named = out.join(source, "item_text")
+    return named.select(F.col("id").alias(id_col), F.col("item").cast(item_kind).alias(item_col), "edits", "item_words", "start", "end")
 
 
-def _finder(index: Index, id_col: str, item_col: str):
+def _finder(index: Index):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -245,11 +266,10 @@ def _finder(index: Index, id_col: str, item_col: str):
                 for r, item, edits, first, end in index.search(h, at):
                     spans = [m.span() for m in _WORD.finditer(batch.column(1)[a + r].as_py())]
                     rows.append(a + r)
-                    hits.append((index.ids[item], edits, len(index.words[item]), spans[first][0] if first < end else 0, spans[end - 1][1] if first < end else 0))
+                    hits.append((index.texts[item], edits, len(index.words[item]), spans[first][0] if first < end else 0, spans[end - 1][1] if first < end else 0))
             columns = list(zip(*hits, strict=True)) if hits else [()] * 5
-            kinds = [None, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            items = pa.array(columns[0]) if hits else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), items, *[pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True)]], [id_col, item_col, "edits", "item_words", "start", "end"])
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["id", "item_text", "edits", "item_words", "start", "end"])
 
     return find
 

@@ -542,7 +542,7 @@ def test_distance():
 def test_decontamination(spark, nothing):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("aeioubdk") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 40)))) for i in range(40)] + [(90, "too short to match"), (91, None)]
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 40)))) for i in range(40)] + [(90, "absent"), (91, None)]
     data, truth = [], set()
     for k in range(160):
         i, text = items[k % 40]
@@ -564,6 +564,42 @@ def test_decontamination(spark, nothing):
     assert decontamination.find_items(nothing, bench).count() == 0 and decontamination.find_items(docs, bench.limit(0)).count() == 0
 
 
+def test_anchor_width():
+    """However the allowed edits fall, a run of that many words stays."""
+    for m in range(1, 200):
+        k = decontamination.allowed(m)
+        runs = k + 1
+        assert decontamination.anchor_width(m) == min(3, -(-(m - k) // runs)) >= 1
+
+
+def test_short_and_long_items(spark, monkeypatch):
+    """Items of one to seven words and a long one, edited as far as allowed: all are found, nothing else is.
+
+    With two walks at most, sizes from five words on miss the wanted share and go the exact way.
+    """
+    monkeypatch.setattr(decontamination, "MOST_WALKS", 2)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioubdk") for _ in range(rng.randint(5, 9)))
+    items = [(m, " ".join(word() for _ in range(m))) for m in (1, 2, 3, 4, 5, 6, 7, 700)] + [(50, ""), (51, "?! --")]
+    data, truth = [], set()
+    for m, text in items[:8]:
+        for k in range(decontamination.allowed(m) + 1) if m < 100 else (0, 60, 140):
+            for trial in range(6 if m < 100 else 1):
+                w = text.split()
+                for j in sorted(rng.sample(range(m), k), reverse=True):
+                    w[j : j + 1] = [["zzz"], [], [w[j], "yyy"]][rng.randrange(3)]
+                data.append((len(data), " ".join([*(word() for _ in range(20)), *w, *(word() for _ in range(20))])))
+                truth.add((len(data) - 1, m))
+        w = text.split()
+        w[m // 2 : m // 2 + decontamination.allowed(m) + 1] = ["other"] * (decontamination.allowed(m) + 1)
+        data.append((len(data), " ".join(w)))
+    index = decontamination.Index.build([t for _, t in items])
+    assert sorted(index.walks) == [1, 2, 3, 4]
+    bench = spark.createDataFrame(items + [(70, items[3][1]), (70, items[3][1])], "item_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontamination.find_items(spark.createDataFrame(data, "doc_id long, text string"), bench).collect()]
+    assert {f for f in found if f[1] != 70} == truth and sorted(f for f in found if f[1] == 70) == sorted([(d, 70) for d, m in truth if m == 4] * 2)
+
+
 # --- near copies
 
 
