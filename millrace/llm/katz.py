@@ -36,25 +36,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.words import hashes, mix, steps, utf8, words
-from millrace.session import Scratch
+from millrace.session import Scratch, arrow_batches
 
 CUTOFF = 5
 CODED, HOT = 60_000, 1024
 BEGIN, END = np.uint64(0x0B0E6B0E6B0E6B0F), np.uint64(0x0E4D0E4D0E4D0E4D)
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 30_000
+BLOCK_BYTES, BLOCK_ROWS, BATCH_BYTES = 2 << 20, 30_000, 8 << 20
 #: Training tokens that one partition should get, the fewest partitions, and the tokens that a task works on at once.
-PART_TOKENS, PARTS, SLICE = 4_000_000, 24, 500_000
+PART_TOKENS, PARTS, SLICE = 4_000_000, 24, 250_000
 #: The parts are dealt in so many turns, so that only that share of the tokens is on its way at once; pairs stored in a row.
-TURNS, CHUNK = 2, 50_000
+TURNS, CHUNK = 2, 16_000
 
 
 @dataclass
 class Stream:
-    """The tokens of a block: hash, history, row."""
+    """The tokens of a block: hash, history, row; and where the rows begin."""
 
     token: np.ndarray
     history: np.ndarray
     row: np.ndarray
+    first: np.ndarray
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> Stream:
@@ -68,7 +69,7 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> Stream:
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[at[:-1] + rows] = BEGIN
-    return Stream(token, history, row)
+    return Stream(token, history, row, at[:-1] + rows)
 
 
 def discounts(seen: list[float]) -> np.ndarray:
@@ -101,9 +102,35 @@ class Words:
     count: np.ndarray  # of each coded word
     hot: np.ndarray  # place among the hot words, or -1
 
+    def __post_init__(self):
+        # Coded words by the first 20 bits of their hash: mostly one or none for each value.
+        self.begin = np.searchsorted(self.coded, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.begin = np.append(self.begin, np.int32(len(self.coded)))
+        self.crowded = int(np.diff(self.begin).max())
+
     def code(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.coded, h), len(self.coded) - 1)
-        return np.where(self.coded[at] == h, at, -1)
+        """The place of each hash among the coded words, or -1."""
+        top = (h >> np.uint64(44)).astype(np.int32)
+        at, end = self.begin[top], self.begin[top + 1]
+        out = np.full(len(h), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        for k in range(self.crowded):
+            place = at[live] + k
+            hit = self.coded[place] == h[live]
+            out[live[hit]] = place[hit]
+            live = live[~hit]
+            live = live[at[live] + k + 1 < end[live]]
+            if not len(live):
+                break
+        return out
+
+    def codes(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
+        """Of the tokens and of their histories."""
+        w = self.code(s.token)
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[s.first] = self.code(np.array([BEGIN]))[0]
+        return w, h
 
     def log_p(self, count: np.ndarray) -> np.ndarray:
         """log10 of P(w) for words with these training counts."""
@@ -160,10 +187,9 @@ def count_hot(docs: DataFrame, known: Words) -> np.ndarray:
             data, offsets = utf8(batch.column(0))
             for a, b in steps(offsets, BLOCK_BYTES):
                 s = stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                w, h = known.hot[known.code(s.token)], known.hot[known.code(s.history)]
-                w, h = np.where(known.code(s.token) >= 0, w, -1), np.where(known.code(s.history) >= 0, h, -1)
-                both = (w >= 0) & (h >= 0)
-                total += np.bincount(h[both] * HOT + w[both], minlength=HOT * HOT)
+                w, h = (np.where(c >= 0, known.hot[c], -1) for c in known.codes(s))
+                both = np.flatnonzero((w >= 0) & (h >= 0))
+                np.add.at(total, h[both] * HOT + w[both], 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "c"])
 
@@ -205,21 +231,18 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int, turn: int
 
     def share(uid: np.ndarray, held: np.ndarray, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
         s, rows = stream(data, offsets), len(uid)
-        w, h = known.code(s.token), known.code(s.history)
+        w, h = known.codes(s)
         hot = (w >= 0) & (h >= 0)
         hot[hot] = (known.hot[w[hot]] >= 0) & (known.hot[h[hot]] >= 0)
         own = at_once(s, w, h, hot, uid, held, ids) if turn == 0 else None
         part = (mix(np.where(w >= 0, s.token ^ (s.history * np.uint64(0x9E3779B97F4A7C15)), s.token)) % np.uint64(parts)).astype(np.int64)
         some = np.flatnonzero(~hot & (part % TURNS == turn))
-        token, history, row, part = s.token[some], s.history[some], s.row[some], part[some]
-        order = np.lexsort((row, history, token, part))
-        token, history, row, part = token[order], history[order], row[order], part[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (history[1:] != history[:-1]) | (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(token)))
-        token, history, row, part = token[at], history[at], row[at], part[at]
-        code = known.code(history)
+        # By part and word; in the order of the rows, which ends the sort key. Words of a part that agree in their first bits may mix.
+        bits = np.uint64(max(1, len(s.token).bit_length()))
+        key = np.sort((s.token[some] >> bits << bits) | some.astype(np.uint64))
+        some = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        some = some[np.argsort(part[some].astype(np.uint16 if parts <= 0xFFFF else np.uint32), kind="stable")]
+        token, row, part, code = s.token[some], s.row[some], part[some], h[some]
         run = np.ones(len(token), bool)
         run[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(run)
@@ -241,9 +264,8 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int, turn: int
                 _lists(token[first].view(np.int64), ends(part[first]), pa.int64()),
                 _lists(np.diff(np.append(first, len(token))).astype(np.int32), ends(part[first]), pa.int32()),
                 _lists(np.where(rare, 0xFFFF, code).astype(np.uint16).view(np.int16), ends(part), pa.int16()),
-                _lists(history[rare].view(np.int64), ends(part[rare]), pa.int64()),
+                _lists(s.history[some[rare]].view(np.int64), ends(part[rare]), pa.int64()),
                 _lists(place.astype(np.int16), ends(part), pa.int16()),
-                _lists(n.astype(np.int32), ends(part), pa.int32()),
                 *map(whole, own),
             ],
             _DEALT,
@@ -261,9 +283,9 @@ def deal(docs: DataFrame, known: Words, pairs: np.ndarray, parts: int, turn: int
     return docs.select("uid", "held", "text", "id").mapInArrow(blocks, _DEALT_SCHEMA.format(kind=kind))
 
 
-_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns", "sum_uids", "sum_ids", "sum_helds", "sums", "sum_counts", "off_h", "off_uids"]
+_DEALT = ["part", "uids", "helds", "tokens", "runs", "codes", "rares", "rows", "sum_uids", "sum_ids", "sum_helds", "sums", "sum_counts", "off_h", "off_uids"]
 _DEALT_SCHEMA = (
-    "part int, uids array<long>, helds array<boolean>, tokens array<long>, runs array<int>, codes array<short>, rares array<long>, rows array<short>, ns array<int>, "
+    "part int, uids array<long>, helds array<boolean>, tokens array<long>, runs array<int>, codes array<short>, rares array<long>, rows array<short>, "
     "sum_uids array<long>, sum_ids array<{kind}>, sum_helds array<boolean>, sums array<double>, sum_counts array<int>, off_h array<long>, off_uids array<long>"
 )
 #: Kinds of facts: sums of a text; figures of a history; tokens of a text that back off after a history; counted pairs.
@@ -300,9 +322,9 @@ def look_up(dealt: DataFrame, known: Words) -> DataFrame:
             if len(off := get["off_h"].flatten()):
                 yield facts(BACKOFF, len(off), id_type, key=off, uid=get["off_uids"].flatten(), n0=np.ones(len(off), np.int32))
             for k in range(batch.num_rows):
-                one = {n: get[n][k].values.to_numpy(zero_copy_only=False) for n in ("uids", "helds", "tokens", "runs", "codes", "rares", "rows", "ns")}
+                one = {n: get[n][k].values.to_numpy(zero_copy_only=False) for n in ("uids", "helds", "tokens", "runs", "codes", "rares", "rows")}
                 # Copied, so that the batch's other columns can go.
-                blocks.append([one["tokens"].view(np.uint64).copy(), np.concatenate([[0], np.cumsum(one["runs"])]), one["codes"].view(np.uint16).copy(), one["rares"].view(np.uint64).copy(), one["rows"].copy(), one["ns"].copy(), most, 0])
+                blocks.append([one["tokens"].view(np.uint64).copy(), np.concatenate([[0], np.cumsum(one["runs"])]), one["codes"].view(np.uint16).copy(), one["rares"].view(np.uint64).copy(), one["rows"].copy(), most, 0])
                 uids.append(one["uids"].copy())
                 helds.append(one["helds"].copy())
                 most += len(one["uids"])
@@ -310,62 +332,72 @@ def look_up(dealt: DataFrame, known: Words) -> DataFrame:
         sums, counts = np.zeros((len(uid), 2)), np.zeros((len(uid), _COUNTS), np.int32)
         slices = max(1, -(-sum(len(b[2]) for b in blocks) // SLICE))
         bounds = [np.uint64(k * 2**64 // slices) for k in range(slices)]
+        histories = []
         for k in range(slices):
             some = [_slice(b, known, bounds[k], bounds[k + 1] if k + 1 < slices else None) for b in blocks]
-            token, history, row, n = (np.concatenate(c) for c in zip(*some, strict=True)) if some else (np.zeros(0, np.uint64),) * 4
+            token, history, row = (np.concatenate(c) for c in zip(*some, strict=True)) if some else (np.zeros(0, np.uint64),) * 3
             del some
             if len(token):
-                yield from slice_facts(uid, held, token, history, row, n.astype(np.int64), sums, counts, id_type)
+                yield from slice_facts(uid, held, token, history, row, sums, counts, histories, id_type)
+            del token, history, row
+            if histories and (k + 1 == slices or sum(len(f[0]) for f in histories) >= 2 * SLICE):
+                yield figures(histories, id_type)
+                histories = []
         if len(uid):
             yield texts(uid, sums, counts, id_type)
 
-    def slice_facts(uid, held, token, history, row, n, sums, counts, id_type) -> Iterator[pa.RecordBatch]:
-        """Adds to the sums of the texts; figures of the histories, the tokens that back off and the pairs' counts."""
-        train = n * ~held[row]
+    def figures(histories: list[tuple[np.ndarray, ...]], id_type: pa.DataType) -> pa.RecordBatch:
+        history, mass, seen = (np.concatenate(c) for c in zip(*histories, strict=True))
+        keys, at = np.unique(history, return_inverse=True)
+        each = {f"n{k}": np.bincount(at[seen == k], minlength=len(keys)).astype(np.int32) for k in range(1, CUTOFF + 2)}
+        return facts(HISTORY, len(keys), id_type, key=keys.view(np.int64), a=np.bincount(at, weights=mass, minlength=len(keys)), **each)
+
+    def slice_facts(uid, held, token, history, row, sums, counts, histories, id_type) -> Iterator[pa.RecordBatch]:
+        """Adds to the sums of the texts and to the pairs by history; the tokens that back off and the pairs' counts."""
+        train = ~held[row]
         # Counts of the words that have no code: all their tokens are here.
         w = known.code(token)
-        words_here, word = np.unique(token, return_inverse=True)
-        own = np.bincount(word, weights=train, minlength=len(words_here))
-        count = np.where(w >= 0, known.count[w], own[word])
-        del words_here, word, own
+        rare = np.flatnonzero(w < 0)
+        words_here, word = np.unique(token[rare], return_inverse=True)
+        own = np.bincount(word, weights=train[rare], minlength=len(words_here)).astype(np.int64)[word]
+        count = known.count[w]
+        count[rare] = own
         pair = pair_key(token, history)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1]))
-        seen = np.add.reduceat(train[order], first)
+        seen = np.add.reduceat(train[order].astype(np.int64), first)
         r = np.empty(len(token), np.int64)
         r[order] = np.repeat(seen, np.diff(np.append(first, len(order))))
         log_p = known.log_p(count)
         fixed = np.where(r > CUTOFF, np.log10(np.maximum(r, 1)), 0) + np.where(r == 0, log_p, 0)
-        sums[:, 0] += np.bincount(row, weights=n * (w < 0) * np.log10(count + 1.0), minlength=len(sums))
-        sums[:, 1] += np.bincount(row, weights=n * fixed, minlength=len(sums))
-        for k, which in enumerate([(w < 0) & (count > 0), *[r == k for k in range(1, CUTOFF + 1)]]):
-            counts[:, 1 + k] += np.bincount(row[which], weights=n[which], minlength=len(counts)).astype(np.int32)
+        sums[:, 0] += np.bincount(row[rare], weights=np.log10(own + 1.0), minlength=len(sums))
+        sums[:, 1] += np.bincount(row, weights=fixed, minlength=len(sums))
+        for k, which in enumerate([rare[own > 0], *[r == k for k in range(1, CUTOFF + 1)]]):
+            counts[:, 1 + k] += np.bincount(row[which], minlength=len(counts)).astype(np.int32)
         none = np.flatnonzero(r == 0)
         if len(none):
-            yield facts(BACKOFF, len(none), id_type, key=history[none].view(np.int64), uid=uid[row[none]], n0=n[none].astype(np.int32))
+            yield facts(BACKOFF, len(none), id_type, key=history[none].view(np.int64), uid=uid[row[none]], n0=np.ones(len(none), np.int32))
         kept = order[first][seen > 0]
         for a in range(0, len(kept), CHUNK):
             some = kept[a : a + CHUNK]
             ends = [0, len(some)]
             yield facts(PAIRS, 1, id_type, pairs=pa.ListArray.from_arrays(ends, pa.array(pair[some].view(np.int64))), counts=pa.ListArray.from_arrays(ends, pa.array(r[some].astype(np.int32))))
-        histories, at = np.unique(history[kept], return_inverse=True)
-        figures = {f"n{k}": np.bincount(at[r[kept] == k], minlength=len(histories)).astype(np.int32) for k in range(1, CUTOFF + 2)}
-        yield facts(HISTORY, len(histories), id_type, key=histories.view(np.int64), a=np.bincount(at, weights=10.0 ** log_p[kept], minlength=len(histories)), **figures)
+        histories.append((history[kept], 10.0 ** log_p[kept], np.minimum(r[kept], CUTOFF + 2).astype(np.int8)))
 
     return dealt.groupBy("part").applyInArrow(resolve, _FACTS_SCHEMA.format(kind=id_kind))
 
 
 def _slice(block: list, known: Words, low: np.uint64, high: np.uint64 | None) -> tuple[np.ndarray, ...]:
-    """Token, history, row and count of one block's tokens with hashes from low to high; slices are asked for in order."""
-    tokens, at, codes, rares, rows, ns, shift, done = block
+    """Token, history and row of one block's tokens with hashes from low to high; slices are asked for in order."""
+    tokens, at, codes, rares, rows, shift, done = block
     i, j = int(np.searchsorted(tokens, low)), len(tokens) if high is None else int(np.searchsorted(tokens, high))
     a, b = at[i], at[j]
     code = codes[a:b]
     rare = code == 0xFFFF
     history = known.coded[np.where(rare, 0, code)]
-    block[7] = done + int(rare.sum())
-    history[rare] = rares[done : block[7]]
-    return np.repeat(tokens[i:j], np.diff(at[i : j + 1])), history, rows[a:b].astype(np.int32) + np.int32(shift), ns[a:b]
+    block[6] = done + int(rare.sum())
+    history[rare] = rares[done : block[6]]
+    return np.repeat(tokens[i:j], np.diff(at[i : j + 1])), history, rows[a:b].astype(np.int32) + np.int32(shift)
 
 
 def pair_key(token: np.ndarray, history: np.ndarray) -> np.ndarray:
@@ -410,13 +442,9 @@ class Model:
         return found.groupBy("uid").agg(F.max("id").alias(id_col), total.alias("score")).select(id_col, "score")
 
 
-def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "katz")
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
+def _look_up_all(source: DataFrame, scratch: Scratch) -> tuple[Words, np.ndarray, DataFrame]:
+    """What tasks know of words, the hot pairs' counts, and the facts of all parts as a table for each turn."""
     known = count_words(source, scratch)
-    words = spark.read.schema("word long, c long").parquet(scratch.path("words"))
     scratch.release()
     pairs = count_hot(source, known)
     parts = max(PARTS, -(-known.total // PART_TOKENS))
@@ -425,6 +453,17 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         part = scratch.table(f"facts{turn}", look_up(deal(source, known, pairs, parts, turn), known))
         facts = part if facts is None else facts.unionByName(part)
         scratch.release()
+    return known, pairs, facts
+
+
+def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "katz")
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
+    with arrow_batches(spark, BATCH_BYTES):
+        known, pairs, facts = _look_up_all(source, scratch)
+    words = spark.read.schema("word long, c long").parquet(scratch.path("words"))
 
     # The pairs of hot words: their counts are known here, bounded by HOT squared.
     names = known.coded[np.argsort(np.where(known.hot >= 0, known.hot, HOT), kind="stable")[: (known.hot >= 0).sum()]]
