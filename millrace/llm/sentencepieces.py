@@ -8,6 +8,12 @@ the one path on which every two neighbouring pieces stay apart when encoded toge
 neighbours, which leaves exactly one path: the ids are those of BPE. Whether two pieces stay apart is worked out from the
 merges that form them, for all pairs of a step at once.
 
+Words of more than ``EQUAL`` characters advance with others up to a fifth longer. A BPE word of more than ``STRIDE + OVERLAP`` characters
+(a line of base64, text without spaces) is cut into stretches that overlap and advance together. Where two stretches have a
+piece in common, the first's pieces up to it and the second's after it are again a path of valid neighbours, so the only one; where
+they have none, the second starts anew at a seam of the first, and if that fails too the word is encoded in one go. A step takes
+some 50 bytes for each of its at most 2 million characters.
+
 Characters without a piece become byte pieces (or the unknown piece, in models without them). Decoding concatenates pieces, so
 a text comes back whole, but for the sign that SentencePiece itself uses for a space, which comes back as a space.
 
@@ -32,6 +38,8 @@ SPACE = 0x2581
 BLOCK_BYTES = 4 << 20
 #: Words of one length that advance together.
 TOGETHER = 40_000
+EQUAL, STRIDE, OVERLAP = 24, 240, 60
+PAD = 0x110000
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -60,6 +68,7 @@ class Pieces:
     left: np.ndarray  # by id: the two pieces merged last, or the piece itself
     right: np.ndarray
     longest: int
+    length: np.ndarray  # characters, by id
     known: np.ndarray  # by code point
     byte: np.ndarray  # ids of the byte pieces, or the unknown piece's
     space_runs: list[list[int]]  # ids of runs of 0, 1, 2 .. spaces, up to the longest
@@ -151,7 +160,7 @@ def load(path: str = MODEL) -> Pieces:
     known[SPACE] = True
     byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     raw = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(blank, " ").encode() for i in range(n)]
-    out = Pieces(bpe, np.array(order, np.uint64), np.array([hashed[h] for h in order], np.int32), score, rank, left, right, longest, known, byte, [], np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    out = Pieces(bpe, np.array(order, np.uint64), np.array([hashed[h] for h in order], np.int32), score, rank, left, right, longest, np.array([len(x) for x in names]), known, byte, [], np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     out.maybe[:] = False
     out.maybe[(out.hash >> np.uint64(44)).astype(np.int64)] = True
     # Runs of spaces score alike, so the library itself tells how they are cut; from the largest piece on that repeats.
@@ -188,8 +197,11 @@ def _last_merges(names: list[str], by_name: dict[str, int], rank: np.ndarray, le
     return left, right, made
 
 
-def encode_words(x: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of each row of code points, all of known characters, and how many: a matrix filled from the right."""
+def encode_words(x: np.ndarray, pieces: Pieces, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each row of code points, all of known characters, and how many: a matrix filled from the right.
+
+    ``lengths``: of the rows, where those that end earlier are filled up with PAD.
+    """
     rows, length = x.shape
     sums, back_power = _hash_rows(x), _powers(_INVERSE, length + 1)
     last = np.full((rows, length + 1), -1, np.int64)  # the last piece of the best path to each position
@@ -210,7 +222,7 @@ def encode_words(x: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
             better = value > best[some, end]
             some = some[better]
             best[some, end], last[some, end], size[some, end] = value[better], found[some], span
-    ids, count, at = np.zeros((rows, length), np.int32), np.zeros(rows, np.int64), np.full(rows, length)
+    ids, count, at = np.zeros((rows, length), np.int32), np.zeros(rows, np.int64), np.full(rows, length) if lengths is None else lengths.copy()
     live = np.arange(rows)
     while len(live):
         count[live] += 1
@@ -220,6 +232,85 @@ def encode_words(x: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
     return ids, count
 
 
+def encode_spans(c: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the stretches of ``c`` that begin there and have these sizes: one pool of ids, each stretch's place in it, and count."""
+    made, count = [np.zeros(0, np.int32)], np.zeros(len(begin), np.int64)
+    at, total = np.zeros(len(begin), np.int64), 0
+    # Equal sizes up to EQUAL, then classes of sizes.
+    group = np.where(size <= EQUAL, size, EQUAL + 1 + np.floor(np.log(np.maximum(size, 1) / EQUAL) / np.log(1.2)).astype(np.int64))
+    for g in np.unique(group):
+        same = np.flatnonzero(group == g)
+        widest = int(size[same].max())
+        step = max(1, min(TOGETHER, 2_000_000 // widest))
+        for k in range(0, len(same), step):
+            some = same[k : k + step]
+            place = begin[some][:, None] + np.arange(widest)
+            inside = np.arange(widest) < size[some][:, None]
+            x = np.where(inside, c[np.minimum(place, len(c) - 1)], PAD)
+            ids, n = encode_words(x, pieces, size[some])
+            flat = ids[np.arange(widest)[None, :] >= widest - n[:, None]]
+            made.append(flat)
+            count[some], at[some] = n, total + np.cumsum(n) - n
+            total += len(flat)
+    return np.concatenate(made), at, count
+
+
+def _joined(c: np.ndarray, begin: int, end: int, starts: np.ndarray, parts: list[np.ndarray], pieces: Pieces) -> np.ndarray:
+    """The ids of one long word from those of its overlapping stretches."""
+
+    def seams(start: int, ids: np.ndarray) -> np.ndarray:
+        return start + np.cumsum(pieces.length[ids]) - pieces.length[ids]
+
+    def meet(path: np.ndarray, seam: np.ndarray, more: np.ndarray, more_seam: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        first = int(np.searchsorted(seam, more_seam[0]))
+        common, i, j = np.intersect1d(seam[first:] << 32 | path[first:], more_seam << 32 | more, assume_unique=True, return_indices=True)
+        if not len(common):
+            return None
+        i, j = first + int(i[0]) + 1, int(j[0]) + 1
+        return np.concatenate([path[:i], more[j:]]), np.concatenate([seam[:i], more_seam[j:]])
+
+    done_ids, done = [], 0
+    path, seam = parts[0].astype(np.int64), seams(begin, parts[0])
+    for start, ids in zip(starts[1:].tolist(), parts[1:], strict=True):
+        # What lies well before the next stretch is settled.
+        settled = int(np.searchsorted(seam, start - OVERLAP))
+        done_ids.append(path[:settled])
+        path, seam = path[settled:], seam[settled:]
+        stop = start + int(pieces.length[ids].sum())
+        found = meet(path, seam, ids.astype(np.int64), seams(start, ids))
+        if found is None:
+            again = int(seam[min(int(np.searchsorted(seam, start)), len(seam) - 1)])
+            pool, at, n = encode_spans(c, np.array([again]), np.array([stop - again]), pieces)
+            found = meet(path, seam, pool.astype(np.int64), seams(again, pool))
+        if found is None:
+            return encode_spans(c, np.array([begin]), np.array([end - begin]), pieces)[0]
+        path, seam = found
+    return np.concatenate([*done_ids, path]).astype(np.int32)
+
+
+def encode_all(c: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``encode_spans``, with long words in stretches."""
+    long = np.flatnonzero(size > STRIDE + OVERLAP) if pieces.bpe else np.zeros(0, np.int64)
+    if not len(long):
+        return encode_spans(c, begin, size, pieces)
+    parts = -(-(size[long] - OVERLAP) // STRIDE)
+    word = np.repeat(np.arange(len(long)), parts)
+    start = begin[long][word] + STRIDE * (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts))
+    stop = np.minimum(start + STRIDE + OVERLAP, (begin + size)[long][word])
+    short = np.flatnonzero(size <= STRIDE + OVERLAP)
+    pool, at, count = encode_spans(c, np.concatenate([begin[short], start]), np.concatenate([size[short], stop - start]), pieces)
+    out_at, out_count, more, total = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), [pool], len(pool)
+    out_at[short], out_count[short] = at[: len(short)], count[: len(short)]
+    first = len(short) + np.cumsum(parts) - parts
+    for k, which in enumerate(long.tolist()):
+        mine = range(int(first[k]), int(first[k] + parts[k]))
+        ids = _joined(c, int(begin[which]), int(begin[which] + size[which]), start[first[k] - len(short) : first[k] - len(short) + parts[k]], [pool[at[m] : at[m] + count[m]] for m in mine], pieces)
+        out_at[which], out_count[which] = total, len(ids)
+        more.append(ids)
+        total += len(ids)
+    return np.concatenate(more), out_at, out_count
+
+
 def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and the offsets of each row's."""
     rows = len(offsets) - 1
@@ -250,19 +341,7 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple
     h = mix((sums[word_end] - sums[word_begin]) * back[word_begin] + (word_end - word_begin).astype(np.uint64))
     _, example, word = np.unique(h, return_index=True, return_inverse=True)
     length = word_end[example] - word_begin[example]
-    made, made_count = [np.zeros(0, np.int32)], np.zeros(len(example), np.int64)
-    made_at, total = np.zeros(len(example), np.int64), 0
-    for size in np.unique(length):
-        same = np.flatnonzero(length == size)
-        step = max(1, min(TOGETHER, 2_000_000 // int(size)))
-        for k in range(0, len(same), step):
-            some = same[k : k + step]
-            ids, count = encode_words(c[word_begin[example[some]][:, None] + np.arange(size)], pieces)
-            flat = ids[np.arange(size)[None, :] >= size - count[:, None]]
-            made.append(flat)
-            made_count[some], made_at[some] = count, total + np.cumsum(count) - count
-            total += len(flat)
-    pool = np.concatenate(made)
+    pool, made_at, made_count = encode_all(c, word_begin[example], length, pieces)
 
     # A run of spaces before a word leaves its last one to the word, unless the word's first piece is that space alone.
     lone = np.zeros(len(begin), bool)

@@ -512,6 +512,26 @@ def test_long_runs(pieces):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [sp.encode(t) for t in texts]
 
 
+def test_unspaced_texts(pieces):
+    """Long words: random letters, base64, words without spaces, runs whose pieces have every period, and a million characters."""
+    import sentencepiece
+    import time
+
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL), random.Random(3)
+    words_ = "the and ation international ing code function return value strength of".split()
+    texts = ["".join(rng.choice(a) for _ in range(n)) for n in (250, 299, 300, 301, 302, 541, 900, 5000) for a in ("abcdefghijklmnop", "ABCdef0123+/", "etaoin")]
+    texts += ["".join(rng.choice(words_) for _ in range(n)) for n in (60, 200, 900)]
+    texts += [(p * 2000)[:n] for p in ("a", "ab", "the", "abcd", "hello", "------=", "0", "=-", "information") for n in (700, 1999)]
+    ids, at = sentencepieces.encode_block(*utf8(pa.array(texts)), pieces)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == sp.encode(t), t[:40]
+    long = "".join(rng.choice("ABCDefgh0123+/the") for _ in range(1_000_000))
+    began = time.time()
+    ids, _ = sentencepieces.encode_block(*utf8(pa.array([long])), pieces)
+    assert time.time() - began < 60 and sum(pieces.length[ids]) == len(long) + 1
+    assert ids.tolist()[:2000] == sp.encode(long[:20_000])[:2000]
+
+
 def test_encode_and_decode(spark, docs, corpus, nothing, pieces):
     coded = sentencepieces.encode(docs)
     assert coded.filter("NOT round_trip").count() == 0 and sentencepieces.encode(nothing).count() == 0
