@@ -14,7 +14,9 @@ Every text is the set of its word shingles; two texts link when ``100 * intersec
    The boundary is where enumerating subsets costs as much as scanning lists of the measured mean length.
 5. Each list links its members to one leader, the set with the fewest rare shingles, checked exactly on the shingles. Only
    lists whose members are then still in several components are joined with themselves, for pairs across components.
-   So a large group of near copies costs its size, not its square, and no link that joins two components is lost.
+   So a large group of near copies costs its size, not its square, and no link that joins two components is lost. A long list of
+   texts that share a good part without linking (a template) still costs the square of its size in comparisons, dealt to
+   as many tasks as it has parts of ``PART`` members.
 
 Everything is exact: hashes of 64 bits stand for shingles, 128 bits for sets. Nothing is capped.
 
@@ -39,6 +41,8 @@ from millrace.session import Scratch
 WORDS, PERCENT = 4, 85
 #: Parts of a hot leader's members: its set is sent once to each part.
 SALTS = 64
+#: Members of a list that one task compares with all of it.
+PART = 1000
 #: The largest size that may enumerate subsets.
 MOST_LIGHT = 200
 
@@ -198,13 +202,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = components(stars, scratch, "first")
 
     named = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rest = scratch.table("rest", named.join(mixed.select("key"), "key", "left_semi"))
-    p, q = rest.alias("p"), rest.alias("q")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high")
+    parts = mixed.select("key", F.ceil(F.col("members") / PART).alias("parts"))
+    rest = scratch.table("rest", named.join(parts, "key"))
+    # A long list's pairs are dealt to several tasks: each takes a part of the one side and all of the other.
+    p = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts"))).alias("p")
+    q = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("q")
     a, b = F.col("p.size"), F.col("q.size")
     # A true link meets in the list of its first common element, where the elements left over bound the overlap.
     left = 1 + F.least(a - F.col("p.place") - 1, b - F.col("q.place") - 1) + F.when((a <= boundary) | (b <= boundary), 1).otherwise(0)
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.label") < F.col("q.label")) & _fits(a, b, percent)).filter((100 + percent) * left >= percent * (a + b))
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.label") < F.col("q.label")) & _fits(a, b, percent)).filter((100 + percent) * left >= percent * (a + b))
     more = scratch.table("more", _linked(across.select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct(), known, percent))
     final = components(stars.union(more), scratch, "last")
 

@@ -512,6 +512,18 @@ def test_long_runs(pieces):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [sp.encode(t) for t in texts]
 
 
+def test_words_are_remembered(pieces, monkeypatch):
+    """Blocks that share words with earlier ones, with a memory that is started anew now and then."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepieces, "MEMO_WORDS", 60)
+    sp, rng, memo = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL), random.Random(7), sentencepieces.Memo()
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("theanding") for _ in range(rng.randint(1, 3))) for _ in range(40)) for _ in range(3)] + ["x" * 400, ""]
+        ids, at = sentencepieces.encode_block(*utf8(pa.array(texts)), pieces, memo)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [sp.encode(t) for t in texts]
+
+
 def test_unspaced_texts(pieces):
     """Long words: random letters, base64, words without spaces, runs whose pieces have every period, and a million characters."""
     import sentencepiece
@@ -647,7 +659,8 @@ def brute_components(rows, width, percent):
 
 
 @pytest.mark.parametrize("width,percent,seed", [(4, 85, 1), (5, 80, 2), (2, 60, 3)])
-def test_jaccard(spark, width, percent, seed):
+def test_jaccard(spark, monkeypatch, width, percent, seed):
+    monkeypatch.setattr(jaccard_join, "PART", 4)
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz")
     passage = [word() for _ in range(25)]
