@@ -38,7 +38,7 @@ from millrace.session import Scratch
 
 EDITS = 0.2
 ANCHOR = 3
-SAMPLED, RECALL, MOST_WALKS, TRIALS = 3, 0.97, 128, 512
+SAMPLED, RECALL, MOST_WALKS, TRIALS = 3, 0.99, 128, 512
 ITEM_BLOCK = 20_000
 #: Windows that are embedded at once.
 TOGETHER = 2048
