@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi pass in numpy.
 
 Text is cut where no piece can reach across: before a run of spaces and around characters without a piece. Equal words are
-encoded once a block, and words of equal length advance together: at each position the substrings that end there are looked
+encoded once a block, or once a task while ``MEMO_WORDS`` hold them, and words of equal length advance together: at each position the substrings that end there are looked
 up by hash among the sorted piece hashes, the best last piece is a maximum over them, and its length is stored as the
 backpointer. For a unigram model the maximised value is the sum of scores. A BPE model has no such sum, but its encoding is
 the one path on which every two neighbouring pieces stay apart when encoded together; the pass then maximises over valid
@@ -39,6 +39,7 @@ BLOCK_BYTES = 4 << 20
 #: Words of one length that advance together.
 TOGETHER = 40_000
 EQUAL, STRIDE, OVERLAP = 24, 240, 60
+MEMO_WORDS = 400_000
 PAD = 0x110000
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -311,7 +312,29 @@ def encode_all(c: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Piece
     return np.concatenate(more), out_at, out_count
 
 
-def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+class Memo:
+    """Words of earlier blocks of a task with their ids; started anew when it holds more than ``MEMO_WORDS``."""
+
+    def __init__(self) -> None:
+        self.hash, self.at, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, h: np.ndarray, c: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode_all`` for words with the ascending hashes ``h``."""
+        if len(self.hash) > MEMO_WORDS:
+            self.__init__()
+        place = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inside = place < len(self.hash)
+        known[inside] = self.hash[place[inside]] == h[inside]
+        new = np.flatnonzero(~known)
+        pool, at, count = encode_all(c, begin[new], size[new], pieces)
+        self.at, self.count = (np.insert(old, place[new], more) for old, more in ((self.at, at + len(self.pool)), (self.count, count)))
+        self.hash, self.pool = np.insert(self.hash, place[new], h[new]), np.concatenate([self.pool, pool])
+        mine = np.searchsorted(self.hash, h)
+        return self.pool, self.at[mine], self.count[mine]
+
+
+def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and the offsets of each row's."""
     rows = len(offsets) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -339,9 +362,9 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple
     ahead, back = _powers(_BASE, len(c) + 1), _powers(_INVERSE, len(c) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * ahead[:-1])])
     h = mix((sums[word_end] - sums[word_begin]) * back[word_begin] + (word_end - word_begin).astype(np.uint64))
-    _, example, word = np.unique(h, return_index=True, return_inverse=True)
+    different, example, word = np.unique(h, return_index=True, return_inverse=True)
     length = word_end[example] - word_begin[example]
-    pool, made_at, made_count = encode_all(c, word_begin[example], length, pieces)
+    pool, made_at, made_count = (memo or Memo()).encode(different, c, word_begin[example], length, pieces)
 
     # A run of spaces before a word leaves its last one to the word, unless the word's first piece is that space alone.
     lone = np.zeros(len(begin), bool)
@@ -386,12 +409,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     pieces, kind = load(model), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for batch in batches:
             missing = np.asarray(batch.column(1).is_null())
             data, offsets = utf8(batch.column(1))
             for a, b in steps(offsets, BLOCK_BYTES):
                 own, own_at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ids, at = encode_block(own, own_at, pieces)
+                ids, at = encode_block(own, own_at, pieces, memo)
                 back, back_at = decode_block(ids, at, pieces)
                 if np.array_equal(back_at, own_at) and np.array_equal(back, own):
                     same = np.ones(b - a, bool)
