@@ -75,3 +75,8 @@ def inside(base: Column, path: Column) -> Column:
     )
     whole = F.array_join(resolved["at"], "/")
     return resolved["ok"] & ((whole == base) | F.startswith(whole, F.concat(base, F.lit("/"))))
+
+
+def same_or_below_any(path: Column, target: Column) -> Column:
+    """Whether a path is the target, or ends with it after a slash."""
+    return (path == target) | F.endswith(path, F.concat(F.lit("/"), target))

@@ -29,6 +29,22 @@ HEADERS = {
     "<stdlib.h>": ("malloc", "calloc", "realloc", "free", "atoi", "atof", "atol", "exit", "abort"),
     "<stddef.h>": ("ptrdiff_t",),
 }
+# What a function at the start of a line looks like, and the headings of a design document.
+TOP_LEVEL = (
+    r"(?m)^(?:(?:static|inline|extern|const|volatile|unsigned|signed|long|short)\s+)*"
+    r"(?:struct\s+\w+\s*\*?\s*|enum\s+\w+\s*|union\s+\w+\s*|\w+\s*\*?\s*)([a-zA-Z_]\w*)\s*\("
+)
+HEADINGS = {
+    "title": "### Function Design Document (from project specification):",
+    "name": "- Function Name: ",
+    "identifier": "- Identifier: ",
+    "description": "- Description: ",
+    "inputs": "- Input Parameters:",
+    "returns": "- Return Values:",
+    "algorithm": "- Algorithm: ",
+    "steps": "- Logic Flow Steps:",
+    "calls": "- Called Functions: ",
+}
 
 
 def strip(text: Column) -> Column:
@@ -96,11 +112,7 @@ def code_graph(code: Column) -> Column:
 
 def top_level_names(code: Column) -> Column:
     """Names of functions at the start of a line, in order of first sight."""
-    pattern = (
-        r"(?m)^(?:(?:static|inline|extern|const|volatile|unsigned|signed|long|short)\s+)*"
-        r"(?:struct\s+\w+\s*\*?\s*|enum\s+\w+\s*|union\s+\w+\s*|\w+\s*\*?\s*)([a-zA-Z_]\w*)\s*\("
-    )
-    return F.array_distinct(F.filter(F.regexp_extract_all(code, F.lit(pattern), 1), lambda n: ~n.isin(*NAME_STOP)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(code, F.lit(TOP_LEVEL), 1), lambda n: ~n.isin(*NAME_STOP)))
 
 
 def missing_headers(code: Column) -> Column:
@@ -174,15 +186,15 @@ def design_text(doc: Column) -> Column:
     items = lambda rows, one: F.array_join(F.transform(rows, one), "\n")
     basic, io = doc["basic_info"], doc["io_params"]
     some = lambda rows, head, one: F.when(F.size(rows) > 0, F.concat(F.lit(f"{head}\n"), items(rows, one)))
+    head = {k: F.lit(v) for k, v in HEADINGS.items()}
+    called = doc["call_relation"]["called_functions"]
     return F.concat_ws(
         "\n",
-        F.lit("### Function Design Document (from project specification):"),
-        F.when(basic.isNotNull(), F.concat(F.lit("- Function Name: "), F.coalesce(basic["function_name"], F.lit("")))),
-        F.when(basic.isNotNull(), F.concat(F.lit("- Identifier: "), F.coalesce(basic["software_unit_identifier"], F.lit("")))),
-        F.when(basic.isNotNull(), F.concat(F.lit("- Description: "), F.coalesce(basic["function_desc"], F.lit("")))),
-        some(io["input_params"], "- Input Parameters:", lambda p: F.concat(F.lit("    - "), p["param_name"], F.lit(": "), p["param_desc"])),
-        some(io["return_value"], "- Return Values:", lambda r: F.concat(F.lit("    - "), r["value"], F.lit(": "), r["desc"])),
-        F.when(doc["algorithm"]["desc"] != "", F.concat(F.lit("- Algorithm: "), doc["algorithm"]["desc"])),
-        some(doc["logic_flow"]["flow_steps"], "- Logic Flow Steps:", lambda s: F.concat(F.lit("    "), s)),
-        F.when(F.size(doc["call_relation"]["called_functions"]) > 0, F.concat(F.lit("- Called Functions: "), F.array_join(doc["call_relation"]["called_functions"], ", "))),
+        head["title"],
+        *[F.when(basic.isNotNull(), F.concat(head[k], F.coalesce(basic[f], F.lit("")))) for k, f in (("name", "function_name"), ("identifier", "software_unit_identifier"), ("description", "function_desc"))],
+        some(io["input_params"], HEADINGS["inputs"], lambda p: F.concat(F.lit("    - "), p["param_name"], F.lit(": "), p["param_desc"])),
+        some(io["return_value"], HEADINGS["returns"], lambda r: F.concat(F.lit("    - "), r["value"], F.lit(": "), r["desc"])),
+        F.when(doc["algorithm"]["desc"] != "", F.concat(head["algorithm"], doc["algorithm"]["desc"])),
+        some(doc["logic_flow"]["flow_steps"], HEADINGS["steps"], lambda s: F.concat(F.lit("    "), s)),
+        F.when(F.size(called) > 0, F.concat(head["calls"], F.array_join(called, ", "))),
     )

@@ -15,11 +15,33 @@ def insert(rows: DataFrame, new: DataFrame, key: str, stamp: str | None = None)
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def patch(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Partial update by key: null leaves a column as it is. Several patches of one key would be ambiguous and raise none."""
-    fields = [c for c in patches.columns if c != key]
-    change = patches.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in fields])
-    return rows.join(change, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else c for c in rows.columns])
+def patch(rows: DataFrame, patches: DataFrame, key: str, by: str | None = None, fields_set: str | None = None) -> DataFrame:
+    """Partial update by key. Null leaves a column as it is, unless the array column ``fields_set`` names it: then it becomes null.
+
+    Of several patches of a key each column takes its last value by ``by``; without that the largest, null being the least.
+    """
+    fields = [c for c in patches.columns if c not in (key, by, fields_set)]
+    sets = {c: F.array_contains(fields_set, c) if fields_set else F.col(c).isNotNull() for c in fields}
+    order = F.col(by) if by else None
+    change = patches.groupBy(key).agg(*[F.max_by(F.struct(F.col(c).alias("v")), F.when(sets[c], order if by else F.struct(F.lit(1), F.col(c)))).alias(f"_{c}") for c in fields])
+    return rows.join(change, key, "left").select(*[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c) if c in fields else c for c in rows.columns])
+
+
+def upsert(rows: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
+    """Rows replaced by the new ones with their key, and the other new ones, newest first."""
+    return rows.join(new.select(key), key, "left_anti").unionByName(new).orderBy(F.col(stamp).desc(), key)
+
+
+def delete_owned(parents: DataFrame, children: DataFrame, requests: DataFrame, parent_key: str, child_key: str, owner: str, user: str, count: str) -> tuple[DataFrame, DataFrame]:
+    """Children that their parent's owner asks to delete go, and each parent's ``count`` is less by those; other requests do nothing.
+
+    ``children`` and ``requests`` hold ``child_key``, ``children`` ``parent_key`` too; repeated requests count once, children that share a key go together.
+    """
+    asked = children.select(child_key, parent_key).join(requests.select(child_key, F.col(user).alias("_user")).distinct(), child_key)
+    granted = asked.join(parents.select(parent_key, F.col(owner).alias("_owner")), parent_key).filter("_user = _owner")
+    fewer = granted.groupBy(parent_key).agg(F.count("*").alias("_gone"))
+    left = parents.join(fewer, parent_key, "left").withColumn(count, F.col(count) - F.coalesce("_gone", F.lit(0))).select(*parents.columns)
+    return left, children.join(granted.select(child_key, parent_key), [child_key, parent_key], "left_anti")
 
 
 def delete(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:

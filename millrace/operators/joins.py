@@ -6,9 +6,13 @@ keys of the others are left to adaptive skew joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
+
 
 def left_default(left: DataFrame, right: DataFrame, on: str | list[str], defaults: dict[str, object]) -> DataFrame:
     """Left join; the right side's columns take defaults where there is no match or null."""
@@ -76,3 +80,44 @@ def zipped(rows: DataFrame, files: str, names: str, fallback: str) -> DataFrame:
     pairs = F.arrays_zip(F.col(files).alias("file"), F.col(names).alias("name"))
     out = rows.select(*[c for c in rows.columns if c not in (files, names)], F.posexplode(pairs).alias("place", "pair"))
     return out.select("*", F.col("pair.file").alias("file"), F.coalesce("pair.name", F.col("pair.file")[fallback]).alias("name")).drop("pair")
+
+
+def _runs(n: int, chars: int) -> Callable[[Column], Column]:
+    """Hashes of the different runs of n words of an array, or for n = 0 of ``chars`` characters of a text."""
+
+    def of(w: Column) -> Column:
+        size, length = F.size(w) if n else F.char_length(w), n or chars
+
+        def one(i: Column) -> Column:
+            return F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ") if n else F.substring(w, i, F.lit(chars)))
+
+        places = F.sequence(F.lit(1), size - (length - 1)) if length else F.array(F.lit(1))
+        return F.when(size >= length, F.array_distinct(F.transform(places, one))).otherwise(F.array().cast("array<bigint>"))
+
+    return of
+
+
+def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item: str, width: int = 3) -> DataFrame:
+    """All pairs of a text and an item that it contains, exactly: the columns of both. ``key`` tells texts apart; null contains nothing.
+
+    An item's inner words (all but its first and last, which may go on in the text) are words of the text. The first ``width`` of them
+    are looked up by hash among the text's runs of words; of items without inner words the first ``width`` characters among the
+    text's. Only keys and hashes are joined, and then the pairs that meet are checked exactly.
+    """
+    words = F.split(F.col(item), " ")
+    inner = F.slice(words, F.lit(2), F.least(F.lit(width), F.greatest(F.size(words) - 2, F.lit(0))))
+    probed = items.filter(F.col(item).isNotNull()).withColumn("_words", F.size(inner)).withColumn("_chars", F.when(F.col("_words") == 0, F.least(F.lit(width), F.char_length(item))))
+    probed = probed.withColumn("_probe", F.xxhash64(F.when(F.col("_words") > 0, F.array_join(inner, " ")).otherwise(F.substring(F.col(item), F.lit(1), F.col("_chars")))))
+    kinds = sorted((r["_words"], r["_chars"] or 0) for r in probed.select("_words", "_chars").distinct().collect())  # at most 2 width + 1 rows
+    near = None
+    for n, chars in kinds:
+
+        source = F.split(F.col(text), " ") if n else F.col(text)
+        places = texts.filter(F.col(text).isNotNull()).select(key, F.explode(let(source, _runs(n, chars))).alias("_probe"))
+        mine = probed.filter((F.col("_words") == n) & (F.coalesce("_chars", F.lit(0)) == chars)).select(F.col(item).alias("_item"), "_probe")
+        one = places.join(mine, "_probe").select(key, "_item").distinct()
+        near = one if near is None else near.union(one)
+    if near is None:
+        return texts.join(items, F.lit(False))
+    pairs = texts.join(near, key).filter(F.contains(text, F.col("_item")))
+    return pairs.join(items, F.col("_item") == F.col(item)).drop("_item")

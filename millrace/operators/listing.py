@@ -57,3 +57,14 @@ def gated_union(must: DataFrame, optional: DataFrame, skipped: DataFrame, includ
     if include_skipped:
         out = out.unionByName(skipped.withColumn("category", F.lit("skipped")))
     return out
+
+
+def ranked(sources: list[tuple[DataFrame, str, bool]]) -> DataFrame:
+    """The rows of several sources one after the other, each ordered by a column, ascending or not; ``source_rank`` tells which."""
+    out = None
+    for k, (source, by, ascending) in enumerate(sources):
+        # One ascending sort over all: of each source the other direction's key is null.
+        keys = (F.col(by) if ascending else F.lit(None).cast(source.schema[by].dataType), F.lit(None).cast(source.schema[by].dataType) if ascending else F.col(by))
+        one = source.select("*", F.lit(k).alias("source_rank"), keys[0].alias("_up"), keys[1].alias("_down"))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy("source_rank", "_up", F.col("_down").desc()).drop("_up", "_down")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
@@ -55,3 +55,16 @@ def refresh(tree: DataFrame, parent: str, fresh: DataFrame) -> DataFrame:
     others = tree.filter(~below)
     deeper = tree.filter(below & (F.col("parent") != parent)).withColumn("_child", child).join(names, F.col("_child") == F.col("_path"), "left_semi").drop("_child")
     return others.unionByName(deeper).unionByName(fresh)
+
+
+def flatten(symbols: DataFrame, group: str, name: str, start: str, end: str) -> DataFrame:
+    """Nested symbols in order with ``indent``: how many symbols of the group enclose each.
+
+    A symbol is enclosed by those that start before it (or with it and end later) and end at or after its end. Symbols nest properly, so
+    those still open are the starts less the ends up to here: one running sum over starts and ends instead of pairs of symbols.
+    """
+    opens = symbols.select(group, name, start, end, F.lit(1).alias("_step"), F.col(start).alias("_at"), (-F.col(end)).alias("_tie"))
+    closes = symbols.select(group, name, start, end, F.lit(-1).alias("_step"), F.col(end).alias("_at"), F.col(start).alias("_tie"))
+    order = Window.partitionBy(group).orderBy("_at", F.col("_step").desc(), "_tie", name).rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum("_step").over(order), F.lit(0))
+    return opens.unionByName(closes).withColumn("indent", depth).filter("_step = 1").select(group, name, start, end, F.col("indent").cast("int").alias("indent")).orderBy(group, start, F.col(end).desc())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import listings, ordered, records, relations, texts, workflows  # noqa: F401  (they register their queries)
+from millrace.plans import listings, ordered, projects, records, relations, storage, texts, workflows  # noqa: F401  (they register their queries)
 from millrace.plans.registry import PLANS, SQL, runnable
 
 

@@ -166,14 +166,14 @@ def token_counts(t):
 @query(
     "complexity_level",
     r"""
-    WITH c AS (SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(text, '\bthe\b', 'if', 'g'), '\bof\b', 'for', 'g'), '\b(if|else\s+if|else|for|while|do|switch|case|&&|\|\||break|continue|return)\b')) AS n
-      FROM documents WHERE lang = 'en')
+    WITH c AS (SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '\bthe\b', 'if', 'g'), '\bof\b', 'for', 'g'), '\b(if|else\s+if|else|for|while|do|switch|case|&&|\|\||break|continue|return)\b')) AS n
+      FROM documents)
     SELECT doc_id, n::INT AS branch_tokens, CASE WHEN n <= 2 THEN 'LOW' WHEN n <= 6 THEN 'MED' ELSE 'HIGH' END AS level, CASE WHEN n <= 2 THEN 500 WHEN n <= 6 THEN 900 ELSE 1500 END AS budget FROM c
     """,
 )
 def complexity_level(t):
-    code = F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "if"), r"\bof\b", "for")
-    rows = t("documents").filter("lang = 'en'").select("doc_id", text.branch_tokens(code).alias("branch_tokens"), text.complexity(code).alias("level"))
+    code = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), r"\bthe\b", "if"), r"\bof\b", "for")
+    rows = t("documents").select("doc_id", text.branch_tokens(code).alias("branch_tokens"), text.complexity(code).alias("level"))
     return rows.withColumn("budget", text.token_budget(F.col("level")))
 
 

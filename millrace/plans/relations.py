@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions import arrays, status, text
+from millrace.functions import status, text
 from millrace.operators import dml, graph, joins
 from millrace.plans.registry import query
 
@@ -38,16 +38,17 @@ def left_default(t):
     "fallback_unique_join",
     """
     WITH c AS (SELECT page_id, regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([^/]*)', 1) AS host, regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([^./]*)', 1) AS short FROM pages),
-    h AS (SELECT page_id, host, short FROM c WHERE page_id % 3 = 0),
+    h AS (SELECT page_id, concat(host, CASE WHEN page_id % 2 = 0 THEN '' ELSE '.old' END) AS host, short FROM c),
     f AS (SELECT host, min(page_id) AS a FROM h GROUP BY host), s AS (SELECT short, min(page_id) AS b FROM h GROUP BY short HAVING count(*) = 1)
-    SELECT c.page_id, coalesce(a, b) AS header FROM c LEFT JOIN f ON f.host = c.host LEFT JOIN s ON s.short = c.short WHERE c.page_id % 3 = 1
+    SELECT c.page_id, coalesce(a, b) AS header FROM c LEFT JOIN f ON f.host = c.host LEFT JOIN s ON s.short = c.short
     """,
 )
 def fallback_unique_join(t):
+    # Each page looks for a header among all pages, of which every other one is known by another host.
     host, short = r"://(?:www\.|m\.|blog\.)?([^/]*)", r"://(?:www\.|m\.|blog\.)?([^./]*)"
     rows = t("pages").select("page_id", F.regexp_extract("url", host, 1).alias("host"), F.regexp_extract("url", short, 1).alias("short"))
-    heads = rows.filter("page_id % 3 = 0").withColumnRenamed("page_id", "header")
-    return joins.fallback_unique(rows.filter("page_id % 3 = 1"), heads, "host", "short", "header").select("page_id", "header")
+    heads = rows.select(F.col("page_id").alias("header"), F.concat("host", F.when(F.col("page_id") % 2 == 0, "").otherwise(".old")).alias("host"), "short")
+    return joins.fallback_unique(rows, heads, "host", "short", "header").select("page_id", "header")
 
 
 @query(
@@ -55,11 +56,7 @@ def fallback_unique_join(t):
     "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 )
 def regex_theta_join(t):
-    # An item inside a text shares its second to fourth words with it: an equi-join on them, then the exact condition.
-    items = t("benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("probe"))
-    docs = t("documents").select("doc_id", "text")
-    near = docs.select("doc_id", F.explode(arrays.windows(F.split("text", " "), 3)).alias("probe")).join(items.select("item_id", "probe"), "probe").select("doc_id", "item_id").distinct()
-    return near.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    return joins.containing(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("item")), "doc_id", "text", "item").select("item_id", "doc_id")
 
 
 @query(
@@ -137,7 +134,8 @@ def anti_missing(t):
 @query(
     "missing_headers",
     r"""
-    WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\bthat\b', 'va_list', 'g'), '\bare\b', 'free', 'g') AS code FROM documents WHERE lang = 'en')
+    WITH d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM documents),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\bthat\b', 'va_list', 'g'), '\bare\b', 'free', 'g') AS code FROM d)
     SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(code, '\b(va_list|va_start|va_end|va_arg)\b') AND NOT contains(code, '#include <stdarg.h>') THEN '<stdarg.h>' END,
       CASE WHEN regexp_matches(code, '\b(memcpy|memset|memmove|strcmp|strncmp|strlen|strcpy|strncpy|strstr|strchr)\b') THEN '<string.h>' END,
       CASE WHEN regexp_matches(code, '\b(malloc|calloc|realloc|free|atoi|atof|atol|exit|abort)\b') THEN '<stdlib.h>' END,
@@ -145,14 +143,14 @@ def anti_missing(t):
     """,
 )
 def missing_headers(t):
-    code = F.regexp_replace(F.regexp_replace("text", r"\bthat\b", "va_list"), r"\bare\b", "free")
-    return t("documents").filter("lang = 'en'").select("doc_id", F.array_join(text.missing_headers(code), ",").alias("headers"))
+    code = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), r"\bthat\b", "va_list"), r"\bare\b", "free")
+    return t("documents").select("doc_id", F.array_join(text.missing_headers(code), ",").alias("headers"))
 
 
-@query("insert_union", "SELECT count(*) AS n, max(r_regionkey) AS last_key FROM (SELECT r_regionkey FROM region UNION ALL SELECT 100 + n_nationkey FROM nation)")
+@query("insert_union", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 100 + n_nationkey, n_name FROM nation")
 def insert_union(t):
     new = t("nation").select((F.col("n_nationkey") + 100).alias("r_regionkey"), F.col("n_name").alias("r_name"))
-    return dml.insert(t("region"), new, "r_regionkey").agg(F.count("*").alias("n"), F.max("r_regionkey").alias("last_key"))
+    return dml.insert(t("region").select("r_regionkey", "r_name"), new, "r_regionkey")
 
 
 @query(
@@ -165,14 +163,30 @@ def patch_update(t):
     return dml.patch(rows, patches, "c_custkey")
 
 
+@query(
+    "patch_null",
+    """
+    WITH p AS (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN n > 5 THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN n IS NULL OR n = 1 THEN o_totalprice ELSE n::DOUBLE END AS o_totalprice FROM orders LEFT JOIN p ON k = o_orderkey
+    """,
+)
+def patch_null(t):
+    # A patch for each item: from the second on they set the price, from the sixth on they clear the priority; the last line wins.
+    line = F.col("l_linenumber")
+    named = F.concat(F.when(line > 1, F.array(F.lit("o_totalprice"))).otherwise(F.array().cast("array<string>")), F.when(line > 5, F.array(F.lit("o_orderpriority"))).otherwise(F.array().cast("array<string>")))
+    patches = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), line.alias("by"), F.lit(None).cast("string").alias("o_orderpriority"), line.cast("double").alias("o_totalprice"), named.alias("named"))
+    return dml.patch(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), patches, "o_orderkey", "by", "named")
+
+
 @query(
     "cascade_delete",
-    "SELECT 'order' AS kind, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'item', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)",
+    "SELECT 'order' AS kind, o_orderkey AS id, 0 AS line FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'item', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)",
 )
 def cascade_delete(t):
     gone = t("orders").filter("o_custkey % 7 = 0").select("o_orderkey")
     orders, items = dml.cascade(t("orders"), t("lineitem"), gone, "o_orderkey", "l_orderkey")
-    return orders.agg(F.count("*").alias("n")).select(F.lit("order").alias("kind"), "n").unionByName(items.agg(F.count("*").alias("n")).select(F.lit("item").alias("kind"), "n"))
+    first = orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.lit(0).alias("line"))
+    return first.union(items.select(F.lit("item"), "l_orderkey", "l_linenumber"))
 
 
 @query("rename_prefix", r"SELECT page_id, CASE WHEN path = 'en' OR starts_with(path, 'en/') THEN concat('english', substr(path, 3)) ELSE path END AS path FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages)")
@@ -211,12 +225,12 @@ def set_difference(t):
 @query(
     "graph_3hop",
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_orderkey % 40 = 0 AND l_suppkey % 50 <> l_partkey % 50),
-    down AS (SELECT src, dst, 1 AS d FROM e WHERE src = 1 UNION SELECT e.src, e.dst, d + 1 FROM down JOIN e ON e.src = down.dst WHERE d < 3),
-    up AS (SELECT src, dst, 1 AS d FROM e WHERE dst = 1 UNION SELECT e.src, e.dst, d + 1 FROM up JOIN e ON e.dst = up.src WHERE d < 3)
-    SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM down UNION SELECT src::VARCHAR, dst::VARCHAR FROM up
+    WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey),
+    d1 AS (SELECT * FROM e WHERE src = 1), d2 AS (SELECT * FROM e WHERE src IN (SELECT dst FROM d1)), d3 AS (SELECT * FROM e WHERE src IN (SELECT dst FROM d2)),
+    u1 AS (SELECT * FROM e WHERE dst = 1), u2 AS (SELECT * FROM e WHERE dst IN (SELECT src FROM u1)), u3 AS (SELECT * FROM e WHERE dst IN (SELECT src FROM u2))
+    SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM (FROM d1 UNION FROM d2 UNION FROM d3 UNION FROM u1 UNION FROM u2 UNION FROM u3)
     """,
 )
 def graph_3hop(t):
-    edges = t("lineitem").filter("l_orderkey % 40 = 0").select((F.col("l_suppkey") % 50).cast("string").alias("src"), (F.col("l_partkey") % 50).cast("string").alias("dst"))
+    edges = t("lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"))
     return graph.within_hops(edges, F.col("node") == "1", 3)

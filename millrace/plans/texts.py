@@ -7,9 +7,9 @@ from millrace.plans.registry import query
 from millrace.sources import files
 
 
-@query("highlight_mark", "SELECT doc_id, regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM documents WHERE lang = 'en'")
+@query("highlight_mark", "SELECT doc_id, regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
 def highlight_mark(t):
-    return t("documents").filter("lang = 'en'").select("doc_id", text.mark(F.col("text"), "the").alias("marked"))
+    return t("documents").select("doc_id", text.mark(F.col("text"), "the").alias("marked"))
 
 
 @query(
@@ -62,9 +62,15 @@ def annotate_lines(t):
     return t("documents").filter(F.contains("text", F.lit("Licensed"))).select("doc_id", text.insert_after(F.col("text"), "Licensed", "// license").alias("annotated"))
 
 
-@query("operator_signs", "SELECT page_id, replace(replace(concat('<operator>.assignment ', page_id, ' <operator>.cast'), '<operator>.assignment', '='), '<operator>.cast', '(cast)') AS label FROM pages")
+@query(
+    "operator_signs",
+    "SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(text, ' the ', '='), ' of ', '&'), ' and ', '->'), ' in ', '.'), ' la ', '[]'), ' de ', '*'), ' der ', '(cast)')) AS digest FROM documents",
+)
 def operator_signs(t):
-    return t("pages").select("page_id", text.operator_signs(F.concat(F.lit("<operator>.assignment "), F.col("page_id").cast("string"), F.lit(" <operator>.cast"))).alias("label"))
+    dot = F.col("text")
+    for word, name in zip((" the ", " of ", " and ", " in ", " la ", " de ", " der "), text.OPERATORS, strict=True):
+        dot = F.replace(dot, F.lit(word), F.lit(name))
+    return t("documents").select("doc_id", F.md5(text.operator_signs(dot)).alias("digest"))
 
 
 @query("strip_fences", r"SELECT doc_id, md5(regexp_replace(concat('```c', chr(10), text, chr(10), '```'), '```\w*', '', 'g')) AS digest FROM documents")

@@ -8,6 +8,7 @@ import re
 import tempfile
 import time
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,6 +34,17 @@ def local_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
     return spark
 
 
+def package_zip(path: str) -> str:
+    """The package as a zip file at ``path``, for ``--py-files`` or ``addPyFile``, so that workers elsewhere can import it."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(home)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                whole = os.path.join(folder, name)
+                out.write(whole, os.path.relpath(whole, os.path.dirname(home)))
+    return path
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temp folder where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

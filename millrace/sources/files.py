@@ -7,6 +7,7 @@ are no rows for empty directories; listings don't show them.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -45,15 +46,51 @@ def code_files(files: DataFrame) -> DataFrame:
     return files.filter(wanted & (F.col("path") != "meta.json")).orderBy("path")
 
 
-def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """Without ``.git`` and what the ignore patterns (``*``, ``?``, trailing and leading slashes) cover."""
-    out = files.filter(~F.rlike("path", F.lit(r"(^|/)\.git(/|$)")))
-    for p in (x.strip() for x in patterns if x.strip() and not x.startswith("#")):
-        body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".+()[]{}^$|\\" else c for c in p.strip("/"))
-        out = out.filter(~F.rlike("path", F.lit(("^" if p.startswith("/") else "(^|/)") + body + ("/" if p.endswith("/") else "(/|$)"))))
+def ignore_rules(patterns: list[str]) -> list[tuple[str, bool, bool]]:
+    """(regular expression for a whole path, whether it takes back, whether for directories only) of each ignore pattern.
+
+    ``*`` and ``?`` stay within a name, ``**`` crosses names, ``[..]`` is a class, ``!`` takes back, a slash before the end ties
+    the pattern to the root, one at the end asks for a directory.
+    """
+    out = []
+    for p in patterns:
+        p = p.rstrip()
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!").removeprefix("\\")
+        only_dirs, p = p.endswith("/"), p.rstrip("/")
+        tied, p = "/" in p, p.removeprefix("/")
+        body, k = "" if tied or p.startswith("**") else "(?:.*/)?", 0
+        while k < len(p):
+            if p.startswith("**/", k):
+                body, k = body + "(?:.*/)?", k + 3
+            elif p.startswith("**", k):
+                body, k = body + ".*", k + 2
+            elif p[k] == "[" and "]" in p[k + 2 :]:
+                end = p.index("]", k + 2)
+                inner = p[k + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+                body, k = body + "(?!/)[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", end + 1
+            else:
+                body, k = body + {"*": "[^/]*", "?": "[^/]"}.get(p[k], re.escape(p[k])), k + 1
+        out.append((f"^{body}$", back, only_dirs))
     return out
 
 
+def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """Without ``.git`` and what the ignore patterns cover: the last that matches decides, and below an ignored directory all goes."""
+    rules = [*ignore_rules(patterns), (r"^(?:.*/)?\.git$", False, False)]
+    parts = paths.prefixes(F.col("path"))
+
+    def covered(prefix: Column, place: Column) -> Column:
+        is_dir, out = place < F.size(parts) - 1, F.lit(False)
+        for body, back, only_dirs in rules:
+            hit = F.rlike(prefix, F.lit(body)) & (is_dir if only_dirs else F.lit(True))
+            out = F.when(hit, F.lit(not back)).otherwise(out)
+        return out
+
+    return files.filter(~F.exists(F.transform(parts, covered), lambda hit: hit))
+
+
 def text_of(content: Column) -> Column:
     """UTF-8 with U+FFFD for what isn't."""
     return F.make_valid_utf8(content.cast("string"))
@@ -112,10 +149,12 @@ def archive_summary(archives: DataFrame, entries: DataFrame) -> DataFrame:
     return archives.select(F.col("path").alias("archive"), F.col("length").alias("size")).join(counts, "archive", "left").na.fill(0, ["c_files", "files"])
 
 
-def upload_errors(files: DataFrame) -> DataFrame:
-    """Files over the size limit, and all of an upload with too many."""
-    total = files.agg(F.count("*").alias("total"))
-    return files.join(F.broadcast(total)).filter((F.col("length") > MAX_FILE) | (F.col("total") > MAX_FILES)).drop("total")
+def upload_errors(files: DataFrame, upload: str | None = None, max_file: int = MAX_FILE, max_files: int = MAX_FILES) -> DataFrame:
+    """Files over the size limit, and all files of an upload with too many; ``upload`` names an upload's column, None: one upload."""
+    keys = [upload] if upload else []
+    many = files.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_files)
+    marked = files.join(many, keys, "left") if keys else files.join(F.broadcast(many), how="left")
+    return marked.filter((F.col("length") > max_file) | F.col("_n").isNotNull()).drop("_n")
 
 
 DESIGN = (

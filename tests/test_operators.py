@@ -68,6 +68,46 @@ def test_joins(spark, rows):
     assert rows(joins.left_default(tasks, spark.createDataFrame([("p", "P")], "project string, title string"), "project", {"title": "未知项目"}), "id", "title") == [(1, "P"), (2, "未知项目")]
 
 
+def test_containing(spark, rows):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    texts = [(k, " ".join(word() for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(60, None), (3, "x a b c y"), (61, "")]
+    items = [(k, " ".join(word() for _ in range(k % 7))) for k in range(40)] + [(40, None), (41, "a b c"), (42, "")]
+    got = joins.containing(spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(items, "i int, item string"), "t", "text", "item")
+    want = sorted(((t, i) for t, x in texts for i, y in items if x is not None and y is not None and y in x), key=repr)
+    assert rows(got, "t", "i") == want and len(want) > 200
+
+
+def test_changes_with_owners_and_nulls(spark, rows):
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "id int, name string, n int")
+    patches = spark.createDataFrame([(1, 1, None, 9, ["name", "n"]), (1, 2, "z", None, ["name"]), (2, 1, None, None, []), (3, 1, "c", None, ["n", "name"])], "id int, by int, name string, n int, named array<string>")
+    assert rows(dml.patch(base, patches, "id", "by", "named")) == [(1, "z", 9), (2, "b", 6), (3, "c", None)]
+    parents = spark.createDataFrame([(1, "u", 2), (2, "v", 1)], "p int, owner string, n int")
+    children = spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "c int, p int")
+    asked = spark.createDataFrame([(10, "u"), (10, "u"), (12, "u"), (99, "u")], "c int, user string")
+    left, kept = dml.delete_owned(parents, children, asked, "p", "c", "owner", "user", "n")
+    assert rows(left) == [(1, "u", 1), (2, "v", 1)] and rows(kept, "c") == [(11,), (12,)]
+
+
+def test_ignore_patterns(spark, rows):
+    paths_ = [("a.log",), ("keep.log",), ("d/x.log",), ("build/k/a.c",), ("src/build/a.c",), ("doc/a/b/c.md",), ("doc/c.md",), ("t1.c",), ("t2.c",), ("tx.c",), (".git/x",), ("out",), ("d/out/y",), ("a+b",)]
+    frame = spark.createDataFrame(paths_, "path string")
+    left = lambda *p: [r[0] for r in rows(files.not_ignored(frame, list(p)), "path")]
+    every = sorted(p[0] for p in paths_ if p[0] != ".git/x")
+    assert left() == left("# none", "") == every
+    assert left("*.log", "!keep.log") == [p for p in every if not p.endswith(".log") or p == "keep.log"]
+    assert left("/build/", "!build/k/a.c") == [p for p in every if not p.startswith("build/")]
+    assert left("doc/**/c.md") == [p for p in every if not p.endswith("c.md")] and left("doc/*/c.md") == every
+    assert left("t[0-9].c") == [p for p in every if p not in ("t1.c", "t2.c")] and left("t[!0-9].c") == [p for p in every if p != "tx.c"]
+    assert left("out/") == [p for p in every if p != "d/out/y"] and left("a+b") == [p for p in every if p != "a+b"]
+
+
+def test_flatten(spark, rows):
+    data = [("m", "A", 1, 20), ("m", "b", 2, 8), ("m", "c", 3, 5), ("m", "d", 9, 12), ("m", "E", 21, 30), ("n", "x", 1, 1), ("n", "y", 1, 9)]
+    got = trees.flatten(spark.createDataFrame(data, "f string, name string, s int, e int"), "f", "name", "s", "e").collect()
+    assert [(r.name, r.indent) for r in got] == [("A", 0), ("b", 1), ("c", 2), ("d", 1), ("E", 0), ("y", 0), ("x", 1)]
+
+
 def test_windows(spark, rows):
     w = spark.createDataFrame([("a", i, c) for i, c in enumerate([0, 1, 1, -1, -1, -1])], "g string, i int, c int")
     assert rows(windows.first_closed(windows.running(w, "g", ["i"], F.col("c")), "g", "i")) == [("a", 4)]
@@ -282,3 +322,15 @@ def test_scratch_needs_a_shared_folder(spark):
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,100]"):
         with pytest.raises(ValueError):
             scratch_root(session(master))
+
+
+def test_package_zip(tmp_path):
+    """Another Python can import the package from the zip file alone."""
+    import subprocess
+    import sys
+
+    from millrace.session import package_zip
+
+    path = package_zip(str(tmp_path / "millrace.zip"))
+    code = f"import sys; sys.path.insert(0, {path!r}); import millrace.operators.joins as j; print(j.__file__)"
+    assert path in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).stdout
