@@ -1,9 +1,10 @@
 """URL filter: listed rules first, then gradient-boosted trees on lexical features.
 
-Urls that a rule decides are the labelled ones. The trees learn from at most ``MAX_SAMPLE`` of them, chosen by a hash, on
-length, depth, digit share, character entropy, parameter counts and statistics of the host's suffix (the share of blocked
-urls and how common it is, in the sample); suffixes with fewer than ``MIN_SUFFIX`` sampled urls share the overall figures, so
-the table of suffixes has a proven bound and is broadcast. All steps are DataFrame functions and Spark's own tree learner.
+Urls that a rule decides are the labelled ones. The trees learn from about ``MAX_SAMPLE`` different ones, half of either verdict, chosen by
+a hash and weighted back to their shares, on length, depth, digit share, character entropy, parameter counts and statistics of the
+host's suffix: the share of blocked urls and how common it is, counted over all labelled urls. Suffixes with less than one in
+``SUFFIXES`` of the labelled urls share the overall figures, so the table of suffixes has at most that many rows and is broadcast.
+All steps are DataFrame functions and Spark's own tree learner.
 
 Defined results: null or a url without ``://`` has empty host and path and is judged like any other; without labelled urls
 everything unruled is allowed, with labels of one kind that kind is the verdict; repeated rows are judged alike; an empty table
@@ -25,7 +26,7 @@ from millrace.session import Scratch
 
 #: Verdict, host and path of each rule.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-MAX_SAMPLE, MIN_SUFFIX = 20_000, 20
+MAX_SAMPLE, SUFFIXES = 20_000, 1000
 TREES, DEPTH = 12, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -95,21 +96,20 @@ def train(rows: DataFrame, scratch: Scratch, max_sample: int = MAX_SAMPLE) -> Mo
     counts = {r[0]: r[1] for r in labelled.groupBy("rule_verdict").count().collect()}
     if len(counts) < 2:
         return next(iter(counts), "allow")
-    rate = min(1.0, max_sample / sum(counts.values()))
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(41), "page_key"), F.lit(1 << 20)) < rate * (1 << 20))
-    wanted = chosen.select("suffix", *[c for c in rows.columns if c.startswith("f_")], (F.col("rule_verdict") == "block").cast("double").alias("label"))
-    sample = scratch.table("sample", wanted.repartition(4))
-    n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < blocked < n:
-        return max(counts, key=counts.get)
-    overall = blocked / n
-    grouped = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).filter(F.col("n") >= MIN_SUFFIX)
+    total, overall = sum(counts.values()), counts["block"] / sum(counts.values())
+    block = (F.col("rule_verdict") == "block").cast("double")
+    grouped = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(block).alias("blocked")).filter(F.col("n") * SUFFIXES >= total)
     suffixes = scratch.table(
         "suffixes",
-        grouped.select("suffix", ((F.col("blocked") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / n).alias("suffix_share")).coalesce(1),
+        grouped.select("suffix", ((F.col("blocked") + 10 * overall) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / total).alias("suffix_share")).coalesce(1),
     )
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(sample, suffixes, overall)).select("features", "label")
-    return Model(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=3).fit(ready), suffixes, overall)
+    rates = {v: min(1.0, max_sample / 2 / n) for v, n in counts.items()}
+    rate = F.when(F.col("rule_verdict") == "block", F.lit(rates["block"])).otherwise(F.lit(rates["allow"]))
+    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(41), "page_url"), F.lit(1 << 40)) < rate * (1 << 40)).dropDuplicates(["page_url"])
+    wanted = chosen.select("suffix", *[c for c in rows.columns if c.startswith("f_")], block.alias("label"), (1 / rate).alias("weight"))
+    sample = scratch.table("sample", wanted.repartition(4))
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(sample, suffixes, overall)).select("features", "label", "weight")
+    return Model(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=3, weightCol="weight").fit(ready), suffixes, overall)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

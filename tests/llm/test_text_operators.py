@@ -465,6 +465,38 @@ def test_url_rules(spark, folder):
     assert url_filter.filter_urls(frame.limit(0)).count() == 0
 
 
+def plain_features(url, host, path):
+    """The lexical features of a url, one by one."""
+    url = url or ""
+    n = max(len(url), 1)
+    query = re.match(r"(?s)[^?#]*\?([^#]*)", url)
+    query = query[1] if query else ""
+    share = [url.count(c) / n for c in set(url)]
+    return [len(url) or 1, path.count("/"), sum(c in "0123456789" for c in url) / n, -sum(p * math.log2(p) for p in share), query.count("&") + 1 if query else 0, query.count("="), host.count(".") + 1, host.count("-"), len(host)]
+
+
+def test_url_features(spark):
+    """Features against a plain version, and suffix statistics over all labelled urls, however few are sampled."""
+    urls = ["http://a-b.example.com/en/5?x=1&y=2#z=3", "https://EXÄMPLE.com/en/77/", "x://y", "http://h?p://q", "no scheme 12", "http://q.org/es/1?=", "a" * 500]
+    rows = spark.createDataFrame([(u,) for u in urls], "page_url string")
+    host, path = url_filter.split_url(F.col("page_url"))
+    found = url_filter.lexical(rows.withColumns({"host": host, "path": path}), "page_url").collect()
+    for r in found:
+        assert np.allclose([r[c] for c in url_filter.FEATURES[:9]], plain_features(r.page_url, r.host, r.path))
+    rng = random.Random(2)
+    many = [(k, f"http://h{rng.randrange(99)}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es'])}/{rng.randrange(9)}?n={k}") for k in range(600)] + [(k, "http://x.com/en/1") for k in range(300)]
+    frame = spark.createDataFrame(many, "page_key long, page_url string").withColumns({"host": host, "path": path})
+    rule, verdict = url_filter.rule_of(F.col("host"), F.col("path"))
+    labelled = url_filter.lexical(frame.withColumns({"rule": rule, "rule_verdict": verdict}), "page_url")
+    known = [(r.suffix, r.rule_verdict == "block") for r in labelled.filter("rule_verdict IS NOT NULL").collect()]
+    model = url_filter.train(labelled, Scratch(spark, "urls"), max_sample=40)
+    got = {r.suffix: (r.suffix_rate, r.suffix_share) for r in model.suffixes.collect()}
+    overall = sum(b for _, b in known) / len(known)
+    for suffix in {x for x, _ in known}:
+        n, blocked = sum(x == suffix for x, _ in known), sum(b for x, b in known if x == suffix)
+        assert np.allclose(got[suffix], [(blocked + 10 * overall) / (n + 10), n / len(known)])
+
+
 def test_url_trees_hold_out(spark):
     rng = random.Random(8)
     bad = lambda: f"http://{''.join(rng.choice('abc0123456789-') for _ in range(25))}.com/en/{rng.randrange(9**9)}?a=1&b=2&c={rng.randrange(9**9)}"
