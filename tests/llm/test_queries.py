@@ -45,3 +45,34 @@ def test_jaccard_sql(spark, folder):
     got = q.queries()["op8_heavy_light_jaccard"](spark, folder).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert len({r.component_id for r in got}) <= len(got) - 15
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, corpus, tmp_path_factory):
+    """Tables in which ids are null or repeated and whole rows occur twice."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    rows = [(None if k % 7 == 0 else k // 2, *r[1:5]) for k, r in enumerate(corpus)]
+    spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (3, 1, 0), (3, 0, None), (4, None, 1), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(None, corpus[5][1][:200]), (1, None), (1, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(None, "http://a.com/en/1", None)] * 3 + [(1, None, None), (1, "http://b.net/de/1", "x")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return path, len(rows) + 20
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_odd_ids(spark, odd_folder, name):
+    """Null and repeated ids: every row has its result, and whether a row is held out is always known."""
+    folder, n = odd_folder
+    rows = q.queries()[name](spark, folder).collect()
+    if name.startswith("op1_"):
+        assert len(rows) == 5 and all(r.verdict in ("allow", "block") for r in rows)
+    elif not name.startswith("op7"):
+        assert len(rows) == n and sum(r.doc_id is None for r in rows) == sum(k % 7 == 0 for k in range(n - 20)) + sum(k % 7 == 0 for k in range(20))
+        assert all(r.held_out in (True, False) for r in rows if "held_out" in r)
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_empty_tables(spark, tmp_path, name):
+    for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert q.queries()[name](spark, str(tmp_path)).collect() == []
