@@ -123,12 +123,14 @@ def reassemble_chunks(t):
     "SELECT user_id, event_id, event_type FROM events",
 )
 def ndjson_reframe(t):
-    # Each user's events as JSON lines, cut into chunks of 17 characters wherever that falls, and framed again.
+    # Each user's events as JSON lines, in streams of a thousand ids, cut into chunks of 17 characters wherever that falls, and framed again.
     line = F.concat(F.to_json(F.struct("event_id", "event_type")), F.lit("\n"))
-    whole = t("events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "").alias("w"))
-    cut = whole.select("user_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 17).cast("int"))).alias("seq"))
-    chunks = cut.select("user_id", "seq", F.substring("w", F.col("seq") * 17 + 1, F.lit(17)).alias("chunk"))
-    return streams.ndjson(chunks, "user_id", "seq", "chunk", "event_id long, event_type string").select("user_id", "event_id", "event_type")
+    rows = t("events").select(F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 1000)).alias("stream"), "event_id", line.alias("line"))
+    whole = rows.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("w"))
+    cut = whole.select("stream", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 17).cast("int"))).alias("seq"))
+    chunks = cut.select("stream", "seq", F.substring("w", F.col("seq") * 17 + 1, F.lit(17)).alias("chunk"))
+    found = streams.ndjson(chunks, "stream", "seq", "chunk", "event_id long, event_type string")
+    return found.select(F.substring_index("stream", "-", 1).cast("long").alias("user_id"), "event_id", "event_type")
 
 
 @query(

@@ -126,7 +126,10 @@ def read(rows: DataFrame, allow_large: bool = False) -> DataFrame:
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:
-    """The files inside each archive: archive, path, content, length. Broken archives have none, nor do paths that lead out."""
+    """The files inside each archive: archive, path, content, length. Broken archives have none, nor do paths that lead out.
+
+    An archive, as stored, and each of its files must fit a task's memory; the files leave one by one.
+    """
 
     def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
