@@ -42,7 +42,7 @@ WORDS, PERCENT = 4, 85
 #: Parts of a hot leader's members: its set is sent once to each part.
 SALTS = 64
 #: Members of a list that one task compares with all of it.
-PART = 1000
+PART = 20_000
 #: The largest size that may enumerate subsets.
 MOST_LIGHT = 200
 
