@@ -313,6 +313,16 @@ def subtree_refresh(t):
     return trees.refresh(tree, "d3", fresh).select("path", "is_file")
 
 
+@query(
+    "tree_changes",
+    _TREE + "SELECT path, is_file FROM n WHERE path <> 'd3' AND NOT starts_with(path, 'd3/') UNION ALL SELECT 'd9/fresh.c', true",
+)
+def tree_changes(t):
+    # A directory goes with all below it, a file comes, and what is there already stays as it is.
+    tree = dml.remove(dml.remove(_tree(t).select("path", "is_file"), "d3"), "nowhere")
+    return dml.create(dml.create(tree, "d9/fresh.c", True), "d1", True)
+
+
 @query("tree_sorted", _TREE + "SELECT path, is_file FROM n")
 def tree_sorted(t):
     return trees.tree_order(_tree(t)).select("path", "is_file")

@@ -76,12 +76,13 @@ def test_targets(t):
 
 
 def _lcov(t):
-    """One trace of LCOV text for each customer with events: functions at lines 1 and 51, lines hit by value, branches by type."""
+    """One trace of LCOV text for each customer with events: a function at line 1, for even keys another at 51, lines hit by value, branches by type."""
     line, hits = (F.col("event_id") % 90 + 2).cast("string"), F.floor("value").cast("long").cast("string")
     row = F.when(F.col("event_type") == "click", F.concat(F.lit("BRDA:"), line, F.lit(",0,0,"), F.when(F.col("value") > 30, hits).otherwise("-"))).otherwise(F.concat(F.lit("DA:"), line, F.lit(","), F.when(F.col("value") > 15, hits).otherwise("0")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))), lambda x: x["r"]), "\n")
     body = t("events").groupBy("user_id").agg(text.alias("body"))
-    head = F.concat(F.lit("TN:\nSF:/w/"), F.col("user_id").cast("string"), F.lit(".c\nFN:1,f\nFN:51,g\nFNDA:3,f\nFNDA:0,g\n"))
+    even = F.col("user_id") % 2 == 0
+    head = F.concat(F.lit("TN:\nSF:/w/"), F.col("user_id").cast("string"), F.lit(".c\nFN:1,f\n"), F.when(even, "FN:51,g\nFNDA:1,g\n").otherwise(""), F.lit("FNDA:"), (F.col("user_id") % 3).cast("string"), F.lit(",f\n"))
     return body.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("file"), F.concat(head, "body", F.lit("\nend_of_record\n")).alias("content"))
 
 
@@ -104,7 +105,7 @@ _LCOV_SQL = """
     _LCOV_SQL
     + """
     SELECT concat('/w/', u.user_id, '.c') AS source, coalesce(lt, 0) AS line_total, coalesce(lc, 0) AS line_covered, CASE WHEN coalesce(lt, 0) = 0 THEN 1.0::DOUBLE ELSE lc / lt END AS line_rate,
-      CAST(2 AS BIGINT) AS function_total, CAST(1 AS BIGINT) AS function_covered, coalesce(bt, 0) AS branch_total, coalesce(bc, 0) AS branch_covered, CASE WHEN coalesce(bt, 0) = 0 THEN 1.0::DOUBLE ELSE bc / bt END AS branch_rate
+      CAST(CASE WHEN u.user_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS function_total, CAST((u.user_id % 2 = 0)::INT + (u.user_id % 3 > 0)::INT AS BIGINT) AS function_covered, coalesce(bt, 0) AS branch_total, coalesce(bc, 0) AS branch_covered, CASE WHEN coalesce(bt, 0) = 0 THEN 1.0::DOUBLE ELSE bc / bt END AS branch_rate
     FROM u LEFT JOIN (SELECT user_id, count(*) AS lt, count(*) FILTER (hits > 0) AS lc FROM l GROUP BY user_id) a ON a.user_id = u.user_id
       LEFT JOIN (SELECT user_id, count(*) AS bt, count(*) FILTER (hits > 0) AS bc FROM e WHERE branch GROUP BY user_id) b ON b.user_id = u.user_id
     """,
@@ -118,7 +119,7 @@ def lcov_files(t):
     "lcov_functions",
     _LCOV_SQL
     + """
-    , f AS (SELECT u.user_id, 'f' AS name, 1 AS s, 50 AS t FROM u UNION ALL SELECT u.user_id, 'g', 51, coalesce(last_line, 1051) FROM u LEFT JOIN m ON m.user_id = u.user_id)
+    , f AS (SELECT u.user_id, 'f' AS name, 1 AS s, CASE WHEN u.user_id % 2 = 0 THEN 50 ELSE coalesce(last_line, 1001) END AS t FROM u LEFT JOIN m ON m.user_id = u.user_id UNION ALL SELECT u.user_id, 'g', 51, coalesce(last_line, 1051) FROM u LEFT JOIN m ON m.user_id = u.user_id WHERE u.user_id % 2 = 0)
     SELECT concat('/w/', f.user_id, '.c') AS source, name, CAST(s AS INT) AS start_line, CAST(t AS INT) AS end_line,
       (SELECT count(*) FROM l WHERE l.user_id = f.user_id AND line BETWEEN s AND t) AS line_total, (SELECT count(*) FROM l WHERE l.user_id = f.user_id AND line BETWEEN s AND t AND hits > 0) AS line_covered,
       (SELECT count(*) FROM e WHERE branch AND e.user_id = f.user_id AND line BETWEEN s AND t) AS branch_total, (SELECT count(*) FROM e WHERE branch AND e.user_id = f.user_id AND line BETWEEN s AND t AND hits > 0) AS branch_covered
