@@ -178,6 +178,22 @@ def seed_absent(t):
     return dml.seed(rows, first).unionByName(dml.seed(rows.filter("k < 0"), first))
 
 
+@query(
+    "task_load",
+    """
+    SELECT c_custkey AS task_id, event_id IS NOT NULL AS found, props AS code, CASE WHEN event_type NOT IN ('error', 'view') THEN event_type END AS status, CASE WHEN event_type NOT IN ('error', 'view') THEN user_id END AS passed
+    FROM customer LEFT JOIN events ON event_id = c_custkey * 8
+    """,
+)
+def task_load(t):
+    # The metadata of errors is broken, that of views missing.
+    kind = F.col("event_type")
+    meta = F.to_json(F.struct(kind.alias("status"), F.struct(F.col("user_id").alias("passed"), F.lit(0).alias("failed")).alias("result")))
+    tasks = t("events").select(F.col("event_id").alias("task_id"), F.col("props").alias("code"), F.when(kind == "error", F.concat(F.lit("{"), meta)).when(kind != "view", meta).alias("meta"))
+    wanted = t("customer").select((F.col("c_custkey") * 8).alias("task_id"))
+    return files.load_tasks(tasks, wanted).select((F.col("task_id") / 8).cast("long").alias("task_id"), "found", "code", "status", F.col("result.passed").alias("passed"))
+
+
 @query("nm_symbols", "SELECT concat('o', p_partkey, '.o') AS file, concat('fn', p_partkey) AS symbol FROM part UNION ALL SELECT concat('o', p_partkey, '.o'), 'local' FROM part WHERE p_partkey % 2 = 0")
 def nm_symbols(t):
     key = F.col("p_partkey").cast("string")

@@ -199,6 +199,19 @@ def json_or(value: Column, schema: str, default: str) -> Column:
     return F.coalesce(F.when(F.try_parse_json(value).isNotNull(), F.from_json(value, schema)), F.from_json(F.lit(default), schema))
 
 
+TASK = "status string, result struct<passed long, failed long, line_coverage double>"
+
+
+def load_tasks(tasks: DataFrame, wanted: DataFrame, key: str = "task_id", code: str = "code", meta: str = "meta") -> DataFrame:
+    """Each wanted task with its code, status and result from its metadata text: found, code, status, result.
+
+    A task that isn't there isn't found; one whose metadata is missing or broken has no status and no result.
+    """
+    parsed = tasks.select(key, F.col(code).alias("code"), json_or(F.col(meta), TASK, "{}").alias("_meta"), F.lit(True).alias("_there"))
+    out = wanted.select(key).join(parsed, key, "left")
+    return out.select(key, F.coalesce("_there", F.lit(False)).alias("found"), "code", F.col("_meta.status").alias("status"), F.col("_meta.result").alias("result"))
+
+
 def symbols(raw: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """Names of the text symbols in portable ``nm`` output."""
     rows = raw.select(file, F.explode(F.split(content, "\n")).alias("line")).withColumn("parts", F.split(text.strip(F.col("line")), r"\s+"))
