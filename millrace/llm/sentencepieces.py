@@ -12,7 +12,7 @@ Words of more than ``EQUAL`` characters advance with others up to a fifth longer
 (a line of base64, text without spaces) is cut into stretches that overlap and advance together. Where two stretches have a
 piece in common, the first's pieces up to it and the second's after it are again a path of valid neighbours, so the only one; where
 they have none, the second starts anew at a seam of the first, and if that fails too the word is encoded in one go. A step takes
-some 50 bytes for each of its at most 2 million characters.
+some 50 bytes for each of its at most ``ADVANCE`` characters.
 
 Characters without a piece become byte pieces (or the unknown piece, in models without them). Decoding concatenates pieces, so
 a text comes back whole, but for the sign that SentencePiece itself uses for a space, which comes back as a space.
@@ -40,6 +40,8 @@ BLOCK_BYTES = 4 << 20
 TOGETHER = 40_000
 EQUAL, STRIDE, OVERLAP = 24, 240, 60
 MEMO_WORDS = 400_000
+#: Characters that are hashed at once, and words' characters that advance together.
+AT_ONCE, ADVANCE = 500_000, 1_000_000
 PAD = 0x110000
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -53,7 +55,25 @@ def _powers(base: int, n: int) -> np.ndarray:
 def _hash_rows(x: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial hash of each row of code points; a substring's hash is a scaled difference."""
     out = np.zeros((x.shape[0], x.shape[1] + 1), np.uint64)
-    np.cumsum(mix(x.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, x.shape[1]), axis=1, out=out[:, 1:])
+    for k in range(0, len(x), AT_ONCE // x.shape[1] + 1):
+        some = x[k : k + AT_ONCE // x.shape[1] + 1]
+        np.cumsum(mix(some.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, x.shape[1]), axis=1, out=out[k : k + len(some), 1:])
+    return out
+
+
+def _word_hashes(c: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word; whole words of AT_ONCE characters together, or one longer word, go at once."""
+    out = np.zeros(len(begin), np.uint64)
+    low = 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(end, begin[low] + AT_ONCE, "right")))
+        first, last = int(begin[low]), int(end[high - 1])
+        sums = np.zeros(last - first + 1, np.uint64)
+        ahead = _powers(_BASE, last - first)
+        np.cumsum(mix(c[first:last].astype(np.uint64) + np.uint64(1)) * ahead, out=sums[1:])
+        b, e = begin[low:high] - first, end[low:high] - first
+        out[low:high] = mix((sums[e] - sums[b]) * _powers(_INVERSE, last - first + 1)[b] + (e - b).astype(np.uint64))
+        low = high
     return out
 
 
@@ -205,9 +225,9 @@ def encode_words(x: np.ndarray, pieces: Pieces, lengths: np.ndarray | None = Non
     """
     rows, length = x.shape
     sums, back_power = _hash_rows(x), _powers(_INVERSE, length + 1)
-    last = np.full((rows, length + 1), -1, np.int64)  # the last piece of the best path to each position
-    size = np.zeros((rows, length + 1), np.int64)
-    best = np.full((rows, length + 1), -np.inf)
+    last = np.full((rows, length + 1), -1, np.int32)  # the last piece of the best path to each position
+    size = np.zeros((rows, length + 1), np.int16)
+    best = np.full((rows, length + 1), -np.inf, np.float32 if pieces.bpe else np.float64)
     best[:, 0] = 0
     for end in range(1, length + 1):
         for span in range(1, min(pieces.longest, end) + 1):
@@ -218,7 +238,7 @@ def encode_words(x: np.ndarray, pieces: Pieces, lengths: np.ndarray | None = Non
                 continue
             value = best[some, begin] + pieces.score[found[some]] if not pieces.bpe else np.zeros(len(some))
             if pieces.bpe and begin:
-                packed, at = np.unique(last[some, begin] << 32 | found[some], return_inverse=True)
+                packed, at = np.unique(last[some, begin].astype(np.int64) << 32 | found[some], return_inverse=True)
                 value[~pieces.apart(packed >> 32, packed & 0xFFFFFFFF)[at]] = -np.inf
             better = value > best[some, end]
             some = some[better]
@@ -242,7 +262,7 @@ def encode_spans(c: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: Pie
     for g in np.unique(group):
         same = np.flatnonzero(group == g)
         widest = int(size[same].max())
-        step = max(1, min(TOGETHER, 2_000_000 // widest))
+        step = max(1, min(TOGETHER, ADVANCE // widest))
         for k in range(0, len(same), step):
             some = same[k : k + step]
             place = begin[some][:, None] + np.arange(widest)
@@ -337,11 +357,12 @@ class Memo:
 def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, and the offsets of each row's."""
     rows = len(offsets) - 1
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.int32)
     first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     filled = np.flatnonzero(np.diff(first) > 0)
     # A space goes before each text that isn't empty.
     c = np.insert(points, first[filled], SPACE)
+    del points
     c[c == 32] = SPACE
     start_of = first + np.searchsorted(filled, np.arange(rows + 1))
     if not len(c):
@@ -359,9 +380,7 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, memo: Me
     word_begin, word_end = begin[wordy] + np.maximum(spaces[wordy] - 1, 0), end[wordy]
 
     # Equal words once.
-    ahead, back = _powers(_BASE, len(c) + 1), _powers(_INVERSE, len(c) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * ahead[:-1])])
-    h = mix((sums[word_end] - sums[word_begin]) * back[word_begin] + (word_end - word_begin).astype(np.uint64))
+    h = _word_hashes(c, word_begin, word_end)
     different, example, word = np.unique(h, return_index=True, return_inverse=True)
     length = word_end[example] - word_begin[example]
     pool, made_at, made_count = (memo or Memo()).encode(different, c, word_begin[example], length, pieces)
