@@ -39,7 +39,7 @@ def test_target_summary(t):
     return out.select("source_file", "name", F.col("latest_task_id").alias("task"), "status", "passed", "failed", "ignored", "line_coverage", "branch_coverage")
 
 
-@query("target_counts", "SELECT count(*) FILTER (c_custkey % 3 <> 0) AS must_test, count(*) FILTER (c_custkey % 3 = 0) AS optional_static, 0::BIGINT AS skipped, count(*) AS total FROM customer")
+@query("target_counts", "SELECT count(*) FILTER (c_custkey % 3 <> 0) AS must_test, count(*) FILTER (c_custkey % 3 = 0) + count(*) FILTER (c_custkey % 4 = 3) AS optional_static, 0::BIGINT AS skipped, count(*) + count(*) FILTER (c_custkey % 4 = 3) AS total FROM customer")
 def target_counts(t):
     return c_source.target_counts(c_source.test_targets(_sources(t)))
 
@@ -47,7 +47,7 @@ def target_counts(t):
 @query(
     "file_structure",
     """
-    SELECT concat('src/m', c_custkey, '.c') AS path, concat('f', c_custkey) AS names FROM customer
+    SELECT concat('src/m', c_custkey, '.c') AS path, concat('f', c_custkey, CASE WHEN c_custkey % 4 = 3 THEN concat(',h', c_custkey) ELSE '' END) AS names FROM customer
     UNION ALL SELECT concat(CASE WHEN c_custkey % 5 = 0 THEN 'src/m' ELSE 'include/m' END, c_custkey, '.h'), '' FROM customer WHERE c_custkey % 5 < 3 UNION ALL SELECT concat('cfg/', n_name, '.json'), '' FROM nation
     """,
 )

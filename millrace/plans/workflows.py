@@ -40,11 +40,13 @@ def status_summary(t):
 
 
 def _sources(t):
-    """Small C files made from the customers: a function, sometimes static, and its prototype in a header for some."""
+    """Small C files made from the customers: a function, sometimes static, its prototype in a header for some, then a static helper, comments or nothing."""
     key = F.col("c_custkey").cast("string")
     static = F.when(F.col("c_custkey") % 3 == 0, "static ").otherwise("")
     brace = F.when(F.col("c_custkey") % 2 == 0, " {").otherwise("\n{")
-    body = F.concat(F.lit("#include <stdio.h>\n"), static, F.lit("int f"), key, F.lit("(int a)"), brace, F.lit("\n  if (a) { return g(a); }\n  return 0;\n}\nint g"), key, F.lit("(void);\n"))
+    helper, notes = F.concat(F.lit("static void h"), key, F.lit("(void)\n{\n  f"), key, F.lit("(1);\n}\n")), F.lit("/* int z(int a) {\n * int y(int a) {\n */\n// int x(int a) { }\n")
+    more = F.when(F.col("c_custkey") % 4 == 3, helper).when(F.col("c_custkey") % 4 == 1, notes).otherwise("")
+    body = F.concat(F.lit("#include <stdio.h>\n"), static, F.lit("int f"), key, F.lit("(int a)"), brace, F.lit("\n  if (a) { return g(a); }\n  return 0;\n}\nint g"), key, F.lit("(void);\n"), more)
     c = t("customer").select(F.concat(F.lit("src/m"), key, F.lit(".c")).alias("path"), body.alias("content"))
     h = t("customer").filter("c_custkey % 5 < 3").select(
         F.concat(F.when(F.col("c_custkey") % 5 == 0, "src/m").otherwise("include/m"), key, F.lit(".h")).alias("path"),
@@ -58,6 +60,7 @@ def _sources(t):
     """
     SELECT concat('src/m', c_custkey, '.c') AS source_file, concat('f', c_custkey) AS name, 2 AS start_line, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 6 END AS end_line,
       concat(CASE WHEN c_custkey % 3 = 0 THEN 'static ' ELSE '' END, 'int f', c_custkey, '(int a)') AS signature FROM customer
+    UNION ALL SELECT concat('src/m', c_custkey, '.c'), concat('h', c_custkey), 8, 11, concat('static void h', c_custkey, '(void)') FROM customer WHERE c_custkey % 4 = 3
     """,
 )
 def c_functions(t):
@@ -69,6 +72,7 @@ def c_functions(t):
     """
     SELECT concat('src/m', c_custkey, '.c') AS source_file, concat('f', c_custkey) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'optional' ELSE 'must' END AS category,
       CASE WHEN c_custkey % 3 = 0 THEN 'internal_static' WHEN c_custkey % 5 > 2 THEN 'no_corresponding_header' WHEN c_custkey % 5 = 2 THEN 'not_declared_in_header' END AS reason FROM customer
+    UNION ALL SELECT concat('src/m', c_custkey, '.c'), concat('h', c_custkey), 'optional', 'internal_static' FROM customer WHERE c_custkey % 4 = 3
     """,
 )
 def test_targets(t):
