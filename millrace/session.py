@@ -25,6 +25,7 @@ def local_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))  # workers find the package wherever they start
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
