@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import jaccard_join
+from millrace.llm import jaccard_join, source_audit
 from millrace.llm.decontamination import decontaminate_query
 from millrace.llm.katz import lm_query
 from millrace.llm.language_id import language_query
+from millrace.llm.license_scan import license_query
+from millrace.llm.periodic_runs import runs_query
 from millrace.llm.pii import pii_query
 from millrace.llm.quality_classifier import classifier_query
 from millrace.llm.quality_rules import quality_query
@@ -30,8 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_heavy_light_jaccard": jaccard_join.jaccard_query,
         "op9_robust_outliers": quality_query,
         "op10_katz_backoff": lm_query,
+        "op11_partition_refinement": runs_query,
+        "op12_rare_word_index": license_query,
+        "op13_source_divergence": source_audit.audit_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_heavy_light_jaccard": jaccard_join.SQL}
+    return {"op8_heavy_light_jaccard": jaccard_join.SQL, "op13_source_divergence": source_audit.SQL}

@@ -64,12 +64,12 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         row = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the offsets of each row's words."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words between bytes of ``space`` (by default ``[^\\x20\\x09-\\x0D]+``), and the offsets of each row's words."""
     n = len(data)
     full = np.empty(n + 2, bool)
     full[0] = full[-1] = False
-    full[1:-1] = ~SPACE[data]
+    full[1:-1] = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     here, before = full[1:], full[:-1]
@@ -78,6 +78,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def coded(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """An id for each word and the different words by id, exactly: ``letters`` are the words' bytes without what is between them."""
+    cuts = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=cuts[1:])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each byte range, A-Z lower-cased first unless told otherwise."""
     ahead, back = _power_tables(len(data) + 1)

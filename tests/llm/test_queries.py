@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_shingles", "component_id"],
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op13": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
@@ -27,6 +30,8 @@ def test_runs(spark, folder, corpus, name):
     rows = frame.collect()
     if name.startswith("op7"):
         assert {(r.doc_id, r.item_id) for r in rows} == {(5, 1)}
+    elif name.startswith("op13"):
+        assert {(r.lang, r.source) for r in rows} == {(r[2] or "", r[3] or "") for r in corpus}
     elif name.startswith("op1_"):
         assert len(rows) == 221 and {r.verdict for r in rows} == {"allow", "block"}
     else:
@@ -38,6 +43,14 @@ def test_sql_is_text():
     assert set(sql) <= set(q.queries()) and all(isinstance(text, str) for text in sql.values())
 
 
+def test_audit_sql(spark, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.sql(q.oracle_sql()["op13_source_divergence"])
+    columns, want = want.columns, sorted(want.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in q.queries()["op13_source_divergence"](spark, folder).collect()) == want
+
+
 def test_jaccard_sql(spark, folder):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
@@ -66,7 +79,7 @@ def test_odd_ids(spark, odd_folder, name):
     rows = q.queries()[name](spark, folder).collect()
     if name.startswith("op1_"):
         assert len(rows) == 5 and all(r.verdict in ("allow", "block") for r in rows)
-    elif not name.startswith("op7"):
+    elif not name.startswith(("op7", "op13")):
         assert len(rows) == n and sum(r.doc_id is None for r in rows) == sum(k % 7 == 0 for k in range(n - 20)) + sum(k % 7 == 0 for k in range(20))
         assert all(r.held_out in (True, False) for r in rows if "held_out" in r)
 
