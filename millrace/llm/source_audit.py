@@ -1,7 +1,7 @@
 """Source divergence audit: how far the term frequencies of a language's sources lie from each other and from the language's.
 
 Terms are counted in tasks over exact integer codes and dealt by language and term. The kept terms of each language get ids in
-UTF-8 order (one range sort, stored), and successive ids are chunks of bounded size. In a chunk every row's place comes from the
+UTF-8 order (one range sort, stored) without gaps, and successive ids are chunks of bounded size. In a chunk every row's place comes from the
 sorted array of its kept terms, ``bincount`` makes one dense vector a source, and the chunk gives a part of each pair's
 sum and its own first terms for each source; only these small rows are put together.
 """
@@ -177,7 +177,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counts = count_terms(docs, text, lang, source).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     kept = scratch.table("kept", counts.withColumn("docs", F.sum("df").over(terms)).filter(F.col("docs") >= min_docs).select("lang", "term", "source", "n"))
     ordered = kept.select("lang", "term").distinct().repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    dictionary = scratch.table("dictionary", ordered.withColumn("id", F.monotonically_increasing_id()))
+    ordered = scratch.table("ordered", ordered.withColumn("placed", F.monotonically_increasing_id()).withColumn("part", F.shiftright("placed", 33)))
+    # Ids without gaps: each stored part of a language begins where the parts before end, so chunks are full however many parts there are.
+    parts = ordered.groupBy("lang", "part").agg(F.min("placed").alias("first"), F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dictionary = ordered.join(parts.withColumn("before", before), ["lang", "part"]).select("lang", "term", (F.col("placed") - F.col("first") + F.col("before")).alias("id"))
     every = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = every.join(totals, ["lang", "source"], "left").join(dictionary.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left")
