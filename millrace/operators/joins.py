@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let
+from millrace.operators.scans import Latest, scan
 
 
 def left_default(left: DataFrame, right: DataFrame, on: str | list[str], defaults: dict[str, object]) -> DataFrame:
@@ -48,17 +49,16 @@ def latest_fields(rows: DataFrame, key: str, by: str, fields: list[str]) -> Data
     return rows.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(by))).alias(f) for f in fields])
 
 
-def enclosing(points: DataFrame, starts: DataFrame, group: str, at: str, start: str, names: list[str]) -> DataFrame:
+def enclosing(points: DataFrame, starts: DataFrame, group: str, at: str, start: str, names: list[str], limit: int | None = None) -> DataFrame:
     """Points with the columns ``names`` of the last start at or before them in their group: an as-of join.
 
-    One sort of both sides by group and place, no comparison of all pairs.
+    One sort of both sides by group and place, no comparison of all pairs; large groups are spread over tasks.
     """
-    p = points.withColumn("_is_start", F.lit(0)).withColumn("_at", F.col(at))
-    s = starts.select(group, F.lit(1).alias("_is_start"), F.col(start).alias("_at"), F.struct(start, *[n for n in names if n != start]).alias("_start"))
+    p = points.withColumn("_is_point", F.lit(1)).withColumn("_at", F.col(at))
+    s = starts.select(group, F.lit(0).alias("_is_point"), F.col(start).alias("_at"), F.struct(start, *[n for n in names if n != start]).alias("_start"))
     both = p.unionByName(s, allowMissingColumns=True)
-    order = Window.partitionBy(group).orderBy("_at", F.col("_is_start").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_start", F.last("_start", ignorenulls=True).over(order)).filter("_is_start = 0")
-    return found.select(*points.columns, *[F.col(f"_start.{n}").alias(n) for n in names])
+    found = scan(both, group, ["_at", "_is_point"], limit=limit, _found=Latest(F.col("_start"))).filter("_is_point = 1")
+    return found.select(*points.columns, *[F.col(f"_found.{n}").alias(n) for n in names])
 
 
 def after_first(rows: DataFrame, key: str, by: str, first: Column, then: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
+from millrace.operators.scans import Total, scan
 
 
 def nodes(files: DataFrame, path: str = "path") -> DataFrame:
@@ -57,7 +58,7 @@ def refresh(tree: DataFrame, parent: str, fresh: DataFrame) -> DataFrame:
     return others.unionByName(deeper).unionByName(fresh)
 
 
-def flatten(symbols: DataFrame, group: str, name: str, start: str, end: str) -> DataFrame:
+def flatten(symbols: DataFrame, group: str, name: str, start: str, end: str, limit: int | None = None) -> DataFrame:
     """Nested symbols in order with ``indent``: how many symbols of the group enclose each.
 
     A symbol is enclosed by those that start before it (or with it and end later) and end at or after its end. Symbols nest properly, so
@@ -65,6 +66,6 @@ def flatten(symbols: DataFrame, group: str, name: str, start: str, end: str) ->
     """
     opens = symbols.select(group, name, start, end, F.lit(1).alias("_step"), F.col(start).alias("_at"), (-F.col(end)).alias("_tie"))
     closes = symbols.select(group, name, start, end, F.lit(-1).alias("_step"), F.col(end).alias("_at"), F.col(start).alias("_tie"))
-    order = Window.partitionBy(group).orderBy("_at", F.col("_step").desc(), "_tie", name).rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.coalesce(F.sum("_step").over(order), F.lit(0))
-    return opens.unionByName(closes).withColumn("indent", depth).filter("_step = 1").select(group, name, start, end, F.col("indent").cast("int").alias("indent")).orderBy(group, start, F.col(end).desc())
+    both = opens.unionByName(closes).withColumn("_closes", -F.col("_step"))
+    found = scan(both, group, ["_at", "_closes", "_tie", name], limit=limit, _open=Total(F.col("_step"), own=False)).filter("_step = 1")
+    return found.select(group, name, start, end, F.coalesce("_open", F.lit(0)).cast("int").alias("indent")).orderBy(group, start, F.col(end).desc())
