@@ -1,6 +1,7 @@
 """C sources: functions, test targets, and repairs of generated tests.
 
-Functions are found from left to right and each consumes its lines, so a file is one unit of work; files are spread over tasks.
+Functions are found from left to right and each consumes its lines. A short file is walked in its task; a long one is spread over
+tasks as blocks of lines.
 """
 
 from __future__ import annotations
@@ -9,16 +10,25 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import paths, text
+from millrace.operators.blocks import OPEN, Lines
+from millrace.operators.scans import Latest, Next, scan
 
 # What a function's head looks like, what a line of code never starts with, words that aren't function names.
 _HEAD = re.compile(r"(?:[a-zA-Z0-9_]+\s*\*?\s+)+([a-zA-Z0-9_]+)\s*\(([^)]*)\)")
 _NOT_CODE = ("#", "//", "/*", "*", "}")
 _NOT_NAMES = frozenset(("if", "while", "for", "switch", "return", "sizeof", "typedef", "struct"))
 LOOK_AHEAD = 5
+# What repairs of generated tests look for.
+_TEST_HEAD, _RUN_TEST = r"^\s*void\s+(test_\w+)\s*\(", r"^\s*RUN_TEST\(\s*(\w+)\s*\)"
+_IGNORE, _WEAK, _CALL_LIKE = "TEST_IGNORE_MESSAGE", "__attribute__((weak))", r"[a-zA-Z_]\w*\s*\("
+_MOCK = r"^\s*static\s+.*\bmock_\w+\s*="
+
+#: Characters of a file that a task walks by itself.
+WALKED = 1 << 20
 
 FUNCTION = "source_file string, function_id string, name string, start_line int, end_line int, signature string"
 
@@ -62,15 +72,47 @@ def find_functions(content: str) -> Iterator[tuple[str, int, int, str]]:
         at = step
 
 
-def functions(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """The functions of each source file, with composite ids."""
+def _head_name(line: Column) -> Column:
+    """The name that a line's head declares, null without a head: words, each but the last with a star or without, and an argument list.
+
+    Read off the part before the first parenthesis by replacing what may stand between words, as a pattern over repeated words goes
+    deep into the stack on long lines.
+    """
+    before = F.regexp_replace(F.substring_index(line, "(", 1), r"(?<=[a-zA-Z0-9_])\s*\*\s+(?=[a-zA-Z0-9_])", " ")
+    names = F.split(text.strip(before), r"\s+")
+    good = F.rlike(line, F.lit(r"^[^(]*\([^)]*\)")) & F.rlike(before, F.lit(r"^[a-zA-Z0-9_][a-zA-Z0-9_\s]*$")) & (F.size(names) > 1)
+    return F.when(good & ~F.element_at(names, -1).isin(*_NOT_NAMES), F.element_at(names, -1))
+
+
+def functions_of_lines(sources: DataFrame, path: str = "path", content: str = "content", limit: int | None = None) -> DataFrame:
+    """(source_file, name, start_line, end_line, signature) of each function, files spread over tasks line by line."""
+    stripped = text.strip(F.col("line"))
+    begins = lambda *marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.startswith("bare", m))
+    lines = Lines(sources.select(F.col(path).alias("source_file"), F.col(content).alias("content")), "source_file", "content", limit, bare=stripped)
+    brace, stop = F.startswith("bare", F.lit("{")), begins(";", "#") | F.contains("bare", F.lit("("))
+    here = F.struct("at", (F.col("opens") | brace).alias("opens"), "before", "total")
+    rows = lines.rows.withColumn("name", F.when(~begins(*_NOT_CODE), _head_name(F.col("bare"))))
+    soon = lines.following(rows, F.col("opens"), brace=F.when(brace | ((F.col("bare") != "") & stop), F.struct("at", brace.alias("opens"), "before", "total")))
+    brace_ = F.when(F.col("opens"), here).otherwise(F.when(F.col("brace.opens") & (F.col("brace.at") - F.col("at") <= LOOK_AHEAD), F.col("brace")))
+    heads = soon.filter("name IS NOT NULL").withColumn("brace", brace_).filter("brace IS NOT NULL")
+    starts = heads.select("source_file", "at", "name", "bare", F.col("brace.before").alias("level"), F.col("brace.at").alias("opened"), F.col("brace.total").alias("reached"))
+    found = lines.chosen(lines.ended(starts).filter("end IS NOT NULL"))
+    return found.select("source_file", "name", (F.col("at") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"), text.strip(F.regexp_replace("bare", r"\{+$", "")).alias("signature"))
+
+
+def functions(sources: DataFrame, path: str = "path", content: str = "content", walked: int = WALKED, limit: int | None = None) -> DataFrame:
+    """The functions of each source file, with composite ids; files of more than ``walked`` characters are spread over tasks."""
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(p, *f) for p, c in zip(part["path"], part["content"], strict=True) if c for f in find_functions(c)]
             yield pd.DataFrame(rows, columns=["source_file", "name", "start_line", "end_line", "signature"])
 
-    found = sources.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(find, "source_file string, name string, start_line int, end_line int, signature string")
+    rows = sources.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    short, long = rows.filter(F.length("content") <= walked), rows.filter(F.length("content") > walked)
+    found = short.mapInPandas(find, "source_file string, name string, start_line int, end_line int, signature string")
+    if not long.isEmpty():
+        found = found.unionByName(functions_of_lines(long, limit=limit))
     return found.withColumn("function_id", text.encode_id(F.col("source_file"), F.col("start_line")))
 
 
@@ -91,19 +133,28 @@ def header_of(files: DataFrame) -> DataFrame:
     return c.join(same, "full", "left").join(only, "short", "left").select("path", F.coalesce("same", "only").alias("header"))
 
 
-def declares(header: Column, name: Column) -> Column:
-    """Whether a header declares the function, comments and preprocessor lines aside."""
-    clean = F.regexp_replace(text.strip_comments(F.coalesce(header, F.lit(""))), r"(?m)^\s*#.*$", "")
-    return F.rlike(clean, F.concat(F.lit(r"(?m)(^|[^\w])"), name, F.lit(r"\s*\([^;{}]*\)\s*;")))
+def declarations(headers: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(header, name) of every name that a header declares, comments and preprocessor lines aside.
+
+    A declaration is a statement that ends in a closing parenthesis and a semicolon; each name in it that an argument list follows
+    is declared. Every header is read once.
+    """
+    clean = F.regexp_replace(text.strip_comments(F.col(content)), r"(?m)^\s*#.*$", "")
+    pieces = headers.select(F.col(path).alias("header"), F.explode(F.split(clean, r"(?<=[;{}])")).alias("piece"))
+    ended = pieces.filter(F.rlike("piece", F.lit(r"\)\s*;$")))
+    return ended.select("header", F.explode(F.regexp_extract_all("piece", F.lit(r"(?<![\p{L}\p{N}_])([a-zA-Z0-9_]+)\s*\("), 1)).alias("name")).distinct()
 
 
 def test_targets(files: DataFrame) -> DataFrame:
-    """The functions of all ``.c`` files classified: ``optional`` for static ones, ``must`` with a reason for the others."""
-    sources = files.filter(F.endswith(F.lower("path"), F.lit(".c")))
-    heads = files.select(F.col("path").alias("header"), F.col("content").alias("header_content"))
-    rows = functions(sources).join(header_of(files).withColumnRenamed("path", "source_file"), "source_file", "left").join(heads, "header", "left")
-    static = text.is_static(F.col("signature"))
-    declared = declares(F.col("header_content"), F.col("name")) & F.col("header").isNotNull()
+    """The functions of all ``.c`` files classified: ``optional`` for static ones, ``must`` with a reason for the others.
+
+    Whether a header declares a function is an equi-join of (header, name) with the headers' declarations.
+    """
+    lower = F.lower("path")
+    sources, headers = files.filter(F.endswith(lower, F.lit(".c"))), files.filter(F.endswith(lower, F.lit(".h")))
+    rows = functions(sources).join(header_of(files).withColumnRenamed("path", "source_file"), "source_file", "left")
+    rows = rows.join(declarations(headers).withColumn("_declared", F.lit(True)), ["header", "name"], "left")
+    static, declared = text.is_static(F.col("signature")), F.coalesce("_declared", F.lit(False))
     reason = F.when(static, "internal_static").when(F.col("header").isNull(), "no_corresponding_header").when(~declared, "not_declared_in_header")
     return rows.select(
         "source_file", "function_id", "name", "start_line", "end_line", "signature", F.when(static, "optional").otherwise("must").alias("category"), F.when(~static, F.col("header")).alias("header_file"), (~static & declared).alias("declared_in_header"), reason.alias("reason")
@@ -134,62 +185,44 @@ def resolve(functions_: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select(*wanted.columns, F.coalesce("_line", "_name").alias("function_id"))
 
 
-def _lines(code: DataFrame, key: str, content: str) -> DataFrame:
-    return code.select(key, F.posexplode(F.split(content, "\n")).alias("at", "line"))
-
-
-def _blocks(rows: DataFrame, key: str, starts: Column) -> DataFrame:
-    """``inside``: whether a line belongs to a block that a starting line opens and that ends where its braces close.
-
-    The balance from a start is the running balance less that before the start, so one window finds each block's end; starts
-    inside an open block are part of it.
-    """
-    order = Window.partitionBy(key).orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    change = F.length(F.regexp_replace("line", "[^{]", "")) - F.length(F.regexp_replace("line", "[^}]", ""))
-    rows = rows.withColumns({"change": change, "starts": F.coalesce(starts, F.lit(False))}).withColumn("total", F.sum("change").over(upto))
-    rows = rows.withColumn("block", F.sum(F.col("starts").cast("int")).over(upto))
-    within = Window.partitionBy(key, "block").orderBy("at")
-    first = F.first(F.col("total") - F.col("change")).over(within)
-    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.max(F.when(F.contains("line", F.lit("{")), 1).otherwise(0)).over(so_far) == 1
-    rows = rows.withColumn("closed", (opened & (F.col("total") - first <= 0)).cast("int"))
-    before = within.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inside", (F.col("block") > 0) & (F.coalesce(F.max("closed").over(before), F.lit(0)) == 0))
-
-
 def _joined(rows: DataFrame, key: str, code: DataFrame, content: str) -> DataFrame:
     texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
     joined = texts.select(key, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias(content))
     return code.select(key).join(joined, key, "left").withColumn(content, F.coalesce(content, F.lit("")))
 
 
-def strip_ignored_tests(code: DataFrame, key: str = "id", content: str = "code") -> DataFrame:
-    """Without the test functions that hold an ignore message, and without the lines that run them."""
-    rows = _lines(code, key, content)
-    head = F.nullif(F.regexp_extract("line", r"^\s*void\s+(test_\w+)\s*\(", 1), F.lit(""))
-    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", head).withColumn("owner", F.last("head", ignorenulls=True).over(order))
-    ignored = rows.filter(F.contains("line", F.lit("TEST_IGNORE_MESSAGE")) & F.col("owner").isNotNull()).select(key, F.col("owner").alias("gone")).distinct()
-    run = F.nullif(F.regexp_extract("line", r"^\s*RUN_TEST\(\s*(\w+)\s*\)", 1), F.lit(""))
-    marked = rows.withColumn("mention", F.coalesce("head", run)).join(ignored.withColumnRenamed("gone", "mention").withColumn("hit", F.lit(True)), [key, "mention"], "left")
-    blocks = _blocks(marked, key, F.col("head").isNotNull() & F.col("hit"))
-    return _joined(blocks.filter(~F.col("inside") & ~(F.col("head").isNull() & F.coalesce("hit", F.lit(False)))), key, code, content)
-
-
-def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code") -> DataFrame:
-    """Without weak function bodies, the blank lines after them, and mock control variables."""
-    rows = _lines(code, key, content)
-    order = Window.partitionBy(key).orderBy("at")
-    weak = F.contains("line", F.lit("__attribute__((weak))"))
-    here = F.contains("line", F.lit("{")) & F.rlike("line", F.lit(r"[a-zA-Z_]\w*\s*\("))
-    soon = F.coalesce(F.max(F.contains("line", F.lit("{")).cast("int")).over(order.rowsBetween(1, 3)), F.lit(0)) == 1
-    blocks = _blocks(rows.withColumn("weak", weak & (here | soon)), key, F.col("weak"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    solid = F.last(F.when(F.col("inside") | (text.strip(F.col("line")) != ""), F.col("inside")), ignorenulls=True).over(upto)
-    kept = blocks.withColumn("trailing", (text.strip(F.col("line")) == "") & F.coalesce(solid, F.lit(False)))
-    mock = F.rlike("line", F.lit(r"^\s*static\s+.*\bmock_\w+\s*="))
-    return _joined(kept.filter(~F.col("inside") & ~F.col("trailing") & ~mock), key, code, content)
+def _removed(lines: Lines, rows: DataFrame, starts: Column) -> DataFrame:
+    """The lines with ``inside``: whether they belong to a block that one of ``starts`` opens. Blocks that never close go on to the end."""
+    here = F.struct("at", "total")
+    rows = lines.following(rows.withColumn("starts", F.coalesce(starts, F.lit(False))), F.col("opens"), brace=F.when(F.col("opens"), here))
+    heads = rows.filter("starts").select(lines.key, "at", F.col("before").alias("level"), F.coalesce("brace.at", F.lit(OPEN)).alias("opened"), F.coalesce("brace.total", F.lit(OPEN)).alias("reached"))
+    ended = lines.ended(heads).select(lines.key, "at", F.coalesce("end", F.lit(OPEN)).alias("end"))
+    return lines.inside(lines.chosen(ended))
+
+
+def strip_ignored_tests(code: DataFrame, key: str = "id", content: str = "code", limit: int | None = None) -> DataFrame:
+    """Without the test functions that hold an ignore message, and without the lines that run them; starts inside a function that goes are part of it."""
+    head = F.nullif(F.regexp_extract("line", _TEST_HEAD, 1), F.lit(""))
+    run = F.nullif(F.regexp_extract("line", _RUN_TEST, 1), F.lit(""))
+    lines = Lines(code, key, content, limit, head=head, mention=F.coalesce(head, run))
+    rows = scan(lines.rows, key, ["at"], lines.slices, owner=Latest(F.col("head")))
+    ignored = rows.filter(F.contains("line", F.lit(_IGNORE)) & F.col("owner").isNotNull()).select(key, F.col("owner").alias("mention"), F.lit(True).alias("hit")).distinct()
+    lines.rows = lines.rows.join(ignored, [key, "mention"], "left")
+    kept = _removed(lines, lines.rows, F.col("head").isNotNull() & F.col("hit"))
+    return _joined(kept.filter(~F.col("inside") & ~(F.col("head").isNull() & F.coalesce("hit", F.lit(False)))), key, code, content)
+
+
+def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code", limit: int | None = None) -> DataFrame:
+    """Without weak function bodies, the blank lines after them, and mock control variables; starts inside a body are part of it."""
+    lines = Lines(code, key, content, limit, weak=F.contains("line", F.lit(_WEAK)))
+    rows = scan(lines.rows, key, ["at"], lines.slices, _open=Next(F.when(F.col("opens"), F.col("at"))))
+    here = F.col("opens") & F.rlike("line", F.lit(_CALL_LIKE))
+    soon = F.coalesce(F.col("_open") - F.col("at") <= 3, F.lit(False))
+    blocks = _removed(lines, rows.withColumn("weak", F.col("weak") & (here | soon)).drop("_open"), F.col("weak"))
+    blank = text.strip(F.col("line")) == ""
+    kept = scan(blocks, key, ["at"], lines.slices, _solid=Latest(F.when(F.col("inside") | ~blank, F.col("inside"))))
+    trailing = blank & F.coalesce("_solid", F.lit(False))
+    return _joined(kept.filter(~F.col("inside") & ~trailing & ~F.rlike("line", F.lit(_MOCK))), key, code, content)
 
 
 def outline(code: DataFrame, key: str = "id", content: str = "code") -> DataFrame:

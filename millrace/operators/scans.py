@@ -23,6 +23,8 @@ from millrace.session import Scratch
 LIMIT = 1 << 20
 #: Boundaries that are looked through one by one, and boundaries at most that are sent to all tasks (16 MB).
 STRIDE, SENT = 32, 1_000_000
+#: Slices of one group at most; beyond that they hold more rows.
+PARTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,7 @@ class Slices:
         most, cuts = counts.agg(F.max("_n"), F.sum(F.ceil(F.col("_n") / limit))).first()
         if most is None:
             return
+        limit = max(limit, most // PARTS)
         parts = -(-most // limit)
         steps = [k / parts for k in range(1, parts)]
         scratch = Scratch(rows.sparkSession, "slices")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
-from millrace.operators import dashboard, joins, listing, streams, trees, windows
+from millrace.operators import dashboard, joins, listing, scans, streams, trees, windows
 from millrace.plans.registry import query
 
 
@@ -56,6 +56,53 @@ def nearest_preceding(t):
     return windows.nearest_before(t("events").select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts", "event_id"], value).select("event_id", "nearest")
 
 
+def _third(t):
+    """The events by a key that holds a third of them, and the rows beyond which a group is cut: a 64th of all."""
+    rows = t("events").select("event_id", "ts", "event_type", "value", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("k"))
+    return rows, max(1000, rows.count() // 64)
+
+
+_THIRD = "(SELECT event_id, ts, event_type, value, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k FROM events)"
+
+
+@query(
+    "hot_key_running",
+    f"""
+    SELECT event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment, CAST(sum(CASE WHEN event_type IN ('view', 'signup') THEN 1 ELSE -1 END) OVER w AS BIGINT) AS balance,
+      last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS nearest FROM {_THIRD} WINDOW w AS (PARTITION BY k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+    """,
+)
+def hot_key_running(t):
+    rows, limit = _third(t)
+    change = F.when(F.col("event_type").isin("view", "signup"), 1).otherwise(-1)
+    nearest = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    found = scans.scan(rows, "k", ["ts", "event_id"], limit=limit, segment=scans.Total((F.col("event_type") == "signup").cast("int")), balance=scans.Total(change), nearest=scans.Latest(nearest))
+    return found.select("event_id", "segment", "balance", "nearest")
+
+
+@query(
+    "hot_key_ahead",
+    f"""
+    SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) = 1 AS seen_ahead,
+      coalesce(lead(event_id) OVER (PARTITION BY k ORDER BY event_id) - 1, event_id + 1000) AS interval_end FROM {_THIRD}
+    """,
+)
+def hot_key_ahead(t):
+    rows, limit = _third(t)
+    seen = windows.ahead(rows, "k", ["ts", "event_id"], F.col("event_type") == "error", limit=limit)
+    return windows.intervals(seen, "k", "event_id", F.col("event_id") + 1000, limit=limit).select("event_id", "seen_ahead", "interval_end")
+
+
+@query(
+    "hot_key_enclosing",
+    f"SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts, event_type <> 'signup', event_id ROWS UNBOUNDED PRECEDING) AS start_id FROM {_THIRD} QUALIFY event_type <> 'signup'",
+)
+def hot_key_enclosing(t):
+    rows, limit = _third(t)
+    starts = rows.filter("event_type = 'signup'").groupBy("k", "ts").agg(F.max("event_id").alias("start_id"))
+    return joins.enclosing(rows.filter("event_type <> 'signup'"), starts.withColumnRenamed("ts", "start_ts"), "k", "ts", "start_ts", ["start_id"], limit=limit).select("event_id", "start_id")
+
+
 @query("target_first_order", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'assistant') DESC, turn) AS INT) AS rank FROM conversations")
 def target_first_order(t):
     return listing.target_first(t("conversations").select("conv_id", "turn", "role"), F.col("role") == "assistant", "turn", "conv_id").select("conv_id", "turn", "rank")

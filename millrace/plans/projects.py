@@ -89,8 +89,9 @@ def code_graph(t):
     """,
 )
 def repaired_tests(t):
+    # Every third has a weak function with another start inside its body.
     k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
-    weak = F.when(k % 3 == 0, F.concat(F.lit("__attribute__((weak)) int mock"), key, F.lit("(void) {\n  if (1) { return 0; }\n}\n\nstatic int mock_calls = 0;\n"))).otherwise("")
+    weak = F.when(k % 3 == 0, F.concat(F.lit("__attribute__((weak)) int mock"), key, F.lit("(void) {\n  __attribute__((weak)) int inner(void) {\n    return 1;\n  }\n  if (1) { return 0; }\n}\n\nstatic int mock_calls = 0;\n"))).otherwise("")
     body = F.when(k % 2 == 0, '  if (x) { TEST_IGNORE_MESSAGE("no"); }\n').otherwise("  memcpy(p, q, 1);\n")
     code = F.concat(
         F.lit('#include "unity.h"\n'), weak, F.lit("void test_a"), key, F.lit("(void) {\n  TEST_ASSERT(1);\n}\nvoid test_b"), key, F.lit("(void) {\n"), body, F.lit("}\nint main(void) {\n  RUN_TEST(test_a"), key, F.lit(");\n  RUN_TEST(test_b"), key, F.lit(");\n}")

@@ -55,18 +55,29 @@ def _sources(t):
     return c.unionByName(h)
 
 
-@query(
-    "c_functions",
-    """
+_FUNCTIONS_SQL = """
     SELECT concat('src/m', c_custkey, '.c') AS source_file, concat('f', c_custkey) AS name, 2 AS start_line, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 6 END AS end_line,
       concat(CASE WHEN c_custkey % 3 = 0 THEN 'static ' ELSE '' END, 'int f', c_custkey, '(int a)') AS signature FROM customer
     UNION ALL SELECT concat('src/m', c_custkey, '.c'), concat('h', c_custkey), 8, 11, concat('static void h', c_custkey, '(void)') FROM customer WHERE c_custkey % 4 = 3
-    """,
-)
+    """
+
+
+@query("c_functions", _FUNCTIONS_SQL)
 def c_functions(t):
     return c_source.functions(_sources(t).filter(F.endswith("path", F.lit(".c")))).drop("function_id")
 
 
+@query("c_functions_by_line", _FUNCTIONS_SQL)
+def c_functions_by_line(t):
+    # As for files that are too long for one task: lines are dealt out, and blocks chosen by steps that double.
+    return c_source.functions_of_lines(_sources(t).filter(F.endswith("path", F.lit(".c"))))
+
+
+@query("declared_names", "SELECT concat(CASE WHEN c_custkey % 5 = 0 THEN 'src/m' ELSE 'include/m' END, c_custkey, '.h') AS header, concat('f', c_custkey) AS name FROM customer WHERE c_custkey % 5 < 2")
+def declared_names(t):
+    return c_source.declarations(_sources(t).filter(F.endswith("path", F.lit(".h"))))
+
+
 @query(
     "test_targets",
     """
