@@ -3,8 +3,8 @@
 Pass one scatters rows uniformly into memory-sized buckets by a seeded hash of all their columns; pass two runs a Fisher-Yates
 shuffle inside each bucket and writes it. Laid end to end, the buckets form one random order of the whole table, which is cut into
 shards whose row counts differ by at most one (law ``rows``). Equal rows would share a bucket; where more than ``REPEATS`` of
-them occur they are counted, kept once and dealt out anew with a number each, so a bucket holds its share of them only and no
-task more than a bucket, whatever the copies. A bucket's first place in the order is the sum of the buckets before it, taken by
+them occur, or they take more than a ``PART``-th of a bucket's bytes, they are counted, kept once and dealt out anew with a number
+each, so a bucket holds its share of them only and no task more than a bucket, whatever the copies. A bucket's first place in the order is the sum of the buckets before it, taken by
 runs of ``RUN`` buckets, so that no task sees all of them.
 
 Defined results: a null text counts as empty and keeps its row; repeated rows each get a slot of their own; an empty table
@@ -27,7 +27,7 @@ from millrace.session import Scratch
 SHARDS = 16
 SEED = 20260101
 BUCKET_BYTES = 8 << 20
-REPEATS, RUN = 1000, 4096
+REPEATS, PART, RUN = 1000, 8, 4096
 
 
 def _first_rows(counts: DataFrame) -> DataFrame:
@@ -48,8 +48,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, math.ceil(total / bucket_bytes))
     plain = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), *[F.xxhash64(F.lit(seed + k), *plain).alias(f"key{k}") for k in range(2)])
-    often = scratch.table("often", packed.groupBy("key0", "key1").count().filter(F.col("count") > REPEATS).select("key0", "key1"))
+    keys = [F.xxhash64(F.lit(seed + k), *plain).alias(f"key{k}") for k in range(2)]
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), *keys)
+    counted = docs.select(*keys, size.alias("size")).groupBy("key0", "key1").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    often = scratch.table("often", counted.filter((F.col("n") > REPEATS) | (F.col("bytes") * PART > bucket_bytes)).select("key0", "key1"))
     keyed = packed.withColumn("number", F.lit(0).cast("long"))
     if not often.isEmpty():
         same = packed.join(often, ["key0", "key1"], "left_semi").groupBy("row", "key0", "key1").agg(F.count("*").alias("n"))

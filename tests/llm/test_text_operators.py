@@ -823,3 +823,13 @@ def test_katz_of_nothing(spark, nothing):
     assert katz.score_texts(nothing, F.lit(False)).count() == 0
     one = katz.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.score) == (3, 0, 0, 0.0)
+
+
+def test_shards_split_repeats_by_bytes(spark, tmp_path):
+    """Few copies of a long text are dealt to all buckets, too."""
+    long = "x" * 20_000
+    docs = spark.createDataFrame([(1, long)] * 300 + [(k, f"t{k}") for k in range(500)], "doc_id long, text string").repartition(4)
+    rows = sharding.write_shards(docs, f"{tmp_path}/out", bucket_bytes=200_000).collect()
+    held = {s: sum(r.doc_id == 1 and r.text == long for r in rows if r.shard == s) for s in range(16)}
+    assert sum(held.values()) == 300 and min(held.values()) >= 5 and max(held.values()) <= 45
+    assert all(len([r for r in rows if r.shard == s]) == 50 for s in range(16))
