@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.identity import identified
 from millrace.llm.words import hashes, mix, ngrams, steps, utf8, words
 from millrace.session import Scratch
 
@@ -279,7 +280,9 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_held")).distinct()
-    held = Scratch(spark, "decontaminate-stage").table("held", found)
-    return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
+    """The documents that hold no benchmark item; rows with null and repeated ids are judged one by one."""
+    scratch, columns = Scratch(spark, "decontaminate-stage"), docs.columns
+    docs, key = identified(docs, scratch)
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key).select(F.col(key).alias("_held")).distinct()
+    held = scratch.table("held", found)
+    return docs.join(held, F.col(key) == F.col("_held"), "left_anti").select(*columns)

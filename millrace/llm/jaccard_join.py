@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
+from millrace.llm.identity import identified
 from millrace.llm.words import hashes, mix, ngrams, steps, utf8, words
 from millrace.session import Scratch
 
@@ -176,7 +177,10 @@ def _survivors(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
+    """id, ``n_shingles`` and ``component_id`` of every row of ``docs``.
+
+    Links go by id: a row with a null id is linked with nothing and its component is null. ``jaccard_stage`` gives such rows keys.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard-join")
     sketches = scratch.table("sketches", _sketches(docs, id_col, text_col, width, percent))
     base = scratch.table("base", sketches.drop("prefix"))
@@ -225,10 +229,15 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest id; five-word shingles, 80 per cent."""
-    found = jaccard_join(docs, width=5, percent=80).filter("component_id <> doc_id").select("doc_id")
-    removed = Scratch(spark, "jaccard-stage").table("removed", found)
-    return docs.join(removed, "doc_id", "left_anti")
+    """One document of each component, that with the smallest id; five-word shingles, 80 per cent.
+
+    Where ids are null or repeated, the first stored row of each component stays instead; all other rows of it go, equal ones too.
+    """
+    scratch, columns = Scratch(spark, "jaccard-stage"), docs.columns
+    docs, key = identified(docs, scratch)
+    found = jaccard_join(docs, key, width=5, percent=80).filter(F.col("component_id") != F.col(key)).select(key)
+    removed = scratch.table("removed", found)
+    return docs.join(removed, key, "left_anti").select(*columns)
 
 
 #: DuckDB: all pairs that share a shingle, and the smallest id that links reach.
