@@ -833,3 +833,22 @@ def test_shards_split_repeats_by_bytes(spark, tmp_path):
     held = {s: sum(r.doc_id == 1 and r.text == long for r in rows if r.shard == s) for s in range(16)}
     assert sum(held.values()) == 300 and min(held.values()) >= 5 and max(held.values()) <= 45
     assert all(len([r for r in rows if r.shard == s]) == 50 for s in range(16))
+
+
+def test_pii_of_sentences_that_people_write():
+    """Sentences that the generator of the training examples didn't make."""
+    model = pii.trained()
+    kinds = lambda t: [k for k, *_ in pii.all_spans(t, model)[1]]
+    for t in ("write to us at help.desk.example.com", "Contact: meet at noon.today please", "phone call at 12.30.2024 10.15", "the server has 10 20 30 40 cores", "call 10 20 30 40 times", "dial 12 345 6789 people", "look at the point dot matrix"):
+        assert kinds(t) == []
+    for t, kind in (("call me on (555) 123-4567", "phone"), ("my number is 555.123.4567", "phone"), ("jane.doe (at) example dot com", "email"), ("write to jane.doe [at] example.com", "email"), ("host 10[.]0[.]0[.]7 is down", "ip"), ("visa 4111.1111.1111.1111 paid", "card")):
+        assert kinds(t) == [kind]
+
+
+@pytest.mark.parametrize("row", [12, 10**6])
+def test_pii_of_tables_of_numbers(row):
+    """A megabyte of numbers: rows of many digit groups propose nothing, and the base spans stay."""
+    digits = [str(10 + i % 90) for i in range(330_000)]
+    text = "\n".join(" ".join(digits[k : k + row]) for k in range(0, len(digits), row)) + " a@b.example.com"
+    assert len(pii.candidates(text, True)) < 100
+    assert [k for k, *_ in pii.all_spans(text, pii.trained())[1]] == ["email"] or pii.base_spans(text) == pii.all_spans(text, pii.trained())[0]
