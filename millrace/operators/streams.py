@@ -14,9 +14,14 @@ def reassemble(chunks: DataFrame, stream: str, seq: str, chunk: str, name: str =
     return chunks.groupBy(stream).agg(parts.alias("_parts")).select(stream, F.array_join(F.transform("_parts", lambda p: p["c"]), "").alias(name))
 
 
-def ndjson(chunks: DataFrame, stream: str, seq: str, chunk: str, schema: str) -> DataFrame:
-    """The objects of each stream of newline-framed JSON, however chunks cut it; blank and broken lines are skipped."""
+def ndjson(chunks: DataFrame, stream: str, seq: str, chunk: str, schema: str, unfinished: bool = True) -> DataFrame:
+    """The objects of each stream of newline-framed JSON, however chunks cut it; blank and broken lines are skipped.
+
+    ``unfinished``: whether text behind the last line end counts as a line; a reader of a stream that may still go on drops it.
+    """
     whole = reassemble(chunks, stream, seq, chunk)
+    if not unfinished:
+        whole = whole.withColumn("content", F.regexp_extract("content", r"(?s)^(.*)\n", 1))
     lines = whole.select(stream, F.posexplode(F.split("content", "\n")).alias("place", "line")).filter(strip(F.col("line")) != "")
     parsed = lines.withColumn("frame", F.when(F.try_parse_json("line").isNotNull(), F.from_json("line", schema)))
     return parsed.filter(F.col("frame").isNotNull()).select(stream, "place", "frame.*")

@@ -176,7 +176,9 @@ def ndjson_reframe(t):
     whole = rows.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("w"))
     cut = whole.select("stream", "w", F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / 17).cast("int"))).alias("seq"))
     chunks = cut.select("stream", "seq", F.substring("w", F.col("seq") * 17 + 1, F.lit(17)).alias("chunk"))
-    found = streams.ndjson(chunks, "stream", "seq", "chunk", "event_id long, event_type string")
+    # Each stream ends in a broken-off line, which a reader drops.
+    chunks = chunks.unionByName(whole.select("stream", F.lit(2**31 - 1).alias("seq"), F.lit('{"event_id": -1, "event_type": "cut"}').alias("chunk")))
+    found = streams.ndjson(chunks, "stream", "seq", "chunk", "event_id long, event_type string", unfinished=False)
     return found.select(F.substring_index("stream", "-", 1).cast("long").alias("user_id"), "event_id", "event_type")
 
 
