@@ -98,7 +98,7 @@ def _runs(n: int, chars: int) -> Callable[[Column], Column]:
 
 
 def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item: str, width: int = 3) -> DataFrame:
-    """All pairs of a text and an item that it contains, exactly: the columns of both. ``key`` tells texts apart; null contains nothing.
+    """All pairs of a text and an item that it contains, exactly: the columns of both. ``key`` tells texts apart, and may be null; a null text contains nothing.
 
     An item's inner words (all but its first and last, which may go on in the text) are words of the text. The first ``width`` of them
     are looked up by hash among the text's runs of words; of items without inner words the first ``width`` characters among the
@@ -119,5 +119,7 @@ def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item: st
         near = one if near is None else near.union(one)
     if near is None:
         return texts.join(items, F.lit(False))
-    pairs = texts.join(near, key).filter(F.contains(text, F.col("_item")))
+    # Texts without a key meet what any of them is near to; the check is exact all the same.
+    near = near.withColumnRenamed(key, "_key")
+    pairs = texts.join(near, F.col(key).eqNullSafe(F.col("_key"))).filter(F.contains(text, F.col("_item"))).drop("_key")
     return pairs.join(items, F.col("_item") == F.col(item)).drop("_item")

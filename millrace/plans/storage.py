@@ -155,20 +155,34 @@ def item_index(t):
     return files.item_index(t("customer").select(path.alias("path")))
 
 
-@query(
-    "ignore_scan",
-    """
+_IGNORED = """
     WITH f AS (SELECT c_custkey AS k, concat(CASE c_custkey % 4 WHEN 0 THEN 'build/' WHEN 1 THEN 'src/build/' WHEN 2 THEN 'log/deep/er/' ELSE '' END, CASE c_custkey % 5 WHEN 0 THEN 't' WHEN 1 THEN 'keep' ELSE 'f' END, c_custkey % 10, CASE c_custkey % 3 WHEN 0 THEN '.o' WHEN 1 THEN '.c' ELSE '.tmp' END) AS path FROM customer)
     SELECT DISTINCT path FROM f WHERE k % 4 <> 0 AND NOT (k % 3 = 0 AND k % 5 <> 1) AND NOT (k % 4 = 2 AND k % 3 = 2) AND NOT (k % 5 = 0 AND k % 3 = 1 AND k % 10 < 5)
-    """,
-)
-def ignore_scan(t):
+    """
+_RULES = ["# what is built", "/build/", "*.o", "!keep*.o", "log/**/*.tmp", "t[0-4].c"]
+
+
+def _built(t):
+    """The paths of a tree with built files and a ``.git`` folder."""
     k = F.col("c_custkey")
     folder = F.when(k % 4 == 0, "build/").when(k % 4 == 1, "src/build/").when(k % 4 == 2, "log/deep/er/").otherwise("")
     name = F.concat(F.when(k % 5 == 0, "t").when(k % 5 == 1, "keep").otherwise("f"), (k % 10).cast("string"), F.when(k % 3 == 0, ".o").when(k % 3 == 1, ".c").otherwise(".tmp"))
     git = t("region").select(F.concat(F.lit("a/.git/"), "r_name"))
-    tree = t("customer").select(F.concat(folder, name).alias("path")).union(git)
-    return files.not_ignored(tree, ["# what is built", "/build/", "*.o", "!keep*.o", "log/**/*.tmp", "t[0-4].c"]).distinct()
+    return t("customer").select(F.concat(folder, name).alias("path")).union(git)
+
+
+@query("ignore_scan", _IGNORED)
+def ignore_scan(t):
+    return files.not_ignored(_built(t), _RULES).distinct()
+
+
+@query("ignore_root_file", _IGNORED + " UNION ALL SELECT '.gitignore'")
+def ignore_root_file(t):
+    # The rules stand in the tree's own file, written and read with the others.
+    tree = _built(t).distinct()
+    rules = tree.sparkSession.createDataFrame([(".gitignore", "\n".join(_RULES))], "path string, rules string")
+    rows = tree.select("path", F.lit("").alias("rules")).unionByName(rules).select("path", F.encode("rules", "UTF-8").alias("content"))
+    return files.not_ignored_by_root(Scratch(tree.sparkSession, "ignored").table("tree", rows)).select("path")
 
 
 @query("seed_absent", "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT -1, 'seed'")

@@ -91,6 +91,38 @@ def not_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
     return files.filter(~F.exists(F.transform(parts, covered), lambda hit: hit))
 
 
+def not_ignored_by_root(files: DataFrame) -> DataFrame:
+    """Without ``.git`` and what the tree's own ``.gitignore`` at the root covers; ``files`` has path and content, and without that file only ``.git`` goes.
+
+    One file of rules is read by the driver, of INLINE_LIMIT bytes at most; ignore files further down don't count.
+    """
+    found = files.filter(F.col("path") == ".gitignore").select(text_of(F.col("content")).alias("rules"), F.octet_length("content").alias("size")).limit(1).collect()
+    if found and (found[0]["size"] or 0) > INLINE_LIMIT:
+        raise ValueError(f"the tree's .gitignore has more than {INLINE_LIMIT} bytes")
+    return not_ignored(files, (found[0]["rules"] or "").splitlines() if found else [])
+
+
+def root_rules(spark: SparkSession, root: str) -> list[str]:
+    """The lines of a folder's ``.gitignore``, in any store that Spark reads; none without it. Spark's own listings leave out hidden files."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    if store.getFileStatus(path).getLen() > INLINE_LIMIT:
+        raise ValueError(f"{path} has more than {INLINE_LIMIT} bytes")
+    stream = store.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def scan_not_ignored(spark: SparkSession, root: str) -> DataFrame:
+    """``scan`` of a folder without what its own ``.gitignore`` covers."""
+    return not_ignored(scan(spark, root), root_rules(spark, root))
+
+
 def text_of(content: Column) -> Column:
     """UTF-8 with U+FFFD for what isn't."""
     return F.make_valid_utf8(content.cast("string"))

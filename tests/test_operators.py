@@ -2,6 +2,8 @@
 
 import io
 import random
+import shutil
+import subprocess
 import zipfile
 
 import pytest
@@ -78,6 +80,12 @@ def test_containing(spark, rows):
     assert rows(got, "t", "i") == want and len(want) > 200
 
 
+def test_containing_with_null_keys(spark, rows):
+    texts = spark.createDataFrame([(1, "one two three four"), (None, "zero two three four five"), (None, "none"), (2, None)], "k int, t string")
+    items = spark.createDataFrame([("o two three f",), ("on",)], "item string")
+    assert rows(joins.containing(texts, items, "k", "t", "item"), "k", "item") == sorted([(None, "o two three f"), (None, "on"), (1, "on")], key=repr)
+
+
 def test_changes_with_owners_and_nulls(spark, rows):
     base = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "id int, name string, n int")
     patches = spark.createDataFrame([(1, 1, None, 9, ["name", "n"]), (1, 2, "z", None, ["name"]), (2, 1, None, None, []), (3, 1, "c", None, ["n", "name"])], "id int, by int, name string, n int, named array<string>")
@@ -102,6 +110,26 @@ def test_ignore_patterns(spark, rows):
     assert left("out/") == [p for p in every if p != "d/out/y"] and left("a+b") == [p for p in every if p != "a+b"]
 
 
+@pytest.mark.skipif(not shutil.which("git"), reason="needs git")
+def test_root_ignore_file_as_git(spark, rows, tmp_path):
+    """A written tree with its own ignore file, against ``git check-ignore``."""
+    rules = "# built\n*.o\n!keep.o\n/build/\nlog/**/x.txt\nt[0-2].c\n\\#odd\nout/\ndeep/*.tmp\n"
+    names = ["a.o", "keep.o", "sub/keep.o", "sub/b.o", "build/a.c", "src/build/a.c", "log/x.txt", "log/a/b/x.txt", "t1.c", "t3.c", "sub/t2.c", "#odd", "out/y", "sub/out/y", "deep/z.tmp", "deep/er/z.tmp", "file out"]
+    for name, content in [(n, "x") for n in names] + [(".gitignore", rules), ("sub/.gitignore", "")]:
+        at = tmp_path / "tree" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(content)
+    subprocess.run(["git", "init", "-q", str(tmp_path / "tree")], check=True)
+    ignored = subprocess.run(["git", "-C", str(tmp_path / "tree"), "check-ignore", "--no-index", *names], capture_output=True, text=True).stdout.split("\n")
+    ignored = {n.strip('"') for n in ignored}
+    kept = sorted((n,) for n in names if n not in ignored)
+    assert 3 < len(kept) < len(names) and rows(files.scan_not_ignored(spark, str(tmp_path / "tree")), "path") == kept
+    tree = spark.createDataFrame([(n, b"x") for n in names] + [(".gitignore", rules.encode()), (".git/x", b"")], "path string, content binary")
+    assert rows(files.not_ignored_by_root(tree), "path") == sorted([*kept, (".gitignore",)])
+    assert files.not_ignored_by_root(tree.filter("path <> '.gitignore'")).count() == len(names)
+    assert files.root_rules(spark, str(tmp_path)) == []
+
+
 def test_flatten(spark, rows):
     data = [("m", "A", 1, 20), ("m", "b", 2, 8), ("m", "c", 3, 5), ("m", "d", 9, 12), ("m", "E", 21, 30), ("n", "x", 1, 1), ("n", "y", 1, 9)]
     got = trees.flatten(spark.createDataFrame(data, "f string, name string, s int, e int"), "f", "name", "s", "e").collect()
