@@ -9,7 +9,7 @@ from millrace.functions import arrays, paths, text
 from millrace.operators import dml, graph, listing, trees
 from millrace.plans.registry import query
 from millrace.session import Scratch
-from millrace.sources import files, sinks
+from millrace.sources import archives, files, sinks, stored
 
 _WEB = r"regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
 
@@ -382,3 +382,60 @@ def path_join(t):
     k = F.col("c_custkey") % 3
     path = paths.join_path(F.when(k == 0, "/a/b").when(k == 1, "//r").otherwise(""), F.col("c_name"))
     return t("customer").select("c_custkey", path.alias("path"), paths.dirname(path).alias("parent"))
+
+
+@query("archive_members", "SELECT concat(coalesce(source, 'none'), '.zip') AS archive, concat('t/', doc_id, '.txt') AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS length, md5(coalesce(text, '')) AS content, true AS intact FROM documents WHERE doc_id IS NOT NULL")
+def archive_members(t):
+    # The texts of each source become one archive, written and read member by member.
+    path = F.concat(F.lit("t/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = t("documents").select(F.coalesce("source", F.lit("none")).alias("folder"), path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    spark = rows.sparkSession
+    written = archives.write_archives(rows, Scratch(spark, "archive-members").path("out"))
+    read = archives.contents(archives.members(written.select("path")), piece=1 << 30)
+    return read.select(F.regexp_extract("archive", "[^/]+$", 0).alias("archive"), "path", F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("content"), "intact")
+
+
+@query("range_chunks", "SELECT count(*) AS lines, sum(octet_length(encode(p_name)) + 1)::BIGINT AS bytes, sum(length(p_name) - length(replace(p_name, 'a', '')))::BIGINT AS letters, true AS ended FROM part")
+def range_chunks(t):
+    # Text files in ranges of a thousand bytes.
+    spark = t("part").sparkSession
+    at = Scratch(spark, "range-chunks").path("out")
+    sinks.write_text(t("part"), "p_name", at)
+    chunks = archives.byte_ranges(spark, at, chunk=1000)
+    count = lambda what: F.sum(F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(what))).alias
+    ends = F.count_if("eof") == F.count_distinct("path")
+    return chunks.agg(count("\n")("lines"), F.sum("limit").alias("bytes"), count("a")("letters"), ends.alias("ended"))
+
+
+@query(
+    "stored_changes",
+    """
+    SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'PATCHED' WHEN c_custkey % 10 = 1 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0
+    UNION ALL SELECT c_custkey, 'NEW', 0.0 FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT -1 - n_nationkey, n_name, 1.0 FROM nation
+    """,
+)
+def stored_changes(t):
+    # The table is changed where it is stored: rows are patched, deleted, replaced and appended.
+    rows = t("customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    at = Scratch(rows.sparkSession, "stored-changes").path("customer")
+    table = stored.Stored.create(rows, at, "c_custkey", 16)
+    k = F.col("c_custkey") % 10
+    table.patch(rows.filter(k < 2).select("c_custkey", F.when(k == 0, "PATCHED").alias("c_mktsegment"), F.array(F.lit("c_mktsegment")).alias("named")), fields_set="named")
+    table.delete(rows.filter("c_custkey % 7 = 0"))
+    table.upsert(rows.filter("c_custkey % 11 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal")))
+    table.insert(t("nation").select((-1 - F.col("n_nationkey")).alias("c_custkey"), F.col("n_name").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")))
+    return table.read()
+
+
+@query(
+    "stored_cascade",
+    "SELECT 'order' AS kind, o_orderkey AS id, 0 AS line FROM orders WHERE o_custkey % 7 <> 0 UNION ALL SELECT 'item', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)",
+)
+def stored_cascade(t):
+    # As cascade_delete, with both tables changed in their buckets.
+    orders, items = t("orders").select("o_orderkey", "o_custkey"), t("lineitem").select("l_orderkey", "l_linenumber")
+    at = Scratch(orders.sparkSession, "stored-cascade").path
+    parents, children = stored.Stored.create(orders, at("orders"), "o_orderkey", 16), stored.Stored.create(items, at("items"), "l_orderkey", 16)
+    stored.cascade(parents, children, orders.filter("o_custkey % 7 = 0"))
+    first = parents.read().select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.lit(0).alias("line"))
+    return first.union(children.read().select(F.lit("item"), "l_orderkey", "l_linenumber"))
