@@ -148,7 +148,7 @@ def members(archives: DataFrame) -> DataFrame:
 def contents(found: DataFrame, piece: int = PIECE) -> DataFrame:
     """The readable ``members`` in pieces: archive, number, path, piece (from 0), content, and at a member's last piece ``intact``.
 
-    Members are dealt by hash to tasks of some TASK packed bytes, whatever archive they are in; a task holds one piece at a time.
+    Members are dealt by hash to tasks of some TASK packed bytes, whatever archive they are in; a task holds some PIECE bytes, or one piece, at a time.
     ``intact`` tells whether length and checksum are right; a member cut short or not deflated ends there with false.
     """
     scratch = Scratch(found.sparkSession, "members")
@@ -175,22 +175,33 @@ def contents(found: DataFrame, piece: int = PIECE) -> DataFrame:
             if method == 0:
                 yield block
 
+    def pieces(f, r) -> Iterator[tuple]:
+        held, place, length, crc = b"", 0, 0, 0
+        try:
+            for block in unpacked(f, r.at, r.packed, r.method):
+                length, crc, held = length + len(block), zlib.crc32(block, crc), held + block
+                if len(held) > piece:
+                    yield r.archive, r.number, r.path, place, held[:piece], None
+                    held, place = held[piece:], place + 1
+        except zlib.error:
+            crc = -1
+        yield r.archive, r.number, r.path, place, held, length == r.length and crc == r.crc
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for part in parts:
             for archive, rows in part.groupby("archive", sort=False):
                 store, path = located(archive)
                 with store.open_input_file(path) as f:
                     for r in rows.itertuples():
-                        held, place, length, crc = b"", 0, 0, 0
-                        try:
-                            for block in unpacked(f, r.at, r.packed, r.method):
-                                length, crc, held = length + len(block), zlib.crc32(block, crc), held + block
-                                if len(held) > piece:
-                                    yield pd.DataFrame([(archive, r.number, r.path, place, held[:piece], None)], columns=columns)
-                                    held, place = held[piece:], place + 1
-                        except zlib.error:
-                            crc = -1
-                        yield pd.DataFrame([(archive, r.number, r.path, place, held, length == r.length and crc == r.crc)], columns=columns)
+                        for one in pieces(f, r):
+                            out.append(one)
+                            size += len(one[4])
+                            if size >= min(piece, PIECE) or len(out) >= 10_000:
+                                yield pd.DataFrame(out, columns=columns)
+                                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return dealt.mapInPandas(read, "archive string, number long, path string, piece long, content binary, intact boolean")
 
@@ -206,14 +217,16 @@ def archive_pieces(files: DataFrame, folder: str = "folder") -> DataFrame:
 
     def deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                name, content = row["path"].encode(), row["content"] or b""
+            out = {"folder": batch["folder"], "path": batch["path"], "fields": [], "bytes": []}
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                name, content = path.as_py().encode(), content.as_py() or b""
                 packer = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
                 data = packer.compress(content) + packer.flush()
                 # Version 2.0, names in UTF-8, deflate, 1 January 1980; then checksum, both sizes, the name's length, no extra field.
                 fields = struct.pack("<HHHHHIIIHH", 20, 0x800, 8, 0, 0x21, zlib.crc32(content), len(data), len(content), len(name), 0)
-                out = {"folder": [row["folder"]], "path": [row["path"]], "fields": [fields], "bytes": [b"PK\x03\x04" + fields + name + data]}
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("folder", pa.string()), ("path", pa.string()), ("fields", pa.binary()), ("bytes", pa.binary())]))
+                out["fields"].append(fields)
+                out["bytes"].append(b"PK\x03\x04" + fields + name + data)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("folder", pa.string()), ("path", pa.string()), ("fields", pa.binary()), ("bytes", pa.binary())]))
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
