@@ -45,6 +45,16 @@ HEADINGS = {
     "steps": "- Logic Flow Steps:",
     "calls": "- Called Functions: ",
 }
+# Calls, returned values, arguments, local declarations, branches, comments and static in C code.
+CALL = r"\b([a-zA-Z0-9_]+)\s*\("
+RETURN = r"\breturn\s+(.*?);"
+ARGUMENTS = r"\(([^)]*)\)"
+LOCAL = r"\b(?:int|char|float|double|long|short|void|bool)\s+[\*]*([a-zA-Z0-9_]+)\s*[;,=]"
+BRANCH = r"\b(if|else\s+if|else|for|while|do|switch|case|&&|\|\||break|continue|return)\b"
+BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+LINE_COMMENT = r"(?m)//.*?$"
+STATIC = r"^\s*static\b"
+LEADING_STATIC = r"(?m)^static\s+(?!inline)"
 
 
 def strip(text: Column) -> Column:
@@ -67,16 +77,16 @@ def mark(text: Column, what: str) -> Column:
 
 
 def strip_comments(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r"(?m)//.*?$", "")
+    return F.regexp_replace(F.regexp_replace(code, BLOCK_COMMENT, ""), LINE_COMMENT, "")
 
 
 def is_static(signature: Column) -> Column:
-    return F.rlike(F.coalesce(signature, F.lit("")), F.lit(r"^\s*static\b"))
+    return F.rlike(F.coalesce(signature, F.lit("")), F.lit(STATIC))
 
 
 def strip_static(code: Column) -> Column:
     """Without a leading ``static`` on any line, unless ``inline`` follows."""
-    return F.regexp_replace(code, r"(?m)^static\s+(?!inline)", "")
+    return F.regexp_replace(code, LEADING_STATIC, "")
 
 
 def strip_fences(text: Column) -> Column:
@@ -89,20 +99,20 @@ def fenced(text: Column) -> Column:
 
 
 def calls(code: Column) -> Column:
-    found = F.regexp_extract_all(code, F.lit(r"\b([a-zA-Z0-9_]+)\s*\("), 1)
+    found = F.regexp_extract_all(code, F.lit(CALL), 1)
     return F.array_sort(F.array_distinct(F.filter(found, lambda c: ~c.isin(*CALL_STOP))))
 
 
 def returns(code: Column) -> Column:
-    return F.regexp_extract_all(code, F.lit(r"\breturn\s+(.*?);"), 1)
+    return F.regexp_extract_all(code, F.lit(RETURN), 1)
 
 
 def variables(code: Column) -> Column:
     """Names of arguments in the first line's parentheses and of simple local declarations."""
-    inside = F.regexp_extract(F.substring_index(code, "\n", 1), r"\(([^)]*)\)", 1)
+    inside = F.regexp_extract(F.substring_index(code, "\n", 1), ARGUMENTS, 1)
     arguments = F.filter(F.transform(F.split(inside, ","), lambda a: F.split(strip(a), r"\s+")), lambda p: F.size(p) >= 2)
     names = F.transform(arguments, lambda p: F.replace(F.element_at(p, -1), F.lit("*"), F.lit("")))
-    local = F.regexp_extract_all(code, F.lit(r"\b(?:int|char|float|double|long|short|void|bool)\s+[\*]*([a-zA-Z0-9_]+)\s*[;,=]"), 1)
+    local = F.regexp_extract_all(code, F.lit(LOCAL), 1)
     return F.array_sort(F.array_distinct(F.concat(names, local)))
 
 
@@ -168,7 +178,7 @@ def operator_signs(dot: Column) -> Column:
 
 
 def branch_tokens(code: Column) -> Column:
-    return F.regexp_count(code, F.lit(r"\b(if|else\s+if|else|for|while|do|switch|case|&&|\|\||break|continue|return)\b"))
+    return F.regexp_count(code, F.lit(BRANCH))
 
 
 def complexity(code: Column) -> Column:

@@ -25,6 +25,7 @@ LOOK_AHEAD = 5
 # What repairs of generated tests look for.
 _TEST_HEAD, _RUN_TEST = r"^\s*void\s+(test_\w+)\s*\(", r"^\s*RUN_TEST\(\s*(\w+)\s*\)"
 _IGNORE, _WEAK, _CALL_LIKE = "TEST_IGNORE_MESSAGE", "__attribute__((weak))", r"[a-zA-Z_]\w*\s*\("
+_OUTLINE = r"^\s*(?:class|function|def|interface|const|let|var)\s+([a-zA-Z0-9_]+)"  # a declaration in an outline
 _MOCK = r"^\s*static\s+.*\bmock_\w+\s*="
 
 #: Characters of a file that a task walks by itself.
@@ -228,7 +229,7 @@ def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code", li
 def outline(code: DataFrame, key: str = "id", content: str = "code") -> DataFrame:
     """Classes, functions, interfaces and variables by the look of their lines: key, line, name, kind."""
     rows = code.select(key, F.posexplode(F.split(content, "\n")).alias("at", "text"))
-    name = F.regexp_extract("text", r"^\s*(?:class|function|def|interface|const|let|var)\s+([a-zA-Z0-9_]+)", 1)
+    name = F.regexp_extract("text", _OUTLINE, 1)
     has = lambda what: F.contains("text", F.lit(what))
     kind = F.when(has("class"), "class").when(has("function") | has("def"), "function").when(has("interface"), "interface").otherwise("variable")
     return rows.withColumn("name", name).filter("name <> ''").select(key, (F.col("at") + 1).alias("line"), "name", kind.alias("kind"))

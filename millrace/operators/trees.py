@@ -17,13 +17,18 @@ def nodes(files: DataFrame, path: str = "path") -> DataFrame:
     return found.select("path", paths.dirname(p).alias("parent"), paths.basename(p).alias("name"), paths.depth(p).alias("depth"), "is_file")
 
 
-def children(tree: DataFrame, parent: str) -> DataFrame:
-    """One level, directories first, then by name without regard to case."""
-    return tree.filter(F.col("parent") == parent).orderBy("is_file", F.lower("name"), "name")
+def name_order(name: str = "name", collation: str | None = None) -> list[Column]:
+    """Sort keys of names: ``lower(name)``, or a collation such as UNICODE (the root locale: accents and case matter last) or a language's; equal ones by their bytes."""
+    return [F.lower(name) if collation is None else F.collate(F.col(name), collation), F.col(name)]
 
 
-def tree_order(tree: DataFrame) -> DataFrame:
-    return tree.orderBy("parent", "is_file", F.lower("name"), "name")
+def children(tree: DataFrame, parent: str, collation: str | None = None) -> DataFrame:
+    """One level, directories first, then by name without regard to case, or as the collation has it."""
+    return tree.filter(F.col("parent") == parent).orderBy("is_file", *name_order("name", collation))
+
+
+def tree_order(tree: DataFrame, collation: str | None = None) -> DataFrame:
+    return tree.orderBy("parent", "is_file", *name_order("name", collation))
 
 
 def keep_matches(tree: DataFrame, keyword: str | None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import media, numbers, paths, status, text
-from millrace.operators import listing
+from millrace.operators import listing, pages
 from millrace.plans.registry import query
 
 
@@ -28,6 +28,19 @@ def paged_orders(t):
     return listing.page(listing.ordered(rows, "date", "desc", "o_totalprice", "o_orderdate", "o_orderkey"), 3, 10)
 
 
+@query(
+    "deep_page",
+    """
+    WITH n AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id NULLS LAST) AS position, count(*) OVER () // 20 * 10 AS skipped FROM documents)
+    SELECT doc_id, n_chars, position FROM n WHERE position > skipped AND position <= skipped + 10
+    """,
+)
+def deep_page(t):
+    # The page in the middle of all documents, longest first.
+    rows = t("documents").select("doc_id", "n_chars")
+    return pages.page(rows, [("n_chars", False), ("doc_id", True)], rows.count() // 20 + 1, 10, most=128, position="position")
+
+
 @query("page_envelope", "SELECT count(*) AS total, 3 AS page, 12 AS page_limit, CAST(ceil(count(*) / 12.0) AS BIGINT) AS total_pages FROM orders WHERE o_orderstatus = 'F'")
 def page_envelope(t):
     return listing.envelope(t("orders").filter("o_orderstatus = 'F'"), 3, 12)

@@ -234,3 +234,21 @@ def set_difference(t):
 def graph_3hop(t):
     edges = t("lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"))
     return graph.within_hops(edges, F.col("node") == "1", 3)
+
+
+@query(
+    "graph_reach",
+    """
+    WITH RECURSIVE e AS (
+      SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, CASE WHEN doc_id % 50 = 49 THEN doc_id - 49 ELSE doc_id + 1 END AS dst FROM documents UNION ALL SELECT doc_id, n_chars FROM documents) WHERE src <> dst),
+    down(node, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src = 7 UNION SELECT dst, depth + 1 FROM down JOIN e ON src = node WHERE depth < 8),
+    up(node, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src = 7 UNION SELECT src, depth + 1 FROM up JOIN e ON dst = node WHERE depth < 8)
+    SELECT 'down' AS way, node::VARCHAR AS node, min(depth)::INT AS depth FROM down GROUP BY node UNION ALL SELECT 'up', node::VARCHAR, min(depth)::INT FROM up GROUP BY node
+    """,
+)
+def graph_reach(t):
+    # Rings of fifty documents, with a link to the one that has a document's length as its number.
+    k = F.col("doc_id")
+    after = F.when(k % 50 == 49, k - 49).otherwise(k + 1)
+    edges = t("documents").select(k.cast("string").alias("src"), F.explode(F.array(after.cast("string"), F.col("n_chars").cast("string"))).alias("dst"))
+    return graph.reached(edges, F.col("node") == "7", 8)

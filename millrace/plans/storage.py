@@ -3,13 +3,14 @@
 Files are made from the tables: as frames of (path, content, length, modified), or written below the scratch folder and read back.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, paths, text
 from millrace.operators import dml, graph, listing, trees
 from millrace.plans.registry import query
 from millrace.session import Scratch
-from millrace.sources import archives, files, sinks, stored
+from millrace.sources import archives, files, results, sinks, stored
 
 _WEB = r"regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
 
@@ -439,3 +440,34 @@ def stored_cascade(t):
     stored.cascade(parents, children, orders.filter("o_custkey % 7 = 0"))
     first = parents.read().select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.lit(0).alias("line"))
     return first.union(children.read().select(F.lit("item"), "l_orderkey", "l_linenumber"))
+
+
+_NAMES = ("Äpfel", "apfel", "Zebra", "zebra", "école", "Ecole", "ecole", "中文", "一", "_x", "10", "9", "ñandú", "nandu", "straße", "Strasse")
+
+
+@query(
+    "locale_order",
+    f"""
+    WITH f AS (SELECT DISTINCT concat('d', c_nationkey) AS parent, concat([{", ".join(f"'{n}'" for n in _NAMES)}][c_custkey % {len(_NAMES)} + 1], CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '.c' END) AS name, c_custkey % 3 <> 0 AS is_file FROM customer)
+    SELECT concat(parent, '/', name) AS path, is_file, row_number() OVER (PARTITION BY parent ORDER BY is_file, icu_sort_key(name, 'en'), name) AS position FROM f
+    """,
+)
+def locale_order(t):
+    # Names with accents, capitals and ideographs in the order of the root locale, directories first.
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (k % len(_NAMES) + 1).cast("int"))
+    path = F.concat(F.lit("d"), F.col("c_nationkey").cast("string"), F.lit("/"), name, F.when(k % 3 == 0, "/f.c").otherwise(".c"))
+    tree = trees.nodes(t("customer").select(path.alias("path")).distinct()).filter("depth = 2")
+    inside = Window.partitionBy("parent").orderBy("is_file", *trees.name_order("name", "UNICODE"))
+    return tree.select("path", "is_file", F.row_number().over(inside).cast("long").alias("position"))
+
+
+@query("reused_counts", "SELECT source, count(*) AS documents, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, true AS reused FROM documents GROUP BY source")
+def reused_counts(t):
+    # The same counts asked for twice: the second time they are read from the copy that the first one stored.
+    def counts():
+        return t("documents").groupBy("source").agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length(F.encode("text", "UTF-8"))), F.lit(0)).cast("long").alias("bytes"))
+
+    root = Scratch(counts().sparkSession, "reused-counts").root
+    first, second = results.reused(counts(), "counts", root), results.reused(counts(), "counts", root)
+    return second.withColumn("reused", F.lit(first.inputFiles() == second.inputFiles()))
