@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.identity import placed
 from millrace.llm.words import hashes, mix, steps, utf8, words
 from millrace.session import Scratch, arrow_batches
 
@@ -426,8 +427,8 @@ class Model:
                     row = pa.array(s.row + a)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(v.view(np.int64)) for v in (s.token, s.history, pair_key(s.token, s.history)))], ["uid", "id", "word", "history", "pair"])
 
-        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        tokens = rows.mapInArrow(split, f"uid long, id {kind}, word long, history long, pair long")
+        rows = _numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), Scratch(docs.sparkSession, "katz-score"))
+        tokens = rows.select("uid", "id", "text").mapInArrow(split, f"uid long, id {kind}, word long, history long, pair long")
         low = lambda c, d: F.when(c <= CUTOFF, c * F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(c, F.lit(CUTOFF)).cast("int"))).otherwise(c)
         found = (
             tokens.join(self.pairs.select("pair", F.col("c").alias("c2")), "pair", "left")
@@ -456,11 +457,21 @@ def _look_up_all(source: DataFrame, scratch: Scratch) -> tuple[Words, np.ndarray
     return known, pairs, facts
 
 
-def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out."""
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows stored once with ``uid``: numbers worked out anew in a later job, or by a task that runs again behind a shuffle, may be others."""
+    return scratch.table("numbered", rows.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> tuple[DataFrame, Model]:
+    """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out.
+
+    ``uid_col`` names a number that tells the rows apart and is the same in every job, as ``identity.placed`` gives it; without one the
+    rows are stored with a number first.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = docs.select(*([F.col(uid_col).alias("uid")] if uid_col else []), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = source if uid_col else _numbered(source, scratch)
     with arrow_batches(spark, BATCH_BYTES):
         known, pairs, facts = _look_up_all(source, scratch)
     words = spark.read.schema("word long, c long").parquet(scratch.path("words"))
@@ -502,11 +513,11 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     return scored, Model(known, d, words, counted.union(hot_rows), history.union(begin))
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``."""
-    return train_and_score(docs, held_out, id_col, text_col)[0]
+    return train_and_score(docs, held_out, id_col, text_col, uid_col)[0]
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    docs = placed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "uid", "doc_id", "text")
+    return score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, uid_col="uid")

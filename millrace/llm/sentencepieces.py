@@ -196,9 +196,20 @@ def load(path: str = MODEL) -> Pieces:
                     pairs[int(mix(np.array([a << 32 | b], np.uint64))[0])] = int(rank[i])
         out.joined = np.array(sorted(pairs), np.uint64)
         out.joined_rank = np.array([pairs[h] for h in out.joined.tolist()], np.int64)
+    _supported(out, sp, path)
     return out
 
 
+def _supported(pieces: Pieces, sp, path: str) -> None:
+    """An error for a model whose normaliser changes texts, that collapses white space, puts no space before texts or spells no bytes."""
+    probes = ["a", " a", "a b", "a  b  ", "\t\n", "\uff21\uff22", "\ufb01", "e\u0301", "\u00a0x", "\u00bd", "\U0001f600", "\u2581"]
+    raw = [p.encode() for p in probes]
+    ids, at = encode_block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), pieces)
+    for k, probe in enumerate(probes):
+        if sp.encode(probe) != ids[at[k] : at[k + 1]].tolist():
+            raise ValueError(f"{path}: the model's ids of {probe!r} need a normaliser or options that aren't supported here")
+
+
 def _last_merges(names: list[str], by_name: dict[str, int], rank: np.ndarray, letters: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The two pieces merged last into each piece, and the pieces that merging can make."""
     left, right, made = np.arange(len(names)), np.arange(len(names)), []
@@ -227,7 +238,7 @@ def encode_words(x: np.ndarray, pieces: Pieces, lengths: np.ndarray | None = Non
     sums, back_power = _hash_rows(x), _powers(_INVERSE, length + 1)
     last = np.full((rows, length + 1), -1, np.int32)  # the last piece of the best path to each position
     size = np.zeros((rows, length + 1), np.int16)
-    best = np.full((rows, length + 1), -np.inf, np.float32 if pieces.bpe else np.float64)
+    best = np.full((rows, length + 1), -np.inf, np.float32)
     best[:, 0] = 0
     for end in range(1, length + 1):
         for span in range(1, min(pieces.longest, end) + 1):
@@ -236,11 +247,12 @@ def encode_words(x: np.ndarray, pieces: Pieces, lengths: np.ndarray | None = Non
             some = np.flatnonzero((found >= 0) & (best[:, begin] > -np.inf))
             if not len(some):
                 continue
-            value = best[some, begin] + pieces.score[found[some]] if not pieces.bpe else np.zeros(len(some))
+            value = (best[some, begin] + pieces.score[found[some]]).astype(np.float32) if not pieces.bpe else np.zeros(len(some))
             if pieces.bpe and begin:
                 packed, at = np.unique(last[some, begin].astype(np.int64) << 32 | found[some], return_inverse=True)
                 value[~pieces.apart(packed >> 32, packed & 0xFFFFFFFF)[at]] = -np.inf
-            better = value > best[some, end]
+            # Of equal sums the one with the longer last piece stays.
+            better = value > best[some, end] if pieces.bpe else value >= best[some, end]
             some = some[better]
             best[some, end], last[some, end], size[some, end] = value[better], found[some], span
     ids, count, at = np.zeros((rows, length), np.int32), np.zeros(rows, np.int64), np.full(rows, length) if lengths is None else lengths.copy()
