@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import Scratch
@@ -22,13 +25,13 @@ def identified(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> tup
     return scratch.table("identified", docs.withColumn(ROW, F.monotonically_increasing_id())), ROW
 
 
-def placed(docs: DataFrame, name: str, *columns: str) -> DataFrame:
-    """Some columns of ``docs``, as read from Parquet files, and ``name``: a number for each row from its file and its place there.
-
-    Unlike a number by partition it is the same in every job over the same files, however they are split. 2^40 rows a file are told apart.
-    """
-    meta = docs.metadataColumn("_metadata")
-    rows = docs.select(*columns, meta["file_path"].alias("_path"), meta["row_index"].alias("_place"))
-    files = sorted(r[0] for r in docs.select(meta["file_path"]).distinct().collect())  # as many as the driver has listed
-    known = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string"))
-    return rows.join(known, "_path").select(*columns, F.shiftleft("_file", 40).bitwiseOR(F.col("_place")).alias(name))
+@contextmanager
+def fixed_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that start inside split the same files alike, however many executors there are, so numbers by partition are the same in each of their jobs."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.identity import placed
+from millrace.llm.identity import fixed_splits
 from millrace.llm.words import hashes, mix, steps, utf8, words
 from millrace.session import Scratch, arrow_batches
 
@@ -465,14 +465,14 @@ def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> tuple[DataFrame, Model]:
     """The scores of every row of ``docs`` (see ``score_texts``), and the stored model of the rows that aren't held out.
 
-    ``uid_col`` names a number that tells the rows apart and is the same in every job, as ``identity.placed`` gives it; without one the
-    rows are stored with a number first.
+    ``uid_col`` names a number that tells the rows apart and is the same in every job: a stored one, or a number by partition of files
+    that are scanned as they are. Without one the rows are stored with a number first.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     source = docs.select(*([F.col(uid_col).alias("uid")] if uid_col else []), F.col(id_col).alias("id"), _held(held_out).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
     source = source if uid_col else _numbered(source, scratch)
-    with arrow_batches(spark, BATCH_BYTES):
+    with arrow_batches(spark, BATCH_BYTES), fixed_splits(spark):
         known, pairs, facts = _look_up_all(source, scratch)
     words = spark.read.schema("word long, c long").parquet(scratch.path("words"))
 
@@ -519,5 +519,5 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = placed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "uid", "doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
     return score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, uid_col="uid")

@@ -61,22 +61,15 @@ def test_models_that_arent_supported_are_refused(tmp_path):
             sentencepieces.load(written(tmp_path / f"{name}.model", TIED, **options))
 
 
-def test_placed_numbers_stay(spark, tmp_path):
-    """Numbers by file and place are the same however the files are split; ids may be null or repeat, and a column may be called _metadata."""
-    at = str(tmp_path / "rows")
-    rows = spark.range(500).select((F.col("id") % 7).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(1).alias("_metadata"))
-    rows.repartition(5).write.option("parquet.block.size", "1024").parquet(at)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    found = []
-    try:
-        for split in (before, "700b"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-            found.append({r.text: r.uid for r in identity.placed(spark.read.parquet(at), "uid", "doc_id", "text").collect()})
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert found[0] == found[1] and len(set(found[0].values())) == 500
-    spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).write.parquet(f"{at}-none")
-    assert identity.placed(spark.read.parquet(f"{at}-none"), "uid", "doc_id", "text").count() == 0
+def test_scans_are_split_alike(spark, tmp_path):
+    """The splits don't follow the parallelism inside; the setting is as before afterwards."""
+    name = "spark.sql.files.minPartitionNum"
+    with identity.fixed_splits(spark):
+        assert spark.conf.get(name) == str(spark.sparkContext.defaultParallelism)
+        with identity.fixed_splits(spark):
+            pass
+        assert spark.conf.get(name) == str(spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(name, None) is None
 
 
 def test_scores_by_place_equal_scores_of_stored_rows(spark, docs, folder):
