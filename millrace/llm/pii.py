@@ -3,9 +3,10 @@
 Base spans follow fixed patterns and stay whatever the trees say. High-recall generators propose further spans of the same
 kinds in looser formats (spelled-out or bracketed addresses, dotted quads in brackets, numbers grouped by dots or tabs,
 telephone numbers without a plus sign). In a row of numbers every stretch of whole digit groups is proposed whose count of
-digits fits a kind, so that a neighbour hides nothing. Gradient-boosted trees score each by its format, its neighbours and the
-words around it; a span is added when its probability reaches its kind's threshold. Of overlapping additions of a kind the
-likelier stays, and none overlaps a base span.
+digits fits a kind, so that a neighbour hides nothing, however long the row is. Gradient-boosted trees score each by its format,
+its neighbours, the row's length and the words around it; a span is added when its probability reaches its kind's threshold. Of
+overlapping additions of a kind the likelier stays, and none overlaps a base span. Texts of many numbers are scored in windows of
+digit groups as arrays, with the same features.
 
 The trees are trained here, from examples made by ``examples`` with a fixed seed: spans and look-alikes (order numbers,
 versions, dates, book numbers, sums) in matching and misleading contexts. Half of the contexts are made up, half are cut out of the
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ PRECISION, LOOK_ALIKES = 0.98, 10
 #: Texts that contexts are cut from at most, pieces of each, and their length.
 MAX_TEXTS, SNIPPETS, SNIPPET = 2000, 3, 120
 ROUNDS, DEPTH, PACE, BINS = 40, 3, 0.25, 16
+#: Wrong candidates that an example teaches at most, so that rows of numbers don't outweigh the rest.
+NEGATIVES = 12
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -48,16 +52,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: Candidates: digits with loose separators, and addresses with the sign or the dot spelled out.
 _GAP = re.compile(r"[ .\t()/\[\]-]{1,3}")
 MOST_DIGITS = 19
-#: Digit groups of a number at most, digits for each group at least, and digit groups that follow each other on a line at most: more are a table.
+#: What the short list of ``candidates`` holds: digit groups of a number at most, digits for each at least, and digit groups of a row at most.
 MOST_GROUPS, FULL, ROW = 6, 1.5, 8
-#: Candidates that are scored at once.
-SLICE = 4096
+#: Candidates, or digit groups, that are scored at once; with more than ``FEW`` digit groups a text is scored as arrays.
+SLICE, FEW = 4096, 64
+#: From this length on rows of digit groups count as equally long.
+LONG_ROW = 64
 #: Last parts of addresses; others are open to doubt.
 _ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "eu", "us", "ca", "au", "jp", "cn", "in", "br", "ru", "example", "test"))
 _SPELLED = re.compile(r"[ (\[{]dot[)\]} ]", re.I)
+_MY = re.compile(r"\bmy\Z", re.I)
 _AT = re.compile(r"[ (\[{]{1,2}at[)\]} ]{1,2}", re.I)
-_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
-_RIGHT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|[ (\[{]{1,2}dot[)\]} ]{1,2})[A-Za-z0-9-]{1,63}){1,5}", re.I)
+_RIGHT = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|[ (\[{]{1,2}dot[)\]} ]{1,2})[A-Za-z0-9-]++)+", re.I)
 _WORDS = {
     "phone": re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|whatsapp|dial|ring|my number)", re.I),
     "card": re.compile(r"\b(?:card|visa|amex|mastercard|credit|debit|payment|cc)\b", re.I),
@@ -69,6 +75,8 @@ CONTEXT = 32
 #: The digits beside a candidate, and what stands between.
 _NEAR_LEFT = re.compile(r"([0-9]+)([ .\t()/\[\]-]{1,3})\Z")
 _NEAR_RIGHT = re.compile(r"([ .\t()/\[\]-]{1,3})([0-9]+)")
+_FOLLOWING = re.compile(r"[ .\t()/\[\]-]{1,3}[0-9]++")
+_BETWEEN, _FIGURES, _MONEY = " .\t()/[]-", frozenset("0123456789"), "$€£#.,-"
 
 
 def luhn(digits: str) -> bool:
@@ -116,8 +124,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str, pruned: bool = False) -> list[tuple[str, int, int]]:
     """Overlapping spans in looser formats.
 
-    Pruned, as the operator takes them: digits in few groups that are not part of a long row of numbers; four numbers with a dot between
-    each two; addresses with a bracketed sign, or with the sign and a dot spelled out, as "at" alone is a plain word.
+    Pruned, a short list: digits in few groups that are not part of a long row of numbers, and only the formats of ``proposed``, whose list
+    is whole.
     """
     out = []
     groups = [m.span() for m in _PART.finditer(text)]
@@ -142,24 +150,60 @@ def candidates(text: str, pruned: bool = False) -> list[tuple[str, int, int]]:
                 out.append(("phone", start, end))
             if j - i == 3 and digits <= 12 and (not pruned or all("." in text[groups[k][1] : groups[k + 1][0]] for k in range(i, j))):
                 out.append(("ip", start, end))
+    return out + addresses(text, pruned)
+
+
+def addresses(text: str, strict: bool = True) -> list[tuple[str, int, int]]:
+    """Addresses with the sign spelled out; strictly only with a bracketed sign or a spelled dot, too, as "at" alone is a plain word."""
+    out = []
     for m in _AT.finditer(text):
-        left = _LEFT.search(text, max(0, m.start() - 64), m.start())
-        right = _RIGHT.match(text, m.end())
-        if left and right and (not pruned or m[0].strip() != m[0].strip("()[]{} ") or _SPELLED.search(right[0])):
-            out.append(("email", left.start(), right.end()))
+        left, right = m.start(), _RIGHT.match(text, m.end())
+        while left and text[left - 1] in _LOCAL:
+            left -= 1
+        if left < m.start() and right and (not strict or m[0].strip() != m[0].strip("()[]{} ") or _SPELLED.search(right[0])):
+            out.append(("email", left, right.end()))
     return out
 
 
+def proposed(text: str) -> list[tuple[str, int, int]]:
+    """All spans that the trees judge: every stretch of digit groups, those of four numbers with a dot between each two, strict addresses."""
+    dotted = lambda s, e: all("." in gap for gap in re.split("[0-9]+", text[s:e])[1:-1])
+    return [c for c in candidates(text) if c[0] in ("card", "phone") or (c[0] == "ip" and dotted(*c[1:]))] + addresses(text)
+
+
 def outside(text: str, spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Those of the spans that overlap no base span."""
+    covered = _merged(base_spans(text) if base is None else base)
+    return [c for c in spans if _free(covered, c[1], c[2]) is not None]
+
+
+def _merged(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover."""
     merged: list[list[int]] = []
-    for _, start, end in base_spans(text) if base is None else base:
+    for _, start, end in base:
         if merged and start < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end])
-    covered = ([m[0] for m in merged], [m[1] for m in merged])
-    return [c for c in spans if _free(covered, c[1], c[2]) is not None]
+    return [m[0] for m in merged], [m[1] for m in merged]
+
+
+def _row(text: str, start: int, end: int) -> int:
+    """Digit groups of the row that the digits at ``start`` to ``end`` stand in, ``LONG_ROW`` at most."""
+    n = len(_PART.findall(text, start, end))
+    at = start + (text[start] in "(+")
+    while n < LONG_ROW:
+        last = at
+        while last and at - last < 4 and text[last - 1] in _BETWEEN:
+            last -= 1
+        if not 0 < at - last < 4 or not last or text[last - 1] not in _FIGURES:
+            break
+        n, at = n + 1, last - 1
+        while at and text[at - 1] in _FIGURES:
+            at -= 1
+    while n < LONG_ROW and (m := _FOLLOWING.match(text, end)):
+        n, end = n + 1, m.end()
+    return n
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -204,6 +248,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(right) and " " not in right[1]),
         float(bool(_WORDS[kind].search(around))),
         *[float(bool(_WORDS[w].search(before))) for w in _WORDS],
+        float(_row(text, start, end)) if kind != "email" else 0.0,
     ]
 
 
@@ -284,10 +329,23 @@ def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[
                 other += " "
                 true = {(k, s + len(other), e + len(other)) for k, s, e in true} | ({(kind, len(head), len(head) + len(other) - 1)} if label else set())
                 body = head + other + span
+        if kind in ("phone", "card") and rng.random() < 0.15:  # long rows, of true spans or of plain numbers
+            if good:
+                for _ in range(rng.randint(2, 5)):
+                    body += rng.choice([" ", "\t"])
+                    span = right[kind]()
+                    true.add((kind, len(body), len(body) + len(span)))
+                    body += span
+            else:
+                body, width, gap = head, rng.randint(0, 5), rng.choice([" ", " ", " ", "\t", ".", "-", "/"])
+                body += gap.join(digits(width or rng.randint(1, 5)) for _ in range(rng.randint(4, 24)))
         text = body + after
-        for k, s, e in outside(text, candidates(text, True)):
+        wrong_ones = 0
+        for k, s, e in sorted(outside(text, proposed(text)), key=lambda c: (c not in true, rng.random())):
             if s < len(body) and e > len(head) and (k == kind or kind != "email"):
-                yield text, k, s, e, int((k, s, e) in true)
+                wrong_ones += (k, s, e) not in true
+                if wrong_ones <= NEGATIVES:
+                    yield text, k, s, e, int((k, s, e) in true)
 
 
 @dataclass
@@ -314,6 +372,27 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
+    def table(self, most: int = 255) -> np.ndarray:
+        """The bins of the whole numbers from -1 to ``most``, a row for each feature."""
+        return np.stack([np.searchsorted(e, np.arange(-1, most + 1), "left") for e in self.edges]).astype(np.uint8)
+
+    def probability_of_bins(self, b: list[np.ndarray]) -> np.ndarray:
+        """The probabilities for binned features, given as one array each."""
+        total = np.full(len(b[0]), self.start)
+        for split, at, leaf in zip(self.split, self.at, self.leaf, strict=True):
+            right = [b[f] > a for f, a in zip(split, at, strict=True)]
+            node = np.zeros(len(total), np.uint8)
+            for level in range(DEPTH):
+                first = 2**level - 1
+                # Bit by bit: among a level's nodes the one that was reached.
+                now = right[first]
+                for k in range(1, 2**level):
+                    now = np.where(node == k, right[first + k], now)
+                node = 2 * node + now
+            total += leaf[node]
+        return 1 / (1 + np.exp(-total))
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     """Second-order boosting of the log loss with histogram splits."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
@@ -394,14 +473,16 @@ def train(docs: DataFrame, text_col: str = "text") -> Trees:
 def all_spans(text: str, model: Trees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and these with the trees' additions."""
     base = base_spans(text)
-    found = outside(text, candidates(text, True), base)
-    if not found:
-        return base, base
-    good = []
+    few = sum(1 for _ in islice(_PART.finditer(text), FEW + 1)) <= FEW
+    found, good = outside(text, proposed(text) if few else addresses(text), base), []
     for first in range(0, len(found), SLICE):
         some = found[first : first + SLICE]
         p = model.probability(np.array([features(text, *c) for c in some], float))
         good += [(-p[k], start, end, kind) for k, (kind, start, end) in enumerate(some) if p[k] >= model.threshold[kind]]
+    if not few:
+        good += _likely_stretches(text, model, _merged(base))
+    if not good:
+        return base, base
     out, taken = list(base), {k: ([], []) for k in KINDS}
     for _, start, end, kind in sorted(good):
         if (at := _free(taken[kind], start, end)) is not None:
@@ -411,6 +492,131 @@ def all_spans(text: str, model: Trees) -> tuple[list[tuple[str, int, int]], list
     return base, sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(starts, ends, first, last): digit groups in windows; those from first to last are the window's own, the others its margins."""
+    groups, kept, first = _PART.finditer(text), [], 0
+    while True:
+        kept += [m.span() for m in islice(groups, first + SLICE + LONG_ROW - len(kept))]
+        last = min(first + SLICE, len(kept))
+        if first >= last:
+            return
+        both = np.array(kept, np.int64)
+        yield both[:, 0], both[:, 1], first, last
+        drop = max(last - LONG_ROW, 0)
+        kept, first = kept[drop:], last - drop
+
+
+def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(kind, starts, ends, features as one array each) of every stretch of digit groups in ``proposed``, window by window."""
+    for starts, ends, first, last in _windows(text):
+        base = max(int(starts[0]) - CONTEXT - 1, 0)
+        piece = text[base : int(ends[-1]) + CONTEXT]
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate([codes, np.zeros(4, np.uint32)])
+        s, e, n = starts - base, ends - base, len(starts)
+        length = e - s
+        is_ = lambda chars, at: np.isin(c[at], [ord(x) for x in chars])
+        # What stands between a group and the next: up to three characters.
+        gap = np.append(s[1:], len(c) + 9) - e
+        there = [(gap > k) & (gap < 4) for k in range(3)]
+        sep = [np.where(t, c[np.minimum(e + k, len(c) - 1)], 0) for k, t in enumerate(there)]
+        joined = (gap < 4) & np.all([np.isin(x, [0, *map(ord, _BETWEEN)]) for x in sep], axis=0)
+        count = lambda chars: np.concatenate([[0], np.cumsum(sum(np.isin(x, [ord(y) for y in chars]) for x in sep) * joined)])
+        counts = [count(x) for x in (".", "-", " \t", "[(", "/")]
+        dotted, spaced = [np.any([x == ord(y) for x in sep], axis=0) for y in ". "]
+        bit = {ord(x): 1 << k for k, x in enumerate(_BETWEEN)}
+        bits = lambda x: np.select([x == y for y in bit], list(bit.values()), 0)
+        gap_bit = bits(sep[0])
+        # Rows.
+        index = np.arange(n)
+        row_first = np.maximum.accumulate(np.where(np.concatenate([[True], ~joined[:-1]]), index, 0))
+        ending = np.where(joined, n, index)
+        row_last = np.minimum.accumulate(ending[::-1])[::-1]
+        row = np.minimum(np.minimum(row_last, n - 1) - row_first + 1, LONG_ROW)
+        # Digits.
+        figures = c[: len(codes)][(codes >= 48) & (codes <= 57) & (np.arange(len(codes)) >= s[0]) & (np.arange(len(codes)) < e[-1])].astype(np.int64) - 48
+        d = np.concatenate([[0], np.cumsum(length)])
+        held = np.bitwise_or.reduceat(1 << figures, d[:-1])
+        double, place = np.array([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])[figures], np.arange(len(figures)) % 2
+        sums = [np.concatenate([[0], np.cumsum(np.where(place == k, figures, double))]) for k in (0, 1)]
+        nonzero = np.concatenate([[0], np.cumsum(figures > 0)])
+        tail = figures[d[1:] - 1] + 10 * figures[np.maximum(d[1:] - 2, 0)] * (length > 1) + 100 * figures[np.maximum(d[1:] - 3, 0)] * (length > 2)
+        small = (tail <= 255) & ((length <= 3) | (nonzero[np.maximum(d[1:] - 3, 0)] == nonzero[d[:-1]]))
+        # Before a stretch that starts with a group, and after one that ends with it.
+        prior = np.where(s > 0, c[s - 1], 0)
+        plus, bracket = prior == ord("+"), prior == ord("(")
+        at = s - (plus | bracket)
+        far = at - np.concatenate([[-9], e[:-1]])
+        near = [np.where((far > k) & (far < 4), c[np.maximum(at - 1 - k, 0)], 0) for k in range(3)]
+        left = (far > 0) & (far < 4) & np.all([np.isin(x, [0, *map(ord, _BETWEEN)]) for x in near], axis=0)
+        left_n = np.where(left, np.minimum(np.concatenate([[0], length[:-1]]), CONTEXT - far), 0)
+        left_bit, left_tight = np.where(left, bits(near[0]), 0), left & ~np.any([x == 32 for x in near], axis=0)
+        right_n = np.where(joined, np.minimum(np.append(length[1:], 0), CONTEXT - gap), 0)
+        right_bit, right_tight = np.where(joined, gap_bit, 0), joined & ~spaced
+        ahead = np.where(at > 0, c[np.maximum(at - 1, 0)], 0)
+        letter = {x: chr(x).isalnum() for x in set(ahead.tolist()) | set(c[e].tolist())}
+        ahead_letter, next_letter = [np.array([letter[x] for x in y.tolist()]) for y in (ahead, c[e])]
+        money = np.isin(ahead, [ord(x) for x in _MONEY])
+        # Words within reach; where only figures and what separates them stand there are none.
+        odd = np.concatenate([[0], np.cumsum(~np.isin(c, [ord(x) for x in "0123456789,\n" + _BETWEEN]))])
+        words_before, words_after = np.zeros((n, len(_WORDS)), bool), np.zeros((n, len(_WORDS)), bool)
+        mine = np.zeros(n, bool)
+        my, number = mine.copy(), mine.copy()
+        for i in np.flatnonzero(odd[at] > odd[np.maximum(at - CONTEXT, 0)]):
+            before = piece[max(0, at[i] - CONTEXT) : at[i]]
+            words_before[i], my[i] = [bool(w.search(before)) for w in _WORDS.values()], bool(_MY.search(before))
+        for j in np.flatnonzero(odd[np.minimum(e + CONTEXT, len(codes))] > odd[e]):
+            after = piece[e[j] : e[j] + CONTEXT]
+            words_after[j], number[j] = [bool(w.search(" " + after)) for w in _WORDS.values()], after[:6].lower() == "number"
+        names = list(_WORDS)
+        most, least, digits_held, gaps_held, all_small, all_dotted = length.copy(), length.copy(), held.copy(), np.zeros(n, np.int64), small.copy(), np.ones(n, bool)
+        i = np.arange(first, last)
+        for k in range(MOST_DIGITS):
+            if k:
+                i = i[(i + k < n) & joined[np.minimum(i + k - 1, n - 1)]]
+                j = i + k
+                most[i], least[i] = np.maximum(most[i], length[j]), np.minimum(least[i], length[j])
+                digits_held[i] |= held[j]
+                gaps_held[i] |= gap_bit[j - 1]
+                all_small[i] &= small[j]
+                all_dotted[i] &= dotted[j - 1]
+            i = i[d[i + k + 1] - d[i] <= MOST_DIGITS]
+            if not len(i):
+                break
+            total = d[i + k + 1] - d[i]
+            for kind, fits in (("card", total >= 12), ("phone", (total >= 7) & (total <= 15)), ("ip", (total <= 12) & all_dotted[i] & (k == 3))):
+                a = i[fits]
+                if not len(a):
+                    continue
+                j, m = a + k, total[fits]
+                inner = gaps_held[a] & ~np.where(bracket[a], bit[ord("(")], 0)
+                end_odd = (d[j + 1] - 1) % 2 == 1
+                luhns = np.where(end_odd, sums[1][d[j + 1]] - sums[1][d[a]], sums[0][d[j + 1]] - sums[0][d[a]])
+                between = [x[j] - x[a] for x in counts]
+                word = names.index(kind)
+                around = words_before[a, word] | words_after[j, word] | (my[a] & number[j] & (kind == "phone"))
+                same = np.full(len(a), KINDS.index(kind))
+                none = np.zeros(len(a), np.int64)
+                yield kind, at[a] + base, e[j] + base, [
+                    same, m, e[j] - at[a], none + k + 1, length[a], length[j], most[a], least[a], luhns % 10 == 0, plus[a], bracket[a],
+                    between[0], between[1], between[2], between[3] + bracket[a], between[4], all_small[a], figures[d[a]], np.bitwise_count(digits_held[a]), none, none,
+                    ahead_letter[a], next_letter[j], money[a], np.bitwise_count(inner), length[np.minimum(a + 1, n - 1)] * (k > 0), left_n[a], right_n[j],
+                    (left_bit[a] & inner) > 0, (right_bit[j] & inner) > 0, left_tight[a], right_tight[j], around, *words_before[a].T, row[a],
+                ]
+
+
+def _likely_stretches(text: str, model: Trees, covered: tuple[list[int], list[int]]) -> list[tuple[float, int, int, str]]:
+    """(-probability, start, end, kind) of the stretches beside what is covered that reach their kind's threshold."""
+    table, good = model.table(), []
+    starts, ends = np.array(covered[0], np.int64), np.array([-1, *covered[1]], np.int64)
+    for kind, s, e, x in stretches(text):
+        free = ends[np.searchsorted(starts, e, "left")] <= s
+        p = model.probability_of_bins([table[f][v[free].astype(np.int64) + 1] for f, v in enumerate(x)])
+        likely = np.flatnonzero(p >= model.threshold[kind])
+        good += zip((-p[likely]).tolist(), s[free][likely].tolist(), e[free][likely].tolist(), repeat(kind))
+    return good
+
+
 def _free(taken: tuple[list[int], list[int]], start: int, end: int) -> int | None:
     """The place of a span among sorted ones that don't overlap; None if it overlaps one of them."""
     starts, ends = taken

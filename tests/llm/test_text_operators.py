@@ -852,3 +852,30 @@ def test_pii_of_tables_of_numbers(row):
     text = "\n".join(" ".join(digits[k : k + row]) for k in range(0, len(digits), row)) + " a@b.example.com"
     assert len(pii.candidates(text, True)) < 100
     assert [k for k, *_ in pii.all_spans(text, pii.trained())[1]] == ["email"] or pii.base_spans(text) == pii.all_spans(text, pii.trained())[0]
+
+
+def test_pii_of_long_rows():
+    """Rows of more than eight digit groups, numbers of more than six and long addresses are judged like all others."""
+    model, four = pii.trained(), ["555-123-4567", "555-987-6543", "555-222-3344", "555-321-9876"]
+    phones = lambda t: [t[s:e] for k, s, e in pii.all_spans(t, model)[1] if k == "phone"]
+    assert phones("phone " + " ".join(four)) == four
+    table = "\n".join(" ".join(str(10 + (7 * i + k) % 90) for k in range(12)) for i in range(60))
+    assert phones(f"{table}\nphone " + " ".join(four)) == four
+    assert ("phone", 5, 18) in pii.proposed("call 5 5 5 1 2 3 4") and ("card", 5, 28) in pii.proposed("card 41 11 11 11 11 11 11 11")
+    name, host = "n" * 100, " dot ".join(["host"] * 9)
+    assert pii.proposed(f"mail {name} (at) {host} now") == [("email", 5, 5 + len(f"{name} (at) {host}"))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="0123456789 .()-+[]\t/,\nmynubertlé²€$", max_size=200), st.integers(1, 9))
+def test_pii_stretches_in_windows(text, size):
+    """Stretches from windows of digit groups are those of the plain list, with the same features and probabilities."""
+    model = pii.trained()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "SLICE", size)
+        found = [(k, int(a), int(b), [float(x[r]) for x in f]) for k, s, e, f in pii.stretches(text) for r, (a, b) in enumerate(zip(s, e, strict=True))]
+        want = [(*c, pii.features(text, *c)) for c in pii.proposed(text) if c[0] != "email"]
+        assert sorted(found) == sorted(want)
+        plain = pii.all_spans(text, model)
+        patch.setattr(pii, "FEW", -1)
+        assert pii.all_spans(text, model) == plain
