@@ -1,15 +1,17 @@
 """C sources: functions, test targets, and repairs of generated tests.
 
-Functions are found from left to right and each consumes its lines. A short file is walked in its task; a long one is spread over
-tasks as blocks of lines.
+Functions are found from left to right and each consumes its lines, as do the blocks that repairs take out. A short file is walked in
+its task; a long one is spread over tasks as blocks of lines.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ _TEST_HEAD, _RUN_TEST = r"^\s*void\s+(test_\w+)\s*\(", r"^\s*RUN_TEST\(\s*(\w+)\
 _IGNORE, _WEAK, _CALL_LIKE = "TEST_IGNORE_MESSAGE", "__attribute__((weak))", r"[a-zA-Z_]\w*\s*\("
 _OUTLINE = r"^\s*(?:class|function|def|interface|const|let|var)\s+([a-zA-Z0-9_]+)"  # a declaration in an outline
 _MOCK = r"^\s*static\s+.*\bmock_\w+\s*="
+_STATIC, _MOCK_NAME, _SPACE = re.compile(r"\s*static\s+", re.ASCII), re.compile(r"mock_\w+\s*=", re.ASCII), " \t\n\r\x0b\x0c"
 
 #: Characters of a file that a task walks by itself.
 WALKED = 1 << 20
@@ -201,8 +204,95 @@ def _removed(lines: Lines, rows: DataFrame, starts: Column) -> DataFrame:
     return lines.inside(lines.chosen(ended))
 
 
+def _block_end(lines: list[str], at: int) -> int:
+    """The last line of the block that opens on line ``at`` or later; the text's last one where it never closes."""
+    close = _close_line(lines, at)
+    return len(lines) - 1 if close is None else close
+
+
+def _is_mock(line: str) -> bool:
+    """Whether ``_MOCK`` finds something, in the reading of Spark's patterns: no dot for a line end, marks belong to words."""
+    head = _STATIC.match(line)
+    if not head:
+        return False
+    for m in _MOCK_NAME.finditer(line, head.end()):
+        at = m.start()
+        if re.search("[\r\u0085\u2028\u2029]", line[head.end() : at]):
+            return False
+        before = line[at - 1]
+        while at and unicodedata.category(before) == "Mn":
+            at -= 1
+            before = line[at - 1] if at else " "
+        if before != "_" and unicodedata.category(before) not in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"):
+            return True
+    return False
+
+
+def _without_ignored(code: str) -> str:
+    if _IGNORE not in code:
+        return code
+    lines, owner, ignored = code.split("\n"), None, set()
+    heads = [re.match(_TEST_HEAD, line, re.ASCII) for line in lines]
+    for line, head in zip(lines, heads, strict=True):
+        owner = head[1] if head else owner
+        if owner and _IGNORE in line:
+            ignored.add(owner)
+    out, at = [], 0
+    while at < len(lines):
+        head = heads[at]
+        if head and head[1] in ignored:
+            at = _block_end(lines, at)
+        elif head or not (run := re.match(_RUN_TEST, lines[at], re.ASCII)) or run[1] not in ignored:
+            out.append(lines[at])
+        at += 1
+    return "\n".join(out)
+
+
+def _without_weak(code: str) -> str:
+    if _WEAK not in code and "mock_" not in code:
+        return code
+    lines, out, at = code.split("\n"), [], 0
+    while at < len(lines):
+        line = lines[at]
+        if _WEAK in line and (("{" in line and re.search(_CALL_LIKE, line, re.ASCII)) or any("{" in x for x in lines[at + 1 : at + 4])):
+            at = _block_end(lines, at) + 1
+            while at < len(lines) and not lines[at].strip(_SPACE):
+                at += 1
+            continue
+        if not _is_mock(line):
+            out.append(line)
+        at += 1
+    return "\n".join(out)
+
+
+def _repaired(code: DataFrame, key: str, content: str, walk: Callable[[str], str], spread: Callable[[DataFrame], DataFrame], walked: int) -> DataFrame:
+    """(key, content) of each text: those of up to ``walked`` characters are walked in their tasks, the others ``spread``; null counts as empty."""
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([walk(c or "") for c in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], [key, content])
+
+    rows, length = code.select(key, content), F.coalesce(F.length(content), F.lit(0))
+    done = rows.filter(length <= walked).mapInArrow(repair, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{content}` string")
+    long = rows.filter(length > walked)
+    return done if long.isEmpty() else done.unionByName(spread(long))
+
+
 def strip_ignored_tests(code: DataFrame, key: str = "id", content: str = "code", limit: int | None = None) -> DataFrame:
-    """Without the test functions that hold an ignore message, and without the lines that run them; starts inside a function that goes are part of it."""
+    """Without the test functions that hold an ignore message, and without the lines that run them; starts inside a function that goes are part of it.
+
+    With a ``limit`` for the lines of a task all texts are spread, as those of more than ``WALKED`` characters are without it.
+    """
+    return _repaired(code, key, content, _without_ignored, lambda rows: _ignored_of_lines(rows, key, content, limit), WALKED if limit is None else -1)
+
+
+def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code", limit: int | None = None) -> DataFrame:
+    """Without weak function bodies, the blank lines after them, and mock control variables; starts inside a body are part of it. ``limit`` as above."""
+    return _repaired(code, key, content, _without_weak, lambda rows: _weak_of_lines(rows, key, content, limit), WALKED if limit is None else -1)
+
+
+def _ignored_of_lines(code: DataFrame, key: str, content: str, limit: int | None) -> DataFrame:
     head = F.nullif(F.regexp_extract("line", _TEST_HEAD, 1), F.lit(""))
     run = F.nullif(F.regexp_extract("line", _RUN_TEST, 1), F.lit(""))
     lines = Lines(code, key, content, limit, head=head, mention=F.coalesce(head, run))
@@ -213,8 +303,7 @@ def strip_ignored_tests(code: DataFrame, key: str = "id", content: str = "code",
     return _joined(kept.filter(~F.col("inside") & ~(F.col("head").isNull() & F.coalesce("hit", F.lit(False)))), key, code, content)
 
 
-def strip_weak_mocks(code: DataFrame, key: str = "id", content: str = "code", limit: int | None = None) -> DataFrame:
-    """Without weak function bodies, the blank lines after them, and mock control variables; starts inside a body are part of it."""
+def _weak_of_lines(code: DataFrame, key: str, content: str, limit: int | None) -> DataFrame:
     lines = Lines(code, key, content, limit, weak=F.contains("line", F.lit(_WEAK)))
     rows = scan(lines.rows, key, ["at"], lines.slices, _open=Next(F.when(F.col("opens"), F.col("at"))))
     here = F.col("opens") & F.rlike("line", F.lit(_CALL_LIKE))

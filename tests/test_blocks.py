@@ -92,6 +92,21 @@ def test_repairs_equal_the_walk(codes, limit):
         assert got == want
 
 
+def test_short_texts_are_repaired_without_a_shuffle(spark, monkeypatch):
+    """Short texts are walked in their tasks, long ones spread; both give the same, odd white space and letters included."""
+    odd = ["static int\r é mock_a = 1;", "static int \rmock_a = 1;", "static int émock_a = 1;", "static int e\u0301mock_a = 1;", "static \u0301mock_a =", "static ½mock_a =", "static int\u2028mock_b = 2;", "\u00a0static int mock_c;", "static int x_mock_d = 1; mock_e =", "static mock_mock_f="]
+    texts = ["\n".join(random.Random(k).choice(PIECES + odd) for _ in range(30)) for k in range(40)] + ["\n".join(odd), None, ""]
+    codes = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(texts)], "id int, code string")
+    for strip in (c_source.strip_weak_mocks, c_source.strip_ignored_tests):
+        found = strip(codes)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.id, r.code) for r in found.collect() if r.id is not None)
+        monkeypatch.setattr(c_source, "WALKED", 300)
+        mixed = sorted((r.id, r.code) for r in strip(codes).collect() if r.id is not None)
+        assert got == mixed == sorted((r.id, r.code) for r in strip(codes, limit=40).collect() if r.id is not None)
+        monkeypatch.undo()
+
+
 def test_starts_inside_a_block(spark):
     code = "__attribute__((weak)) int a(void) {\n__attribute__((weak)) int b(void) {\n}\n  tail();\n}\nint keep;"
     assert c_source.strip_weak_mocks(spark.createDataFrame([(1, code)], "id int, code string")).first().code == "int keep;"
