@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
+
 # Words that look like calls, words that are never function names, and names of graph operators.
 CALL_STOP = ("if", "while", "for", "switch", "return", "sizeof")
 NAME_STOP = (
@@ -126,12 +128,13 @@ def top_level_names(code: Column) -> Column:
 
 
 def missing_headers(code: Column) -> Column:
-    """The headers whose names the code uses and that it doesn't include."""
-    wanted = []
-    for header, names in HEADERS.items():
-        there = F.contains(code, F.lit(f"#include {header}")) | F.contains(code, F.lit(f'#include "{header[1:-1]}"'))
-        wanted.append(F.when(~there & F.rlike(code, F.lit(rf"\b({'|'.join(names)})\b")), F.lit(header)))
-    return F.array_compact(F.array(*wanted))
+    """The headers whose names the code uses and that it doesn't include. The code is worked out once, however it is made."""
+
+    def wanted(c: Column, header: str, names: tuple[str, ...]) -> Column:
+        there = F.contains(c, F.lit(f"#include {header}")) | F.contains(c, F.lit(f'#include "{header[1:-1]}"'))
+        return F.when(~there & F.rlike(c, F.lit(rf"\b({'|'.join(names)})\b")), F.lit(header))
+
+    return let(code, lambda c: F.array_compact(F.array(*[wanted(c, h, n) for h, n in HEADERS.items()])))
 
 
 def last_line_with(lines: Column, start: str) -> Column:

@@ -103,3 +103,9 @@ def test_maps_and_windows(one):
     assert one(arrays.put(F.create_map(F.lit("a"), F.lit(1)), F.lit("a"), F.lit(2)))[0] == {"a": 2}
     assert one(arrays.windows(F.split(F.lit("a b c b c d"), " "), 2))[0] == ["a b", "b c", "c b", "c d"]
     assert one(arrays.windows(F.split(F.lit("a"), " "), 2))[0] == []
+
+
+def test_missing_headers_work_their_code_out_once(spark):
+    found = spark.createDataFrame([(1, "FREE(p); VA_LIST x;"), (2, None), (3, "")], "id int, code string").select("id", text.missing_headers(F.lower("code")).alias("h"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert {r.id: r.h for r in found.collect()} == {1: ["<stdarg.h>", "<stdlib.h>"], 2: [], 3: []}
