@@ -69,23 +69,31 @@ def code_file_list(t):
     return files.code_files(t("customer").select(path.alias("path")).union(t("region").select(F.lit("meta.json"))))
 
 
+def _name(path):
+    return F.regexp_extract(path, "[^/]+$", 0)
+
+
 def _archives(t):
-    key = F.col("c_custkey").cast("string")
-    rows = t("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".zip")).alias("folder"), F.concat(F.lit("p/"), key, F.when(F.col("c_custkey") % 3 == 0, ".c").when(F.col("c_custkey") % 3 == 1, ".H").otherwise(".txt")).alias("path"), F.encode("c_name", "UTF-8").alias("content"))
-    packed = sinks.zipped(rows).select(F.col("folder").alias("path"), F.col("archive").alias("content"), F.octet_length("archive").cast("long").alias("length"))
-    broken = t("region").select(F.concat(F.lit("bad"), F.col("r_regionkey").cast("string"), F.lit(".zip")), F.encode("r_name", "UTF-8"), F.lit(5).cast("long"))
-    return packed.union(broken)
+    """The paths of one archive for each nation, written member by member, and of broken ones."""
+    customers, key = t("customer"), F.col("c_custkey").cast("string")
+    spark, root = customers.sparkSession, Scratch(customers.sparkSession, "zips").path("out")
+    kind = F.when(F.col("c_custkey") % 3 == 0, ".c").when(F.col("c_custkey") % 3 == 1, ".H").otherwise(".txt")
+    rows = customers.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder"), F.concat(F.lit("p/"), key, kind).alias("path"), F.encode("c_name", "UTF-8").alias("content"))
+    written = archives.write_archives(rows, root).select("path", F.col("size").alias("length"))
+    broken = t("region").select(F.concat(F.lit("bad"), F.col("r_regionkey").cast("string"), F.lit(".zip")).alias("name"), F.encode("r_name", "UTF-8").alias("content"))
+    return written.unionByName(sinks.write_files(broken, f"{root}-broken"))
 
 
 @query("zip_roundtrip", "SELECT concat('n', c_nationkey, '.zip') AS archive, concat('p/', c_custkey, CASE c_custkey % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.H' ELSE '.txt' END) AS path, c_name AS content, length(c_name)::BIGINT AS length FROM customer")
 def zip_roundtrip(t):
-    return files.zip_entries(_archives(t)).withColumn("content", files.text_of(F.col("content")))
+    read = archives.contents(archives.members(_archives(t)), piece=1 << 30)
+    return read.select(_name("archive").alias("archive"), "path", files.text_of(F.col("content")).alias("content"), F.octet_length("content").cast("long").alias("length"))
 
 
 @query("zip_code_counts", "SELECT concat('n', c_nationkey, '.zip') AS archive, count(*) FILTER (c_custkey % 3 < 2) AS c_files, count(*) AS files FROM customer GROUP BY c_nationkey UNION ALL SELECT concat('bad', r_regionkey, '.zip'), 0, 0 FROM region")
 def zip_code_counts(t):
-    archives = _archives(t)
-    return files.archive_summary(archives, files.zip_entries(archives)).select("archive", "c_files", "files")
+    packed = _archives(t)
+    return files.archive_summary(packed, archives.members(packed)).select(_name("archive").alias("archive"), "c_files", "files")
 
 
 @query(

@@ -5,11 +5,15 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import Scratch
+from millrace.sources.archives import located
+
 
 def write_text(rows: DataFrame, column: str, path: str) -> None:
     rows.select(column).write.mode("overwrite").text(path)
@@ -34,3 +38,20 @@ def zipped(files: DataFrame, folder: str = "folder") -> DataFrame:
         return pd.DataFrame({"folder": [part["folder"].iloc[0]], "archive": [out.getvalue()]})
 
     return files.select(F.col(folder).alias("folder"), "path", "content").groupBy("folder").applyInPandas(pack, "folder string, archive binary")
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """``<root>/<name>`` of each (name, content): path and length of what was written. A file is whole before it has its name."""
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = located(root)
+        store.create_dir(base, recursive=True)
+        for part in parts:
+            for name, content in zip(part["name"], part["content"], strict=True):
+                unfinished = f"{base}/.{uuid4().hex}"
+                with store.open_output_stream(unfinished) as out:
+                    out.write(content)
+                store.move(unfinished, f"{base}/{name}")
+            yield pd.DataFrame({"path": [f"{root}/{n}" for n in part["name"]], "length": [len(c) for c in part["content"]]})
+
+    return Scratch(files.sparkSession, "files").table("written", files.select("name", "content").mapInPandas(write, "path string, length long"))
