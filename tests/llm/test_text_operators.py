@@ -879,3 +879,9 @@ def test_pii_stretches_in_windows(text, size):
         plain = pii.all_spans(text, model)
         patch.setattr(pii, "FEW", -1)
         assert pii.all_spans(text, model) == plain
+
+
+def test_pii_stage_redacts_long_rows(spark):
+    """The pipeline's step redacts numbers in a row of more than eight digit groups, too."""
+    rows = spark.createDataFrame([(1, "phone 555-123-4567 555-987-6543 555-222-3344 555-321-9876", 0)], "doc_id long, text string, n_chars long")
+    assert pii.pii_stage(spark, rows, "").first().text == "phone [PHONE] [PHONE] [PHONE] [PHONE]"
