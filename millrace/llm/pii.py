@@ -3,10 +3,10 @@
 Base spans follow fixed patterns and stay whatever the trees say. High-recall generators propose further spans of the same
 kinds in looser formats (spelled-out or bracketed addresses, dotted quads in brackets, numbers grouped by dots or tabs,
 telephone numbers without a plus sign). In a row of numbers every stretch of whole digit groups is proposed whose count of
-digits fits a kind, so that a neighbour hides nothing, however long the row is. Gradient-boosted trees score each by its format,
-its neighbours, the row's length and the words around it; a span is added when its probability reaches its kind's threshold. Of
-overlapping additions of a kind the likelier stays, and none overlaps a base span. Texts of many numbers are scored in windows of
-digit groups as arrays, with the same features.
+digits fits a kind, so that a neighbour hides nothing, however long the row is and however wide its gaps are. Gradient-boosted
+trees score each by its format, its neighbours, the row's length and the words around it; a span is added when its probability
+reaches its kind's threshold. Of overlapping additions of a kind the likelier stays, and none overlaps a base span. Texts of many
+numbers or very wide gaps are scored in windows of digit groups as arrays, with the same features.
 
 The trees are trained here, from examples made by ``examples`` with a fixed seed: spans and look-alikes (order numbers,
 versions, dates, book numbers, sums) in matching and misleading contexts. Half of the contexts are made up, half are cut out of the
@@ -50,20 +50,24 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Candidates: digits with loose separators, and addresses with the sign or the dot spelled out.
-_GAP = re.compile(r"[ .\t()/\[\]-]{1,3}")
+_GAP = re.compile(r"[ .\t()/\[\]-]++")
 MOST_DIGITS = 19
 #: What the short list of ``candidates`` holds: digit groups of a number at most, digits for each at least, and digit groups of a row at most.
 MOST_GROUPS, FULL, ROW = 6, 1.5, 8
-#: Candidates, or digit groups, that are scored at once; with more than ``FEW`` digit groups a text is scored as arrays.
+#: Characters between two digit groups in the lists of ``candidates`` that aren't whole.
+SMALL_GAP = 3
+#: Candidates, or digit groups, that are scored at once; with more than ``FEW`` digit groups, or as many characters between two, a text is
+#: scored as arrays.
 SLICE, FEW = 4096, 64
-#: From this length on rows of digit groups count as equally long.
-LONG_ROW = 64
+#: From this length on rows of digit groups count as equally long, and from this value on all features as equally large.
+LONG_ROW, LARGE = 64, 255
 #: Last parts of addresses; others are open to doubt.
 _ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "eu", "us", "ca", "au", "jp", "cn", "in", "br", "ru", "example", "test"))
 _SPELLED = re.compile(r"[ (\[{]dot[)\]} ]", re.I)
 _MY = re.compile(r"\bmy\Z", re.I)
-_AT = re.compile(r"[ (\[{]{1,2}at[)\]} ]{1,2}", re.I)
-_RIGHT = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|[ (\[{]{1,2}dot[)\]} ]{1,2})[A-Za-z0-9-]++)+", re.I)
+_AT = re.compile(r"(?<=[ (\[{])at(?=[)\]} ])", re.I)
+_CLOSING = re.compile(r"[)\]} ]++")
+_RIGHT = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|[ (\[{]++dot[)\]} ]++)[A-Za-z0-9-]++)+", re.I)
 _WORDS = {
     "phone": re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|whatsapp|dial|ring|my number)", re.I),
     "card": re.compile(r"\b(?:card|visa|amex|mastercard|credit|debit|payment|cc)\b", re.I),
@@ -73,9 +77,10 @@ _WORDS = {
 }
 CONTEXT = 32
 #: The digits beside a candidate, and what stands between.
-_NEAR_LEFT = re.compile(r"([0-9]+)([ .\t()/\[\]-]{1,3})\Z")
-_NEAR_RIGHT = re.compile(r"([ .\t()/\[\]-]{1,3})([0-9]+)")
-_FOLLOWING = re.compile(r"[ .\t()/\[\]-]{1,3}[0-9]++")
+_NEAR_LEFT = re.compile(r"([0-9]+)([ .\t()/\[\]-]+)\Z")
+_NEAR_RIGHT = re.compile(r"([ .\t()/\[\]-]+)([0-9]+)")
+_FOLLOWING = re.compile(r"[ .\t()/\[\]-]++[0-9]++")
+_WIDE = re.compile(rf"(?<=[0-9])[ .\t()/\[\]-]{{{FEW},}}+(?=[0-9])")
 _BETWEEN, _FIGURES, _MONEY = " .\t()/[]-", frozenset("0123456789"), "$€£#.,-"
 
 
@@ -121,18 +126,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, pruned: bool = False) -> list[tuple[str, int, int]]:
-    """Overlapping spans in looser formats.
+def candidates(text: str, pruned: bool = False, whole: bool = False) -> list[tuple[str, int, int]]:
+    """Overlapping spans in looser formats, with up to ``SMALL_GAP`` characters between digit groups.
 
-    Pruned, a short list: digits in few groups that are not part of a long row of numbers, and only the formats of ``proposed``, whose list
-    is whole.
+    Whole, as ``proposed`` takes them, with any number of them, and quads with any zeros before their parts. Pruned, a short list: digits in
+    few groups that are not part of a long row of numbers, and only the formats of ``proposed``, whose list is whole.
     """
     out = []
     groups = [m.span() for m in _PART.finditer(text)]
-    joined = [bool(_GAP.fullmatch(text, e, s)) for (_, e), (s, _) in zip(groups, groups[1:])]
+    joined = [bool(_GAP.fullmatch(text, e, s)) and (whole or s - e <= SMALL_GAP) for (_, e), (s, _) in zip(groups, groups[1:])]
     row = [0] * len(groups)  # where the row of joined groups ends
     for i in range(len(groups) - 1, -1, -1):
         row[i] = row[i + 1] if i < len(joined) and joined[i] else i + 1
+    small = [whole and _small(text[s:e]) for s, e in groups]
     begin = 0
     for i, (first, _) in enumerate(groups):
         begin = i if i and not joined[i - 1] else begin
@@ -141,14 +147,14 @@ def candidates(text: str, pruned: bool = False) -> list[tuple[str, int, int]]:
         start, digits = first - (first > 0 and text[first - 1] in "(+"), 0
         for j in range(i, min(i + MOST_GROUPS, row[i]) if pruned else row[i]):
             digits += groups[j][1] - groups[j][0]
-            if digits > MOST_DIGITS:
+            if digits > MOST_DIGITS and not (j - i < 4 and all(small[i : j + 1])):
                 break
             end, full = groups[j][1], not pruned or digits >= FULL * (j - i + 1)
-            if digits >= 12 and full:
+            if 12 <= digits <= MOST_DIGITS and full:
                 out.append(("card", start, end))
             if 7 <= digits <= 15 and full:
                 out.append(("phone", start, end))
-            if j - i == 3 and digits <= 12 and (not pruned or all("." in text[groups[k][1] : groups[k + 1][0]] for k in range(i, j))):
+            if j - i == 3 and (digits <= 12 or all(small[i : j + 1])) and (not pruned or all("." in text[groups[k][1] : groups[k + 1][0]] for k in range(i, j))):
                 out.append(("ip", start, end))
     return out + addresses(text, pruned)
 
@@ -157,18 +163,21 @@ def addresses(text: str, strict: bool = True) -> list[tuple[str, int, int]]:
     """Addresses with the sign spelled out; strictly only with a bracketed sign or a spelled dot, too, as "at" alone is a plain word."""
     out = []
     for m in _AT.finditer(text):
-        left, right = m.start(), _RIGHT.match(text, m.end())
-        while left and text[left - 1] in _LOCAL:
+        left, end = m.start(), _CLOSING.match(text, m.end()).end()
+        while left and text[left - 1] in " ([{":
             left -= 1
-        if left < m.start() and right and (not strict or m[0].strip() != m[0].strip("()[]{} ") or _SPELLED.search(right[0])):
-            out.append(("email", left, right.end()))
+        start, right = left, _RIGHT.match(text, end)
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < left and right and (not strict or text[left:end].strip(" ") != m[0] or _SPELLED.search(right[0])):
+            out.append(("email", start, right.end()))
     return out
 
 
 def proposed(text: str) -> list[tuple[str, int, int]]:
     """All spans that the trees judge: every stretch of digit groups, those of four numbers with a dot between each two, strict addresses."""
     dotted = lambda s, e: all("." in gap for gap in re.split("[0-9]+", text[s:e])[1:-1])
-    return [c for c in candidates(text) if c[0] in ("card", "phone") or (c[0] == "ip" and dotted(*c[1:]))] + addresses(text)
+    return [c for c in candidates(text, whole=True) if c[0] in ("card", "phone") or (c[0] == "ip" and dotted(*c[1:]))] + addresses(text)
 
 
 def outside(text: str, spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
@@ -194,9 +203,9 @@ def _row(text: str, start: int, end: int) -> int:
     at = start + (text[start] in "(+")
     while n < LONG_ROW:
         last = at
-        while last and at - last < 4 and text[last - 1] in _BETWEEN:
+        while last and text[last - 1] in _BETWEEN:
             last -= 1
-        if not 0 < at - last < 4 or not last or text[last - 1] not in _FIGURES:
+        if last == at or not last or text[last - 1] not in _FIGURES:
             break
         n, at = n + 1, last - 1
         while at and text[at - 1] in _FIGURES:
@@ -213,7 +222,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     digits, groups = _digits(span), [len(g) for g in _PART.findall(span)] or [0]
     around = before + " " + after
     inner, left, right = {text[m.start()] for m in _GAP.finditer(text, start, end)} - {text[start]}, _NEAR_LEFT.search(before), _NEAR_RIGHT.match(after)
-    return [
+    found = [
         float(KINDS.index(kind)),
         len(digits),
         len(span),
@@ -249,11 +258,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(_WORDS[kind].search(around))),
         *[float(bool(_WORDS[w].search(before))) for w in _WORDS],
         float(_row(text, start, end)) if kind != "email" else 0.0,
+        max(map(len, re.split("[0-9]+", span)[1:-1]), default=0) if kind != "email" else 0.0,
     ]
+    return [min(x, LARGE) for x in found]
 
 
 def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[str, str, int, int, int]]:
-    """(text, kind, start, end, label): spans of each kind in looser formats, and look-alikes; half in the given contexts."""
+    """(text, kind, start, end, label): spans of each kind in looser formats, and look-alikes; half in the given contexts.
+
+    They come from n texts, and from a quarter as many with wider gaps.
+    """
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9)))
@@ -286,6 +300,13 @@ def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[
         dot = rng.choice(["[.]", "(.)", " . ", "[.]"])
         return dot.join(str(rng.randint(1, 254)) for _ in range(4))
 
+    def wider(span: str) -> str:
+        """The span with wider gaps between its digit groups, or around its spelled-out signs."""
+        pad = rng.choice([" " * rng.randint(2, 8), "\t" * rng.randint(2, 4)])
+        wide = lambda m: m[0].replace(" ", pad) if " " in m[0] else pad + m[0] + pad
+        span = re.sub(r"(?<=[0-9])[ .\t()/\[\]-]+(?=[0-9])", wide, span)
+        return re.sub(r"[ (\[]+(at|dot)[)\] ]+", lambda m: f" {m[0].strip()[0]} {m[1]} {m[0].strip()[-1]} " if m[0].strip() != m[1] else f"  {m[1]}  ", span)
+
     right = {"phone": phone, "card": lambda: card(rng.random() < 0.9), "email": address, "ip": quad}
     wrong = {
         "phone": [lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: digits(rng.randint(7, 15)), lambda: f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(2)}", lambda: f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{digits(3)} {digits(3)} {digits(3)}", lambda: f"{digits(2)}.{digits(2)}.20{digits(2)}", lambda: " ".join(digits(2) for _ in range(rng.randint(4, 6))), lambda: f"{digits(2)} {digits(3)} {digits(4)}"],
@@ -301,7 +322,7 @@ def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[
         return rng.choice([digits(rng.randint(1, 4)), f"{digits(2)}/{digits(2)}", f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", quad().replace(" ", "").translate(plain)]), False
 
     plain = str.maketrans("", "", "[]()")
-    for _ in range(n):
+    for wide in [False] * n + [True] * (n // 4):
         kind, good = rng.choice(KINDS), rng.random() < 0.5
         if good:
             hint = rng.choice(hints[kind]) + rng.choice([": ", " "]) if rng.random() < 0.85 or kind in ("card", "phone") else ""
@@ -311,6 +332,7 @@ def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[
             if not hint and rng.random() < 0.5:  # hint words occur beside look-alikes, too
                 hint = rng.choice(hints[kind]) + " "
             span = rng.choice(wrong[kind])()
+        span = wider(span) if wide else span
         before, after = f"{prose(rng.randint(0, 4))} ", f"{rng.choice(['', '.', ',', ' '])} {prose(rng.randint(1, 5))}"
         if contexts and rng.random() < 0.5:
             piece = rng.choice(contexts)
@@ -322,22 +344,23 @@ def examples(n: int, seed: int, contexts: Sequence[str] = ()) -> Iterator[tuple[
         if kind != "email" and rng.random() < 0.4:
             other, label = beside(kind, good)
             if rng.random() < 0.5:
-                body += rng.choice([" ", " ", "\t"])
+                body += " " * rng.randint(2, 12) if wide else rng.choice([" ", " ", "\t"])
                 true |= {(kind, len(body), len(body) + len(other))} if label else set()
                 body += other
             else:
-                other += " "
-                true = {(k, s + len(other), e + len(other)) for k, s, e in true} | ({(kind, len(head), len(head) + len(other) - 1)} if label else set())
+                other += " " * rng.randint(2, 12) if wide else " "
+                true = {(k, s + len(other), e + len(other)) for k, s, e in true} | ({(kind, len(head), len(head) + len(other.rstrip()))} if label else set())
                 body = head + other + span
         if kind in ("phone", "card") and rng.random() < 0.15:  # long rows, of true spans or of plain numbers
             if good:
                 for _ in range(rng.randint(2, 5)):
-                    body += rng.choice([" ", "\t"])
+                    body += " " * rng.randint(2, 12) if wide else rng.choice([" ", "\t"])
                     span = right[kind]()
                     true.add((kind, len(body), len(body) + len(span)))
                     body += span
             else:
                 body, width, gap = head, rng.randint(0, 5), rng.choice([" ", " ", " ", "\t", ".", "-", "/"])
+                gap = rng.choice([" " * rng.randint(2, 12), " " + "." * rng.randint(2, 20) + " ", "\t" * rng.randint(2, 4)]) if wide else gap
                 body += gap.join(digits(width or rng.randint(1, 5)) for _ in range(rng.randint(4, 24)))
         text = body + after
         wrong_ones = 0
@@ -372,7 +395,7 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-    def table(self, most: int = 255) -> np.ndarray:
+    def table(self, most: int = LARGE) -> np.ndarray:
         """The bins of the whole numbers from -1 to ``most``, a row for each feature."""
         return np.stack([np.searchsorted(e, np.arange(-1, most + 1), "left") for e in self.edges]).astype(np.uint8)
 
@@ -473,7 +496,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Trees:
 def all_spans(text: str, model: Trees) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and these with the trees' additions."""
     base = base_spans(text)
-    few = sum(1 for _ in islice(_PART.finditer(text), FEW + 1)) <= FEW
+    few = sum(1 for _ in islice(_PART.finditer(text), FEW + 1)) <= FEW and not _WIDE.search(text)
     found, good = outside(text, proposed(text) if few else addresses(text), base), []
     for first in range(0, len(found), SLICE):
         some = found[first : first + SLICE]
@@ -516,17 +539,17 @@ def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.
         s, e, n = starts - base, ends - base, len(starts)
         length = e - s
         is_ = lambda chars, at: np.isin(c[at], [ord(x) for x in chars])
-        # What stands between a group and the next: up to three characters.
-        gap = np.append(s[1:], len(c) + 9) - e
-        there = [(gap > k) & (gap < 4) for k in range(3)]
-        sep = [np.where(t, c[np.minimum(e + k, len(c) - 1)], 0) for k, t in enumerate(there)]
-        joined = (gap < 4) & np.all([np.isin(x, [0, *map(ord, _BETWEEN)]) for x in sep], axis=0)
-        count = lambda chars: np.concatenate([[0], np.cumsum(sum(np.isin(x, [ord(y) for y in chars]) for x in sep) * joined)])
-        counts = [count(x) for x in (".", "-", " \t", "[(", "/")]
-        dotted, spaced = [np.any([x == ord(y) for x in sep], axis=0) for y in ". "]
+        # What stands between a group and the next.
+        places = {x: np.flatnonzero(np.isin(codes, [ord(y) for y in x])) for x in (".", "-", " \t", "[(", "/", " ", _BETWEEN)}
+        within = lambda chars, lo, hi: np.searchsorted(places[chars], hi) - np.searchsorted(places[chars], lo)
+        beyond = np.append(s[1:], len(codes))
+        gap = beyond - e
+        joined = (within(_BETWEEN, e, beyond) == gap) & (np.arange(n) < n - 1)
+        counts = [np.concatenate([[0], np.cumsum(within(x, e, beyond) * joined)]) for x in (".", "-", " \t", "[(", "/")]
+        dotted, spaced = [within(x, e, beyond) > 0 for x in ". "]
         bit = {ord(x): 1 << k for k, x in enumerate(_BETWEEN)}
         bits = lambda x: np.select([x == y for y in bit], list(bit.values()), 0)
-        gap_bit = bits(sep[0])
+        gap_bit = bits(c[e])
         # Rows.
         index = np.arange(n)
         row_first = np.maximum.accumulate(np.where(np.concatenate([[True], ~joined[:-1]]), index, 0))
@@ -546,13 +569,14 @@ def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.
         prior = np.where(s > 0, c[s - 1], 0)
         plus, bracket = prior == ord("+"), prior == ord("(")
         at = s - (plus | bracket)
-        far = at - np.concatenate([[-9], e[:-1]])
-        near = [np.where((far > k) & (far < 4), c[np.maximum(at - 1 - k, 0)], 0) for k in range(3)]
-        left = (far > 0) & (far < 4) & np.all([np.isin(x, [0, *map(ord, _BETWEEN)]) for x in near], axis=0)
+        past = np.concatenate([[0], e[:-1]])
+        far = at - past
+        left = (index > 0) & (far > 0) & (far < CONTEXT) & (within(_BETWEEN, past, at) == far)
         left_n = np.where(left, np.minimum(np.concatenate([[0], length[:-1]]), CONTEXT - far), 0)
-        left_bit, left_tight = np.where(left, bits(near[0]), 0), left & ~np.any([x == 32 for x in near], axis=0)
-        right_n = np.where(joined, np.minimum(np.append(length[1:], 0), CONTEXT - gap), 0)
-        right_bit, right_tight = np.where(joined, gap_bit, 0), joined & ~spaced
+        left_bit, left_tight = np.where(left, bits(c[np.maximum(at - 1, 0)]), 0), left & (within(" ", past, at) == 0)
+        right = joined & (gap < CONTEXT)
+        right_n = np.where(right, np.minimum(np.append(length[1:], 0), CONTEXT - gap), 0)
+        right_bit, right_tight = np.where(right, gap_bit, 0), right & ~spaced
         ahead = np.where(at > 0, c[np.maximum(at - 1, 0)], 0)
         letter = {x: chr(x).isalnum() for x in set(ahead.tolist()) | set(c[e].tolist())}
         ahead_letter, next_letter = [np.array([letter[x] for x in y.tolist()]) for y in (ahead, c[e])]
@@ -570,6 +594,7 @@ def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.
             words_after[j], number[j] = [bool(w.search(" " + after)) for w in _WORDS.values()], after[:6].lower() == "number"
         names = list(_WORDS)
         most, least, digits_held, gaps_held, all_small, all_dotted = length.copy(), length.copy(), held.copy(), np.zeros(n, np.int64), small.copy(), np.ones(n, bool)
+        widest = np.zeros(n, np.int64)
         i = np.arange(first, last)
         for k in range(MOST_DIGITS):
             if k:
@@ -580,11 +605,12 @@ def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.
                 gaps_held[i] |= gap_bit[j - 1]
                 all_small[i] &= small[j]
                 all_dotted[i] &= dotted[j - 1]
-            i = i[d[i + k + 1] - d[i] <= MOST_DIGITS]
+                widest[i] = np.maximum(widest[i], gap[j - 1])
+            i = i[(d[i + k + 1] - d[i] <= MOST_DIGITS) | (all_small[i] & (k < 4))]
             if not len(i):
                 break
             total = d[i + k + 1] - d[i]
-            for kind, fits in (("card", total >= 12), ("phone", (total >= 7) & (total <= 15)), ("ip", (total <= 12) & all_dotted[i] & (k == 3))):
+            for kind, fits in (("card", (total >= 12) & (total <= MOST_DIGITS)), ("phone", (total >= 7) & (total <= 15)), ("ip", ((total <= 12) | all_small[i]) & all_dotted[i] & (k == 3))):
                 a = i[fits]
                 if not len(a):
                     continue
@@ -597,12 +623,13 @@ def stretches(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[np.
                 around = words_before[a, word] | words_after[j, word] | (my[a] & number[j] & (kind == "phone"))
                 same = np.full(len(a), KINDS.index(kind))
                 none = np.zeros(len(a), np.int64)
-                yield kind, at[a] + base, e[j] + base, [
+                values = [
                     same, m, e[j] - at[a], none + k + 1, length[a], length[j], most[a], least[a], luhns % 10 == 0, plus[a], bracket[a],
                     between[0], between[1], between[2], between[3] + bracket[a], between[4], all_small[a], figures[d[a]], np.bitwise_count(digits_held[a]), none, none,
                     ahead_letter[a], next_letter[j], money[a], np.bitwise_count(inner), length[np.minimum(a + 1, n - 1)] * (k > 0), left_n[a], right_n[j],
-                    (left_bit[a] & inner) > 0, (right_bit[j] & inner) > 0, left_tight[a], right_tight[j], around, *words_before[a].T, row[a],
+                    (left_bit[a] & inner) > 0, (right_bit[j] & inner) > 0, left_tight[a], right_tight[j], around, *words_before[a].T, row[a], widest[a],
                 ]
+                yield kind, at[a] + base, e[j] + base, [np.minimum(x, LARGE) for x in values]
 
 
 def _likely_stretches(text: str, model: Trees, covered: tuple[list[int], list[int]]) -> list[tuple[float, int, int, str]]:

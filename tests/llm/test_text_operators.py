@@ -885,3 +885,55 @@ def test_pii_stage_redacts_long_rows(spark):
     """The pipeline's step redacts numbers in a row of more than eight digit groups, too."""
     rows = spark.createDataFrame([(1, "phone 555-123-4567 555-987-6543 555-222-3344 555-321-9876", 0)], "doc_id long, text string, n_chars long")
     assert pii.pii_stage(spark, rows, "").first().text == "phone [PHONE] [PHONE] [PHONE] [PHONE]"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["1", "59", "105", "0010", "000000255", "5551234"]), st.sampled_from([" ", "-", "    ", " . ", "  [.]  ", ") (", " (", "+", " a ", "\t\t\t\t", " " * 70])), min_size=3, max_size=9))
+def test_proposed_are_all_stretches(parts):
+    """Every stretch of digit groups is proposed however wide its gaps are, and quads with any zeros; from arrays, too."""
+    text = "".join(number + gap for number, gap in parts)
+    groups, want = [m.span() for m in re.finditer("[0-9]+", text)], set()
+    for i, (first, _) in enumerate(groups):
+        for j in range(i, len(groups)):
+            inside, parts = text[first : groups[j][1]], [text[s:e] for s, e in groups[i : j + 1]]
+            if re.fullmatch(r"[0-9]+(?:[ .\t()/\[\]-]+[0-9]+)*", inside):
+                n, start = sum(map(len, parts)), first - (text[max(0, first - 1) : first] in ("(", "+"))
+                quad = j - i == 3 and all("." in g for g in re.findall("[^0-9]+", inside)) and (n <= 12 or all(int(x) <= 255 for x in parts))
+                want |= {(kind, start, groups[j][1]) for kind, fits in (("card", 12 <= n <= 19), ("phone", 7 <= n <= 15), ("ip", quad)) if fits}
+    got, arrays = pii.proposed(text), [(k, int(a), int(b)) for k, s, e, _ in pii.stretches(text) for a, b in zip(s, e, strict=True)]
+    assert set(got) == want == set(arrays) and len(got) == len(want) == len(arrays)
+
+
+@pytest.mark.parametrize("sign", ["(at)", " ( at ) ", "  [at]  ", " [   at   ] "])
+@pytest.mark.parametrize("dot", [".", " dot ", " ( dot ) ", "   [dot]   "])
+def test_addresses_with_wide_signs(sign, dot):
+    name = f"jane.doe{sign}example{dot}co{dot}uk"
+    assert pii.proposed(f"mail {name} now") == [("email", 5, 5 + len(name))]
+    assert ("email", 8, 8 + len(name)) in pii.proposed(f"look at {name} now")
+
+
+def test_pii_stage_redacts_wide_gaps(spark):
+    """The pipeline's step redacts numbers and addresses whose parts stand far apart, too."""
+    texts = {
+        "call (555)    123-4567 now": "call [PHONE] now",
+        "card 4111    1111    1111    1111": "card [CARD]",
+        "host 10 [.] 0 [.] 0 [.] 7": "host [IP]",
+        "server 0000000010[.]0000[.]0[.]7 is down": "server [IP] is down",
+        "write to jane.doe ( at ) example ( dot ) com now": "write to [EMAIL] now",
+        "mail jane.doe  [at]  example.com now": "mail [EMAIL] now",
+        "chapter one ........ 12\nchapter two ........ 345 ........ 6789": "chapter one ........ 12\nchapter two ........ 345 ........ 6789",
+        "mean   1250    3310      87\ntotal   2210    4415     192": "mean   1250    3310      87\ntotal   2210    4415     192",
+    }
+    rng = random.Random(8)
+    others = [" ".join("".join(rng.choice("aeioubdkmnprst") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(1000)]
+    rows = spark.createDataFrame([(k, t, 0) for k, t in enumerate([*texts, *others])], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in pii.pii_stage(spark, rows, "").collect()} == dict(enumerate([*texts.values(), *others]))
+
+
+@pytest.mark.parametrize("gap", [" " * 10**6, " . " * 10**5, "[" + " " * 70 + "]"])
+def test_pii_of_very_wide_gaps(gap):
+    """Gaps of a million characters don't break, or slow, the judging; as arrays and one by one it comes to the same."""
+    text, model = gap.join(["call 555", "123", "4567", "10", "20"]), pii.trained()
+    spans = [c for c in pii.proposed(text) if c[0] != "email"]
+    assert sorted(spans) == sorted((k, int(a), int(b)) for k, s, e, _ in pii.stretches(text) for a, b in zip(s, e, strict=True)) and len(spans) > 5
+    assert pii.all_spans(text, model)[0] == []
